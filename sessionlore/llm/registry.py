@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, token_files
+from . import media, packing, token_files
 
-MODULES = (media, token_files)
+MODULES = (media, packing, token_files)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
