@@ -101,8 +101,8 @@ class EliasFano:
         return cls(n, low_bits, low, high, np.frombuffer(data, "<u4", count, at)), at + 4 * count
 
 
-def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """doc_ids ascending, nulls first; ids of one type."""
+def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: list[np.ndarray]) -> bytes:
+    """doc_ids ascending, nulls first; ids of one type, in runs that may divide documents."""
     known = np.array([x for x in doc_ids if x is not None], np.int64)
     flat = np.concatenate(ids)
     base = int(known[0]) if len(known) else 0
@@ -111,7 +111,7 @@ def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
         struct.pack("<IQBI", len(doc_ids), len(flat), flat.dtype.itemsize, len(doc_ids) - len(known)),
         struct.pack("<q", base),
         EliasFano.of((known - base).astype(np.uint64)).to_bytes(),
-        EliasFano.of(np.cumsum([len(x) for x in ids])).to_bytes(),
+        EliasFano.of(np.cumsum(lengths)).to_bytes(),
         flat.tobytes(),
     ))
     return body + struct.pack("<I", zlib.crc32(body))
@@ -149,10 +149,11 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
         enc = encoder(vocabulary)
         last = np.array([end_id], enc.dtype)
         keys: list[int | None] = []
+        lengths: list[int] = []
         ids: list[np.ndarray] = []
 
         def shard() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "n_docs": len(keys), "n_ids": held, "shard": pack_shard(keys, ids)}
+            row = {"part": part, "seq": seq, "n_docs": len(keys), "n_ids": held, "shard": pack_shard(keys, lengths, ids)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())]))
 
         for batch in batches:
@@ -161,10 +162,10 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 for k, own in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist())):
                     if keys and held + len(own) + 1 > shard_ids:
                         yield shard()
-                        keys, ids, held, seq = [], [], 0, seq + 1
+                        keys, lengths, ids, held, seq = [], [], [], 0, seq + 1
                     keys.append(k)
+                    lengths.append(len(own) + 1)
                     ids += [own, last]
-                    ids[-2:] = [np.concatenate(ids[-2:])]
                     held += len(own) + 1
         if keys:
             yield shard()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -20,14 +21,9 @@ FOREIGN = re.compile("[^\t\n\r -~¡-ɏ]")
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼½¾"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-#: Words that one Python worker remembers; beyond it forgets all and starts anew.
-REMEMBERED = 300_000
-
-
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Words in the newer of two generations that a Python worker remembers. When it is
+#: full, it becomes the older one, and words met again move over.
+GENERATION = 200_000
 
 
 class Encoder:
@@ -39,9 +35,21 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pack(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        unmet = []
+        for word in words:
+            if (ids := self.older.get(word)) is None:
+                unmet.append(word)
+            else:
+                self.known[word] = ids
+        if unmet:
+            self.known.update(zip(unmet, self._pack(unmet)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as an array of the smallest fitting type."""
@@ -49,13 +57,13 @@ class Encoder:
         whole = [i for i, x in enumerate(texts) if FOREIGN.search(x)]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole])):
             out[i] = np.frombuffer(ids, self.dtype)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > GENERATION:
+            self.older, self.known = self.known, {}
         for i, text in enumerate(texts):
             if out[i] is None:
                 words = WORDS.findall(text)
-                if new := list(set(words).difference(self.known)):
-                    self.known.update(zip(new, self._pack(new)))
+                if new := set(words).difference(self.known):
+                    self._learn(new)
                 out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
         return out
 
