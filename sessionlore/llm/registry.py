@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, packing, token_files, vectors
+from . import media, packing, token_files, toxicity, vectors
 
-MODULES = (media, packing, token_files, vectors)
+MODULES = (media, packing, token_files, toxicity, vectors)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
