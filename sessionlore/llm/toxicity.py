@@ -36,7 +36,8 @@ from .common import cut, table, text_or_empty
 BITS = 20
 SIZES = (3, 4, 5, 6)
 FIT_ROWS = 12_000
-FEATURES = 6_000
+#: Selected features for each fitted document: few enough not to learn them by heart.
+FEATURES = 1 / 3
 LEAST_DOCS = 3
 THRESHOLD = 0.3
 #: Characters that are looked at together; longer texts are taken in overlapping windows.
@@ -127,7 +128,7 @@ def count_features(sample: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES, least_docs: int = LEAST_DOCS, tasks: int = 8) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: float = FEATURES, least_docs: int = LEAST_DOCS, tasks: int = 8) -> Model:
     """Fit on at most ``fit_rows`` of the labelled documents; ``labels`` has doc_id and toxic (0 or 1)."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     chosen = usable.where("toxic = most").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
     seen = F.col("toxic") + F.col("clean")
     expected = seen * F.lit(bad / (bad + good))
     surprise = (F.col("toxic") - expected) ** 2 / expected + (F.col("toxic") - expected) ** 2 / (seen - expected)
-    best = count_features(sample).where(seen >= least_docs).withColumn("surprise", surprise).orderBy(F.desc("surprise"), "bucket").limit(features).collect()
+    best = count_features(sample).where(seen >= least_docs).withColumn("surprise", surprise).orderBy(F.desc("surprise"), "bucket").limit(max(300, int(features * (bad + good)))).collect()
     toxic, clean = (np.array([r[c] for r in best], float) for c in ("toxic", "clean"))
     ratio = np.log((toxic + 1) / (bad + 2)) - np.log((clean + 1) / (good + 2))
     model = Model(np.array([r.bucket for r in best], np.int64), np.zeros(len(best)), 0.0)
