@@ -189,8 +189,9 @@ def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     generalised to a length class; all columns and rows stay."""
     spans = find(docs.select("doc_id", "text"), **limits)
     hidden = spans.where((F.size("base") > 0) | (F.size("terms") > 0)).select("doc_id", "text_print", "base", "terms").dropDuplicates(["doc_id", "text_print"])
-    marked = docs.withColumn("_print", F.md5(F.coalesce("text", F.lit(""))))
-    both = marked.join(hidden.withColumnRenamed("doc_id", "_id"), marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("text_print")), "left")
+    # The rows travel as structs, so their columns can have any names.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("print"))
+    both = rows.join(hidden, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("print") == F.col("text_print")), "left")
 
     @F.pandas_udf("string")
     def rewrite(texts, base, terms):
@@ -211,7 +212,7 @@ def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    return both.withColumn("text", rewrite("text", "base", "terms")).select(*docs.columns)
+    return both.withColumn("text", rewrite("row.text", "base", "terms")).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

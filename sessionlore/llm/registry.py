@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, packing, pii, secrets, token_files, toxicity, vectors
+from . import media, mixing, packing, pii, secrets, token_files, toxicity, vectors
 
-MODULES = (media, packing, pii, secrets, token_files, toxicity, vectors)
+MODULES = (media, mixing, packing, pii, secrets, token_files, toxicity, vectors)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
