@@ -22,6 +22,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -150,6 +151,23 @@ def term_spans(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_
     return printed(docs, key, text).mapInArrow(find, WORDS_SCHEMA)
 
 
+def least_texts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, texts): a lower bound of the different texts that hold a term, the most
+    that any one task has seen. It rules out common words before their places are listed."""
+    kept = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen, held = kept.value, set(), Counter()
+        for batch in batches:
+            for print_, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if print_ not in seen:
+                    seen.add(print_)
+                    held.update(wanted.intersection(TERM.findall(text.lower())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "texts"])
+
+    return printed(docs, key, text).mapInArrow(count, "term string, texts long").groupBy("term").agg(F.max("texts").alias("texts"))
+
+
 def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS) -> tuple[DataFrame, DataFrame]:
     """(terms with their action, occurrences of candidate terms in all texts)."""
     texts = found.select("text_print").distinct().count()
@@ -159,6 +177,9 @@ def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT, bits:
     near = written(near.join(of_entity, "entity"), "pii-near")
     terms = near.select("term").distinct()
     few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
+    if few:
+        likely = near.groupBy("term").agg(F.max("together").alias("together")).join(least_texts(docs, terms), "term", "left")
+        terms = likely.where(F.col("together") >= F.coalesce("texts", F.lit(0)) * generalise).select("term")
     used = term_spans(docs, terms) if few else term_spans(docs).join(terms, "term", "left_semi")
     used = written(used.select("doc_id", "text_print", "term", "spans"), "pii-terms")
     counts = used.select("term", "text_print").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
