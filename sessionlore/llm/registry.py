@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, pii, secrets, substrings, token_files, toxicity, vectors
+from . import media, mixing, ngram_join, packing, pii, secrets, substrings, token_files, toxicity, vectors
 
-MODULES = (substrings, media, secrets, mixing, pii, vectors, toxicity, packing, token_files)
+MODULES = (substrings, media, ngram_join, secrets, mixing, pii, vectors, toxicity, packing, token_files)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
