@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,6 +169,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return text_or_empty(docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)), text).mapInArrow(apply, f"{key} long, score double")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with a score below the threshold; all columns stay, whatever their names."""
+
+    @F.pandas_udf("double")
+    def probability(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(x or "") for x in texts], dtype=float)
+
+    return docs.where(probability(F.col("text").cast("string")) < threshold)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether a row's label is kept from training."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
