@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .oracle import ORACLE
+from .queries import QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
