@@ -50,6 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Whole texts reach Python in batches of at most so many rows.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches, made for short rows, to what whole texts need."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_or_empty(df: DataFrame, text: str = "text") -> DataFrame:
     """Null texts as empty strings."""
+    small_batches(df.sparkSession)
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))

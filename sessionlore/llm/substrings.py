@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 
 #: A 32-bit value for each byte, from a digest of that byte.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "big") for b in range(256)], np.uint32)
@@ -99,6 +99,7 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     names=["doc_id", "text_print", "digests", "ends"],
                 )
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text <> ''")
     rows = own.select("doc_id", F.xxhash64("text").alias("text_print"), "text").mapInArrow(cut, CHUNK_SCHEMA)
     return rows.select("doc_id", "text_print", F.posexplode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)), "ends").alias("starts"), "ends")).alias("at", "c")).where("c.ends is not null").select("doc_id", "text_print", "at", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))

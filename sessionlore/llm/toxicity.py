@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, small_batches, table, text_or_empty
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -172,6 +172,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with a score below the threshold; all columns stay, whatever their names."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(x or "") for x in texts], dtype=float)
