@@ -34,7 +34,7 @@ def cost_units(model: Column, counters: tuple[Column, ...]) -> Column:
     """Cost of the four token counts in whole units."""
     out = F.lit(0).cast("long")
     for i, tokens in enumerate(counters):
-        out = out + tokens * _by_family(model, {part: round(p[i + 1] * UNITS / 1e6) for part, p in PRICES.items()})
+        out = out + tokens.cast("long") * _by_family(model, {part: round(p[i + 1] * UNITS / 1e6) for part, p in PRICES.items()})
     return out.cast("long")
 
 
