@@ -20,6 +20,7 @@ read. Without random samples no string is reported beyond the base matches.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 SAMPLE_DOCS = 4_000
 #: Nats a character by which a string must look more random than ordinary.
 LEAST_RATIO = 0.8
+#: Weight of a character's overall share against the counts of its transitions.
+BACKOFF = 5.0
 KINDS = ("assign", "access", "hex", "markov")
 
 
@@ -97,12 +100,16 @@ def train(samples: DataFrame) -> list[float]:
     counts = {(r.random, r.p, r.c): r.n for r in steps.groupBy("random", F.col("s.p").alias("p"), F.col("s.c").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not any(k[0] for k in counts):
         return [0.0] * ((width + 1) * width)
-    totals: dict[tuple[bool, int], int] = {}
-    for (random, p, _), n in counts.items():
-        totals[random, p] = totals.get((random, p), 0) + n
+    after, single, every = Counter(), Counter(), Counter()
+    for (random, p, c), n in counts.items():
+        after[random, p] += n
+        single[random, c] += n
+        every[random] += n
 
     def log(random: bool, p: int, c: int) -> float:
-        return math.log((counts.get((random, p, c), 0) + 0.5) / (totals.get((random, p), 0) + 0.5 * width))
+        """Of a transition; one that was rarely seen leans on the character's own share."""
+        share = (single[random, c] + 0.5) / (every[random] + 0.5 * width)
+        return math.log((counts.get((random, p, c), 0) + BACKOFF * share) / (after[random, p] + BACKOFF))
 
     return [log(True, p, c) - log(False, p, c) for p in range(width + 1) for c in range(1, width + 1)]
 
