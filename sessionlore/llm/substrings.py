@@ -105,14 +105,15 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.select("doc_id", "text_print", F.posexplode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)), "ends").alias("starts"), "ends")).alias("at", "c")).where("c.ends is not null").select("doc_id", "text_print", "at", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
 
 
-SPAN_SCHEMA = "doc_id long, text_print long, start int, end int, chunks int, first_doc long, kept boolean"
+SPAN_SCHEMA = "doc_id long, text_print long, start int, end int, chunks int, first_doc long, kept boolean, dropped array<struct<start:int,end:int>>"
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of repeated passages: (doc_id, text_print, start, end, chunks, first_doc, kept).
+    """Repeated passages: (doc_id, text_print, start, end, chunks, first_doc, kept, dropped).
 
-    A run of repeated chunks is divided where its keeper changes; ``first_doc`` is
-    the document that keeps the span, ``kept`` whether that is this one.
+    A row is a run of repeated chunks. ``first_doc`` is the smallest document that
+    shares any of them, ``dropped`` the parts that other documents keep, and
+    ``kept`` whether there are none.
     """
     shared = chunked(docs, key, text).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
     shared = written(shared, "chunk-digests")
@@ -130,17 +131,20 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, key: str = "doc_id", text:
                     j = i + 1
                     while j < len(found) and found[j]["at"] == found[j - 1]["at"] + 1:
                         j += 1
-                    if found[j - 1]["end"] - found[i]["start"] >= passage:
-                        k = i
-                        while k < j:
-                            m = k + 1
-                            while m < j and found[m]["first_doc"] == found[k]["first_doc"]:
-                                m += 1
-                            rows.append((doc, print_, found[k]["start"], found[m - 1]["end"], m - k, found[k]["first_doc"], found[k]["first_doc"] == doc))
-                            k = m
+                    run = found[i:j]
+                    if run[-1]["end"] - run[0]["start"] >= passage:
+                        dropped: list[dict] = []
+                        for c in run:
+                            if c["first_doc"] == doc:
+                                continue
+                            if dropped and dropped[-1]["end"] == c["start"]:
+                                dropped[-1]["end"] = c["end"]
+                            else:
+                                dropped.append({"start": c["start"], "end": c["end"]})
+                        rows.append((doc, print_, run[0]["start"], run[-1]["end"], len(run), min(c["first_doc"] for c in run), not dropped, dropped))
                     i = j
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            names = ["doc_id", "text_print", "start", "end", "chunks", "first_doc", "kept"]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            names = ["doc_id", "text_print", "start", "end", "chunks", "first_doc", "kept", "dropped"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     return own.mapInArrow(runs, SPAN_SCHEMA)
@@ -148,7 +152,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, key: str = "doc_id", text:
 
 def remove(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """``docs`` without the passages that an earlier document keeps."""
-    spans = repeats(docs, passage).where("not kept").groupBy("doc_id", "text_print").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = repeats(docs, passage).where("not kept").groupBy("doc_id", "text_print").agg(F.array_sort(F.flatten(F.collect_list("dropped"))).alias("spans"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_print"))
     both = rows.join(spans, ["doc_id", "text_print"], "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
@@ -158,8 +162,8 @@ def remove(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every span of a passage that documents share, with the document that keeps it."""
-    return repeats(table(spark, sf_dir, "documents")).drop("text_print")
+    """Every passage that documents share, with the smallest document that shares it."""
+    return repeats(table(spark, sf_dir, "documents")).drop("text_print", "dropped")
 
 
 QUERIES = {"op1_substrings": op1_substrings}
