@@ -23,7 +23,7 @@ NUMBERS = "0-9²³¹¼½¾"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Words in the newer of two generations that a Python worker remembers. When it is
 #: full, it becomes the older one, and words met again move over.
-GENERATION = 200_000
+GENERATION = 300_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -68,9 +68,13 @@ class Encoder:
         for i, text in enumerate(texts):
             if out[i] is None:
                 words = WORDS.findall(text)
-                if new := set(words).difference(self.known):
-                    self._learn(new)
-                out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
+                parts = list(map(self.known.get, words))
+                if None in parts:
+                    unmet = [k for k, ids in enumerate(parts) if ids is None]
+                    self._learn({words[k] for k in unmet})
+                    for k in unmet:
+                        parts[k] = self.known[words[k]]
+                out[i] = np.frombuffer(b"".join(parts), self.dtype)
         return out
 
 
