@@ -14,6 +14,8 @@ from sessionlore.llm.common import table, written
 
 #: No SQL has the trained classifier, the tokenizer or the packing plan; tests hold the run against a brute-force version.
 ORACLE_SQL = None
+#: Words a tokenizing worker remembers here: workers keep this memory while other stages run.
+REMEMBERED = 50_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their places in sequences of 2048."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

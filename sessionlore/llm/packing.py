@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
-from .tokens import encoder, vocabulary_path
+from .tokens import GENERATION, encoder, vocabulary_path
 
 WINDOW = 2048
 END_ID = 1
@@ -44,14 +44,14 @@ PIECE_SCHEMA = "doc_id long, start long, length int, ids_crc32 long, doc_tokens
 PLACED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, remembered: int = GENERATION) -> DataFrame:
     """Full windows and remainders of every document; ``parts`` holds the
     checksums of a remainder's powers of two, from the largest."""
     vocabulary = vocabulary or vocabulary_path()
     powers = [1 << k for k in reversed(range((window - 1).bit_length()))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, remembered)
         last = np.array([end_id], "<u4")
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -229,9 +229,9 @@ class Layout:
         return self.whole + sequence, offset
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, slack: int = 8, blocks: int = 256) -> DataFrame:
-    """Every piece with its sequence and offset there."""
-    made = cut(pieces(docs, vocabulary, window, end_id))
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, slack: int = 8, blocks: int = 256, remembered: int = GENERATION) -> DataFrame:
+    """Every piece with its sequence and offset there; ``remembered`` trades a worker's memory for time."""
+    made = cut(pieces(docs, vocabulary, window, end_id, remembered))
     # At most one row for each length up to the window.
     histogram = {r.length: r.n for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = Layout(histogram, window, slack)

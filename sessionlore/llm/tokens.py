@@ -33,10 +33,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = GENERATION):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
@@ -63,7 +64,7 @@ class Encoder:
         whole = [i for i, x in enumerate(texts) if FOREIGN.search(x)]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole])):
             out[i] = np.frombuffer(ids, self.dtype)
-        if len(self.known) > GENERATION:
+        if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
         for i, text in enumerate(texts):
             if out[i] is None:
@@ -78,11 +79,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = GENERATION) -> Encoder:
+    """One encoder for each Python worker, vocabulary file and size of its memory."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
