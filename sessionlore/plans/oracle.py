@@ -38,6 +38,7 @@ FACTS = f"""WITH per_order AS (
 """
 DATE = "strftime(make_timestamp(first_ms * 1000), '%Y-%m-%dT%H:%M:%S+00:00')"
 CHILD = " WHERE session_key IN (SELECT session_key FROM sessions WHERE session_key <= 200)"
+EVERY = " WHERE session_key IN (SELECT session_key FROM sessions)"
 RANK = "quantile_disc(duration_ms, 0.5)::DOUBLE AS p50_ms, quantile_disc(duration_ms, 0.95)::DOUBLE AS p95_ms, max(duration_ms) AS max_ms"
 BY_PROJECT = f"SELECT project, count(DISTINCT session_key) AS sessions, {SUMS}, coalesce(sum(cost_units), 0)::BIGINT AS units, coalesce(string_agg(DISTINCT {FAMILY.replace('model', 't.model')}, ',' ORDER BY {FAMILY.replace('model', 't.model')}), '') AS models FROM sessions LEFT JOIN token_usage t USING (session_key) GROUP BY project"
 TOOL_LIST = "string_agg(tool || '=' || calls, ',' ORDER BY tool || '=' || calls) AS tools"
@@ -96,6 +97,14 @@ ORACLE = {
     "session_detail_attachments": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS filename, 'text/plain' AS mime_type FROM orders WHERE o_orderkey <= 200 AND o_orderpriority LIKE '1%'",
     "session_detail_permission_changes": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS mode, strftime(o_orderdate, '%Y-%m-%d') AS \"at\" FROM orders WHERE o_orderkey <= 200 AND o_orderstatus = 'P'",
     "session_detail_turns": FACTS + f"SELECT session_key, count(*) AS turn_count, round(avg(duration_ms), 6) AS avg_ms, {RANK} FROM turn_durations{CHILD} GROUP BY session_key",
+    "all_sessions_tools": FACTS + f"SELECT session_key, tool, calls FROM tool_calls{EVERY}",
+    "all_sessions_models": FACTS + f"SELECT session_key, model, {COUNTERS}, cost_units / 1e8 AS cost_usd FROM token_usage{EVERY}",
+    "all_sessions_files": FACTS + f"SELECT DISTINCT session_key, file_path FROM file_modifications{EVERY}",
+    "all_sessions_stop_reasons": FACTS + f"SELECT session_key, reason, times FROM stop_reasons{EVERY}",
+    "all_sessions_pull_requests": FACTS + f"SELECT * FROM pr_links{EVERY}",
+    "all_sessions_attachments": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS filename, 'text/plain' AS mime_type FROM orders WHERE o_orderkey IN (SELECT session_key FROM sessions) AND o_orderpriority LIKE '1%'",
+    "all_sessions_permission_changes": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS mode, strftime(o_orderdate, '%Y-%m-%d') AS \"at\" FROM orders WHERE o_orderkey IN (SELECT session_key FROM sessions) AND o_orderstatus = 'P'",
+    "all_sessions_turns": FACTS + f"SELECT session_key, count(*) AS turn_count, round(avg(duration_ms), 6) AS avg_ms, {RANK} FROM turn_durations{EVERY} GROUP BY session_key",
     "session_detail": FACTS + f"""SELECT project, session_id, path, message_count, s.model, {SUMS}, sum(cost_units)::BIGINT / 1e8 AS cost_usd,
         (SELECT count(*) FROM tool_calls c WHERE c.session_key = any_value(s.session_key)) AS n_tools, (SELECT count(*) FROM file_modifications m WHERE m.session_key = any_value(s.session_key)) AS n_files,
         string_agg(t.model, ',' ORDER BY cost_units DESC, t.model) AS models

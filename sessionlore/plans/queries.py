@@ -128,6 +128,21 @@ def session_detail_turns(f: Facts) -> DataFrame:
     return rounded(reports.session_children(f, f.sessions.where(F.col("session_key") <= 200))["turns"], "avg_ms")
 
 
+def whole(name: str) -> None:
+    """The same parts for every session; the queries above stop at the keys their SQL names."""
+
+    def run(f: Facts) -> DataFrame:
+        rows = reports.session_children(f, f.sessions)[name]
+        return rounded(rows, "avg_ms") if name == "turns" else rows
+
+    run.__name__ = f"all_sessions_{name}"
+    report(run)
+
+
+for _name in ("tools", "models", "files", "stop_reasons", "pull_requests", "attachments", "permission_changes", "turns"):
+    whole(_name)
+
+
 @report
 def session_detail(f: Facts) -> DataFrame:
     only = Facts(**(f.tables() | {"sessions": f.sessions.where(F.col("session_id") == SESSION)}))
