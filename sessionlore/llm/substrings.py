@@ -7,16 +7,22 @@ bytes before it is dropped and a chunk longer than ``MOST`` is divided from its
 start, both by rules that look at nearby bytes only. Chunks are told apart by a
 64-bit digest.
 
-A chunk that occurs in two documents or more is repeated; the document with the
-smallest id keeps it. Single short chunks repeat by chance or as common lines, so
-only runs of neighbouring repeated chunks of at least ``passage`` characters
-count. A shared passage loses the parts before its first and after its last cut,
-two chunks on average, so the bound lies well below the passages to be found.
+Single short chunks repeat by chance or as common lines, so the unit that is
+compared is a window: from each chunk on, and back from each chunk, the fewest
+adjacent chunks of at least ``passage`` characters. Windows cover exactly the
+runs of at least so many characters: two documents share that many characters of adjacent
+chunks exactly if they share a window, so the smallest document that holds a
+window is the smallest that shares a passage there. It keeps the window; windows
+of one document that overlap and have the same keeper form one passage. Nothing
+shorter than ``passage`` is ever cut. A kept passage can overlap one that an
+earlier document keeps; the overlap is cut with the latter. A shared passage
+loses the parts before its first and after its last cut, two chunks on average,
+so the bound lies well below the passages to be found.
 
 Digests are aggregated in each task before they are shuffled, and the join that
 brings positions back can split a digest shared by very many documents. Whole
 texts are chunked. Documents are told apart by doc_id: repeated rows of one id
-never make a chunk repeated. Rows with a null id, and null or empty texts, have
+never make a window repeated. Rows with a null id, and null or empty texts, have
 no spans. An empty table gives an empty result; ``remove`` keeps all columns,
 whatever their names.
 """
@@ -81,70 +87,88 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
     return digests, ends
 
 
-CHUNK_SCHEMA = "doc_id long, text_print long, digests array<long>, ends array<int>"
+#: Odd, so that it has an inverse among 64-bit numbers.
+BASE = 0x9E3779B97F4A7C15
 
 
-def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_print, at, digest, start, end), a row for each chunk."""
+def windows(text: str, passage: int) -> tuple[np.ndarray, ...]:
+    """(digests, first chunks, last chunks, starts, ends in characters) of a text's windows.
+
+    A window's digest is a polynomial in the digests of its chunks, from running sums.
+    """
+    digests, ends = chunks(text)
+    starts = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]])
+    n = len(ends)
+    ahead = np.searchsorted(ends, starts + passage)
+    back = np.searchsorted(starts, ends - passage, "right") - 1
+    first = np.flatnonzero(ahead < n)
+    last = np.flatnonzero(back >= 0)
+    last = last[ahead[back[last]] != last]  # the others are windows ahead
+    first, last = np.concatenate([first, back[last]]), np.concatenate([ahead[first], last])
+    up = np.full(n, BASE, np.uint64)
+    down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests.view(np.uint64) * np.cumprod(up))])
+    made = (sums[last + 1] - sums[first]) * np.cumprod(down)[first]
+    return made.view(np.int64), first, last, starts[first], ends[last]
+
+
+WINDOW_SCHEMA = "doc_id long, text_print long, digests array<long>, firsts array<int>, lasts array<int>, starts array<int>, ends array<int>"
+
+
+def windowed(docs: DataFrame, passage: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_print, digest, at, last, start, end), a row for each window; at and last are its chunks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 some = batch.slice(first, 512)
-                made = [chunks(t) for t in some.column(2).to_pylist()]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(d) for d, _ in made])]), pa.int32())
-                digests, ends = (np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.ListArray.from_arrays(offsets, pa.array(digests, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int32()))],
-                    names=["doc_id", "text_print", "digests", "ends"],
-                )
+                made = [windows(t, passage) for t in some.column(2).to_pylist()]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]), pa.int32())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([m[i] for m in made]), kind)) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *lists], names=["doc_id", "text_print", "digests", "firsts", "lasts", "starts", "ends"])
 
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    rows = own.select("doc_id", F.xxhash64("text").alias("text_print"), "text").mapInArrow(cut, CHUNK_SCHEMA)
-    return rows.select("doc_id", "text_print", F.posexplode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)), "ends").alias("starts"), "ends")).alias("at", "c")).where("c.ends is not null").select("doc_id", "text_print", "at", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
+    rows = own.select("doc_id", F.xxhash64("text").alias("text_print"), "text").mapInArrow(cut, WINDOW_SCHEMA)
+    zipped = F.explode(F.arrays_zip("digests", "firsts", "lasts", "starts", "ends")).alias("c")
+    return rows.select("doc_id", "text_print", zipped).select("doc_id", "text_print", F.col("c.digests").alias("digest"), F.col("c.firsts").alias("at"), F.col("c.lasts").alias("last"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
 
 
-SPAN_SCHEMA = "doc_id long, text_print long, start int, end int, chunks int, first_doc long, kept boolean, dropped array<struct<start:int,end:int>>"
+SPAN_SCHEMA = "doc_id long, text_print long, start int, end int, chunks int, first_doc long, kept boolean"
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Repeated passages: (doc_id, text_print, start, end, chunks, first_doc, kept, dropped).
+    """Repeated passages: (doc_id, text_print, start, end, chunks, first_doc, kept).
 
-    A row is a run of repeated chunks. ``first_doc`` is the smallest document that
-    shares any of them, ``dropped`` the parts that other documents keep, and
-    ``kept`` whether there are none.
+    A row is a passage of one keeper: ``first_doc``, the smallest document that
+    holds its windows. ``kept`` is whether that is the document itself; else the
+    row is a part that it loses. Passages of different keepers can overlap.
     """
-    shared = chunked(docs, key, text).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
-    shared = written(shared, "chunk-digests")
-    met = chunked(docs, key, text).join(shared, "digest")
-    # A document's chunks come together: as much as its own text.
-    own = met.groupBy("doc_id", "text_print").agg(F.collect_set(F.struct("at", "start", "end", "first_doc")).alias("met"))
+    shared = windowed(docs, passage, key, text).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
+    shared = written(shared, "window-digests")
+    met = windowed(docs, passage, key, text).join(shared, "digest")
+    # A document's windows come together: as much as its own text.
+    own = met.groupBy("doc_id", "text_print").agg(F.collect_set(F.struct("at", "last", "start", "end", "first_doc")).alias("met"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, print_, found in zip(*(c.to_pylist() for c in batch.columns)):
-                found.sort(key=lambda c: c["at"])
-                i = 0
-                while i < len(found):
-                    j = i + 1
-                    while j < len(found) and found[j]["at"] == found[j - 1]["at"] + 1:
-                        j += 1
-                    run = found[i:j]
-                    if run[-1]["end"] - run[0]["start"] >= passage:
-                        dropped: list[dict] = []
-                        for c in run:
-                            if c["first_doc"] == doc:
-                                continue
-                            if dropped and dropped[-1]["end"] == c["start"]:
-                                dropped[-1]["end"] = c["end"]
-                            else:
-                                dropped.append({"start": c["start"], "end": c["end"]})
-                        rows.append((doc, print_, run[0]["start"], run[-1]["end"], len(run), min(c["first_doc"] for c in run), not dropped, dropped))
-                    i = j
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            names = ["doc_id", "text_print", "start", "end", "chunks", "first_doc", "kept", "dropped"]
+                found.sort(key=lambda w: (w["at"], w["last"]))
+                latest: dict[int, dict] = {}
+                made = []
+                for w in found:
+                    run = latest.get(w["first_doc"])
+                    if run and w["at"] <= run["last"]:
+                        run["last"], run["end"] = max(run["last"], w["last"]), max(run["end"], w["end"])
+                    else:
+                        latest[w["first_doc"]] = w
+                        made.append(w)
+                rows += [(doc, print_, w["start"], w["end"], w["last"] + 1 - w["at"], w["first_doc"], w["first_doc"] == doc) for w in made]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            names = ["doc_id", "text_print", "start", "end", "chunks", "first_doc", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     return own.mapInArrow(runs, SPAN_SCHEMA)
@@ -152,18 +176,18 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, key: str = "doc_id", text:
 
 def remove(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """``docs`` without the passages that an earlier document keeps."""
-    spans = repeats(docs, passage).where("not kept").groupBy("doc_id", "text_print").agg(F.array_sort(F.flatten(F.collect_list("dropped"))).alias("spans"))
+    spans = repeats(docs, passage).where("not kept").groupBy("doc_id", "text_print").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_print"))
     both = rows.join(spans, ["doc_id", "text_print"], "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     text = F.col("row.text")
-    cut = F.aggregate("spans", start, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["text"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("text")), lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
+    cut = F.aggregate("spans", start, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))).alias("text")), lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
     return both.withColumn("cut", F.when(F.col("spans").isNotNull(), cut).otherwise(text)).select(*(F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage that documents share, with the smallest document that shares it."""
-    return repeats(table(spark, sf_dir, "documents")).drop("text_print", "dropped")
+    """Every passage that documents share, a row for each keeper: what a document keeps and what it loses to whom."""
+    return repeats(table(spark, sf_dir, "documents")).drop("text_print")
 
 
 QUERIES = {"op1_substrings": op1_substrings}
