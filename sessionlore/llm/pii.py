@@ -1,17 +1,20 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
 Base spans (kinds ``email``, ``ip``, ``card``, ``phone``) are found by patterns
-with checks. Every distinct value found is a protected entity. From the whole
-corpus come two counts, over different texts: in how many a term stands near an
-entity, and in how many it occurs at all. Their quotient is P(entity | term);
-its logarithm against P(entity) is what the term discloses, in bits. A term is
-sanitised where it stands near one entity in at least ``support`` different
-texts and discloses at least ``bits``: removed where P(entity | term) reaches
-``remove``, generalised to its length class where it reaches ``generalise``.
-Copies of one text count once, so a document that is repeated often does not
-make its words disclose anything.
-
-All counts are Spark aggregations over all texts. The candidate terms reach the
+with checks. Every distinct value found is a protected entity, and so is each kind
+as a whole, as most values occur in one or two texts only. From the whole corpus
+come two counts, over different texts: how many hold both a term and an entity,
+and how many hold the term at all. Terms are all words, short ones and those with
+digits too, but function words. The quotient of the counts, smoothed by ``prior``
+texts at the rate of the corpus, is P(entity | term); its logarithm against
+P(entity) is what the term discloses, in bits. A term is sanitised where it meets
+one entity or kind in at least ``support`` different texts and discloses at least
+``bits``: removed where P(entity | term) reaches ``remove``, generalised to its
+length class where it reaches ``generalise``. A term of one or two texts can meet
+an entity there by chance, so it is not sanitised. Copies of one text count once,
+so a document that is repeated often does not make its words disclose anything.
+
+All counts are Spark aggregations over all texts. The disclosing terms reach the
 tasks that look for them as a broadcast while they number at most
 ``broadcast_terms``; beyond, the words of the texts are shuffled to meet them.
 
@@ -40,9 +43,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
-#: Words on either side of an entity that count as near, and characters searched for them.
-NEAR, REACH = 8, 200
+TERM = re.compile(r"[^\W_]+")
+#: Words that name nothing, whatever they stand beside.
+FUNCTION_WORDS = frozenset(
+    "a an and are as at be but by can did do does for from had has have he her hers him his i if in is it its may me my no nor not of on or our ours shall she should so than that the their theirs them then these they this those to up us was we were what when where which who whom whose will with would you your yours".split()
+)
+PRIOR = 1.0
 SUPPORT, BITS, GENERALISE, REMOVE = 3, 4.0, 0.5, 0.9
 BROADCAST_TERMS = 100_000
 
@@ -86,35 +92,33 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else NOT_DIGITS.sub('', value)}"
 
 
-def near_terms(text: str, begin: int, end: int, taken: np.ndarray) -> set[str]:
-    """Lower-cased terms close to a span, base spans themselves left out."""
-    before = list(TERM.finditer(text, max(0, begin - REACH), begin))[-NEAR:]
-    after = list(TERM.finditer(text, end, end + REACH))[:NEAR]
-    return {m[0].lower() for m in before + after if not taken[m.start() : m.end()].any()}
+def terms_beside(text: str, found: list[tuple[str, int, int]]) -> set[str]:
+    """Lower-cased terms of a whole text; words that touch a base span are left out."""
+    taken = bytearray(len(text))
+    for _, a, b in found:
+        taken[a:b] = b"\x01" * (b - a)
+    return {m[0].lower() for m in TERM.finditer(text) if taken.find(1, m.start(), m.end()) < 0} - FUNCTION_WORDS
 
 
-FOUND_SCHEMA = "doc_id long, text_print string, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,terms:array<string>>>"
+def words_of(text: str) -> set[str]:
+    return set(TERM.findall(text.lower())) if text.isascii() else {w.lower() for w in TERM.findall(text)}
+
+
+FOUND_SCHEMA = "doc_id long, text_print string, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, terms array<string>"
 
 
 def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Base spans of every text, and the terms near each entity."""
+    """Base spans and entities of every text, and all terms of a text that has any."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))])))
+        kinds = (pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.list_(pa.string()))
         for batch in batches:
-            spans, near = [], []
+            rows = []
             for text in batch.column(2).to_pylist():
                 found = base_matches(text)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                who: dict[str, set[str]] = {}
-                if found:
-                    taken = np.zeros(len(text), bool)
-                    for _, a, b in found:
-                        taken[a:b] = True
-                    for k, a, b in found:
-                        who.setdefault(entity(k, text[a:b]), set()).update(near_terms(text, a, b, taken))
-                near.append([{"entity": e, "terms": sorted(t)} for e, t in who.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kinds[0]), pa.array(near, kinds[1])], names=["doc_id", "text_print", "spans", "near"])
+                entities = sorted({entity(k, text[a:b]) for k, a, b in found})
+                rows.append(([{"kind": k, "start": a, "end": b} for k, a, b in found], entities, sorted(terms_beside(text, found)) if found else []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "text_print", "spans", "entities", "terms"])
 
     return printed(docs, key, text).mapInArrow(find, FOUND_SCHEMA)
 
@@ -137,7 +141,7 @@ def term_spans(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_
         for batch in batches:
             rows = []
             for key_, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if wanted is not None and wanted.isdisjoint(TERM.findall(text.lower())) and (text.isascii() or wanted.isdisjoint(w.lower() for w in TERM.findall(text))):
+                if wanted is not None and wanted.isdisjoint(words_of(text)):
                     continue
                 own: dict[str, list[dict]] = {}
                 for m in TERM.finditer(text):
@@ -151,43 +155,59 @@ def term_spans(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_
     return printed(docs, key, text).mapInArrow(find, WORDS_SCHEMA)
 
 
-def least_texts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, texts): a lower bound of the different texts that hold a term, the most
-    that any one task has seen. It rules out common words before their places are listed."""
-    kept = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen, held = kept.value, set(), Counter()
-        for batch in batches:
-            for print_, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if print_ not in seen:
-                    seen.add(print_)
-                    held.update(wanted.intersection(TERM.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "texts"])
+#: Words that a task counts before it passes them on.
+COUNTED = 500_000
 
-    return printed(docs, key, text).mapInArrow(count, "term string, texts long").groupBy("term").agg(F.max("texts").alias("texts"))
 
+def text_counts(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, texts): the different texts that hold a term. All rows are counted where they
+    lie; of texts with copies one row more is counted, as often too little as it has copies."""
 
-def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(terms with their action, occurrences of candidate terms in all texts)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter()
+        for batch in batches:
+            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word in words_of(text):
+                    held[word] += weight
+                if len(held) > COUNTED:
+                    yield counted(held)
+                    held = Counter()
+        yield counted(held)
+
+    def counted(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "texts"])
+
+    copies = written(found.groupBy("text_print").agg((F.lit(1) - F.count(F.lit(1))).alias("weight")).where("weight < 0"), "pii-copies")
+    more = printed(docs, key, text).join(copies, "text_print").select("text_print", "text", "weight").dropDuplicates(["text_print"])
+    every = printed(docs, key, text).select("text", F.lit(1).cast("long").alias("weight"))
+    counts = [rows.select("text", "weight").mapInArrow(count, "term string, texts long") for rows in (every, more)]
+    return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("texts").alias("texts"))
+
+
+def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS, prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
+    """(terms with their action, their occurrences in all texts)."""
     texts = found.select("text_print").distinct().count()
-    pairs = found.where(F.size("near") > 0).select("text_print", F.explode("near").alias("n")).select("text_print", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("term"))
-    near = pairs.distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
-    of_entity = pairs.select("entity", "text_print").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts"))
-    near = written(near.join(of_entity, "entity"), "pii-near")
-    terms = near.select("term").distinct()
-    few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    if few:
-        likely = near.groupBy("term").agg(F.max("together").alias("together")).join(least_texts(docs, terms), "term", "left")
-        terms = likely.where(F.col("together") >= F.coalesce("texts", F.lit(0)) * generalise).select("term")
-    used = term_spans(docs, terms) if few else term_spans(docs).join(terms, "term", "left_semi")
-    used = written(used.select("doc_id", "text_print", "term", "spans"), "pii-terms")
-    counts = used.select("term", "text_print").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    given = F.col("together") / F.col("texts")
-    told = near.join(counts, "term").withColumn("given", given).withColumn("bits", F.log2(F.col("given") * F.lit(float(max(texts, 1))) / F.col("entity_texts")))
+    held = found.where(F.size("entities") > 0).select("text_print", "entities", "terms").dropDuplicates(["text_print"])
+    held = written(held, "pii-texts")
+    # No term meets an entity more often than it occurs, so rare entities need no pairs.
+    often = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= support)
+    by_entity = held.select(F.explode("entities").alias("entity"), "terms").join(often, "entity").select("entity", "entity_texts", F.explode("terms").alias("term"))
+    near = by_entity.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together"), F.max("entity_texts").alias("entity_texts"))
+    kinds = held.select(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1))).alias("kinds"), "terms")
+    of_kinds = F.broadcast(kinds.select(F.explode("kinds").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")))  # a row a kind
+    by_kind = kinds.select(F.explode("kinds").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).join(of_kinds, "entity")
+    near = near.unionByName(by_kind).where(F.col("together") >= support)
+    near = written(near, "pii-near")
+    counts = text_counts(docs, found)
+    rate = F.col("entity_texts") / F.lit(float(max(texts, 1)))
+    given = (F.col("together") + prior * rate) / (F.col("texts") + prior)
+    told = near.join(counts, "term").withColumn("given", given).withColumn("bits", F.log2(F.col("given") / rate))
     strong = told.where((F.col("given") >= generalise) & (F.col("bits") >= bits))
     action = F.when(F.max("given") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    return strong.groupBy("term").agg(action.alias("action"), F.max("given").alias("given"), F.max("bits").alias("bits")), used
+    actions = written(strong.groupBy("term").agg(action.alias("action"), F.max("given").alias("given"), F.max("bits").alias("bits")), "pii-actions")
+    few = actions.limit(broadcast_terms + 1).count() <= broadcast_terms
+    used = term_spans(docs, actions) if few else term_spans(docs).join(actions.select("term"), "term", "left_semi")
+    return actions, used.select("doc_id", "text_print", "term", "spans")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: float) -> DataFrame:
@@ -198,7 +218,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: flo
     # A row a document; equal texts of equal ids have equal terms, so they count once.
     own = spans.distinct().groupBy("doc_id", "text_print").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "action"))).alias("terms"))
     same = found["doc_id"].eqNullSafe(own["doc_id"]) & (found["text_print"] == own["text_print"])
-    joined = found.join(own, same, "left").select(found["doc_id"].alias(key), found["text_print"], found["spans"].alias("base"), "terms")
+    joined = found.join(own, same, "left").select(found["doc_id"].alias(key), found["text_print"], found["spans"].alias("base"), own["terms"])
     none = F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")
     # Inside a base span a term is hidden already.
     apart = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
