@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder takes its place, and the session is told of it.
+    Only where the session names none and runs on one machine a temporary folder
+    takes its place, and the session is told of it; on a cluster that is an error,
+    as no executor would see another's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sessionlore-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -50,6 +54,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The seed of Spark's ``xxhash64``.
+SPARK_SEED = 42
+#: 64-bit words of a sieve: 8 MiB, whatever goes in.
+SIEVE_WORDS = 1 << 20
+
+
+def sieve(hashes: DataFrame, words: int) -> np.ndarray:
+    """A Bloom filter with two probes of the 64-bit numbers in ``hash``, put together by Spark."""
+    places = F.array(F.pmod("hash", F.lit(64 * words)), F.pmod(F.shiftright("hash", 32), F.lit(64 * words)))
+    bits = hashes.select(F.explode(places).alias("place"))
+    word, bit = F.floor(F.col("place") / 64).cast("int"), F.expr("shiftleft(1L, cast(place % 64 as int))")
+    made = bits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[made["word"].to_numpy()] = made["bits"].to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each number may be in the sieve: true for all that are."""
+    hashes = hashes.view(np.int64)
+    sure = np.ones(len(hashes), bool)
+    for h in (hashes, hashes >> np.int64(32)):
+        place = h % np.int64(64 * len(bits))  # the remainder is never negative, like pmod
+        sure &= (bits[place >> 6] >> (place & 63)) & 1 == 1
+    return sure
+
+
 #: Whole texts reach Python in batches of at most so many rows.
 BATCH_ROWS = 1_000
 

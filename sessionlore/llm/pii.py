@@ -3,23 +3,27 @@
 Base spans (kinds ``email``, ``ip``, ``card``, ``phone``) are found by patterns
 with checks. Every distinct value found is a protected entity, and so is each kind
 as a whole, as most values occur in one or two texts only. From the whole corpus
-come two counts, over different texts: how many hold both a term and an entity,
-and how many hold the term at all. Terms are all words, short ones and those with
+come two counts: how many texts hold both a term and an entity, and how many hold
+the term at all. Copies of a text with personal data count once, so a text that
+is repeated often does not make its words disclose anything; texts without any
+count as often as they occur. Terms are all words, short ones and those with
 digits too, but function words. The quotient of the counts, smoothed by ``prior``
 texts at the rate of the corpus, is P(entity | term); its logarithm against
 P(entity) is what the term discloses, in bits. A term is sanitised where it meets
 one entity or kind in at least ``support`` different texts and discloses at least
 ``bits``: removed where P(entity | term) reaches ``remove``, generalised to its
 length class where it reaches ``generalise``. A term of one or two texts can meet
-an entity there by chance, so it is not sanitised. Copies of one text count once,
-so a document that is repeated often does not make its words disclose anything.
+an entity there by chance, so it is not sanitised.
 
-All counts are Spark aggregations over all texts. The disclosing terms reach the
-tasks that look for them as a broadcast while they number at most
-``broadcast_terms``; beyond, the words of the texts are shuffled to meet them.
+One scan finds the base spans and counts words, a second finds the disclosing
+terms. Tasks of the second know the terms by a sieve of fixed size and pass on
+what it cannot rule out; a join decides. Rows of a frequent entity or term are
+dealt into salted parts. The plan is the same for few and many terms.
 
-A null or empty text has no spans. Repeated rows give repeated results; an empty
-table gives an empty result; other columns are not read.
+A null or empty text has no spans. A text of any length is scanned whole, in time
+in proportion to it. Spans that tie in start are listed by kind, then end. Equal
+rows give equal results; an empty table gives an empty result; other columns are
+not read by ``find`` and kept by ``sanitise``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +34,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import SIEVE_WORDS, SPARK_SEED, passes, sieve, table, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,7 +55,6 @@ FUNCTION_WORDS = frozenset(
 )
 PRIOR = 1.0
 SUPPORT, BITS, GENERALISE, REMOVE = 3, 4.0, 0.5, 0.9
-BROADCAST_TERMS = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -61,6 +65,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """From each at sign back over the local part: linear, unlike a search from every character."""
     done, at = 0, text.find("@")
@@ -78,7 +88,7 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if "." in text:
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = NOT_DIGITS.sub("", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -104,125 +114,171 @@ def words_of(text: str) -> set[str]:
     return set(TERM.findall(text.lower())) if text.isascii() else {w.lower() for w in TERM.findall(text)}
 
 
-FOUND_SCHEMA = "doc_id long, text_print string, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, terms array<string>"
+PASS_SCHEMA = """
+    doc_id long, text_print string, spans array<struct<kind:string,start:int,end:int>>,
+    entities array<string>, terms array<string>, word string, rows long
+"""
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+PASS_KINDS = {
+    "doc_id": pa.int64(),
+    "text_print": pa.string(),
+    "spans": pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])),
+    "entities": pa.list_(pa.string()),
+    "terms": pa.list_(pa.string()),
+    "word": pa.string(),
+    "rows": pa.int64(),
+}
+#: Words that a task counts before it passes them on.
+COUNTED = 500_000
 
 
-def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Base spans and entities of every text, and all terms of a text that has any."""
+def first_pass(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Two sorts of rows from one scan: of every text its base spans and entities, and
+    all its terms where it has any; and (word, rows), how many texts without personal
+    data hold a word, added up as they come."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.list_(pa.string()))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain: Counter[str] = Counter()
         for batch in batches:
             rows = []
-            for text in batch.column(2).to_pylist():
+            for key_, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = base_matches(text)
-                entities = sorted({entity(k, text[a:b]) for k, a, b in found})
-                rows.append(([{"kind": k, "start": a, "end": b} for k, a, b in found], entities, sorted(terms_beside(text, found)) if found else []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "text_print", "spans", "entities", "terms"])
-
-    return printed(docs, key, text).mapInArrow(find, FOUND_SCHEMA)
+                if not found:
+                    plain.update(words_of(text))
+                rows.append({
+                    "doc_id": key_,
+                    "text_print": print_,
+                    "spans": [{"kind": k, "start": a, "end": b} for k, a, b in found],
+                    "entities": sorted({entity(k, text[a:b]) for k, a, b in found}),
+                    "terms": sorted(terms_beside(text, found)) if found else [],
+                })
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(PASS_KINDS))
+            if len(plain) > COUNTED:
+                yield counted(plain)
+                plain = Counter()
+        yield counted(plain)
+
+    def counted(plain: Counter[str]) -> pa.RecordBatch:
+        own = {"word": pa.array(list(plain), pa.string()), "rows": pa.array(list(plain.values()), pa.int64())}
+        columns = [own.get(name, pa.nulls(len(plain), kind)) for name, kind in PASS_KINDS.items()]
+        return pa.RecordBatch.from_arrays(columns, names=list(PASS_KINDS))
+
+    return printed(docs, key, text).mapInArrow(scan, PASS_SCHEMA)
 
 
 def printed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    own = text_or_empty(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    return own.select("doc_id", F.md5("text").alias("text_print"), "text")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return text_or_empty(own).select("doc_id", F.md5("text").alias("text_print"), "text")
 
 
 WORDS_SCHEMA = "doc_id long, text_print string, term string, spans array<struct<start:int,end:int>>"
 
 
-def term_spans(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_print, term, spans) of each term in a text; of all terms, or of
-    those in ``terms``, which must fit a broadcast."""
-    kept = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect())) if terms is not None else None
+def term_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_print, term, spans) of the terms in each text, and of a few other
+    words: those that a sieve of fixed size cannot tell from a term."""
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(terms.select(F.xxhash64("term").alias("hash")), SIEVE_WORDS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = kept.value if kept else None
+        known = Known(bits.value)
+        kinds = [("doc_id", pa.int64()), ("text_print", pa.string()), ("term", pa.string()), ("spans", pa.list_(SPAN))]
         for batch in batches:
             rows = []
             for key_, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if wanted is not None and wanted.isdisjoint(words_of(text)):
+                if not (wanted := known.among(words_of(text))):
                     continue
                 own: dict[str, list[dict]] = {}
                 for m in TERM.finditer(text):
                     term = m[0].lower()
-                    if wanted is None or term in wanted:
+                    if term in wanted:
                         own.setdefault(term, []).append({"start": m.start(), "end": m.end()})
                 rows += [{"doc_id": key_, "text_print": print_, "term": t, "spans": s} for t, s in own.items()]
-            schema = pa.schema([("doc_id", pa.int64()), ("text_print", pa.string()), ("term", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
     return printed(docs, key, text).mapInArrow(find, WORDS_SCHEMA)
 
 
-#: Words that a task counts before it passes them on.
-COUNTED = 500_000
+class Known:
+    """Which words pass a sieve; the words met before are remembered."""
 
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.met: set[str] = set()
+        self.passed: set[str] = set()
 
-def text_counts(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, texts): the different texts that hold a term. All rows are counted where they
-    lie; of texts with copies one row more is counted, as often too little as it has copies."""
+    def among(self, words: set[str]) -> set[str]:
+        if len(self.met) > COUNTED:
+            self.met, self.passed = set(), set()
+        if new := list(words - self.met):
+            hashes = np.array([xxhash.xxh64_intdigest(w, seed=SPARK_SEED) for w in new], np.uint64)
+            self.met.update(new)
+            self.passed.update(w for w, in_ in zip(new, passes(self.bits, hashes)) if in_)
+        return words & self.passed
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter()
-        for batch in batches:
-            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in words_of(text):
-                    held[word] += weight
-                if len(held) > COUNTED:
-                    yield counted(held)
-                    held = Counter()
-        yield counted(held)
-
-    def counted(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "texts"])
-
-    copies = written(found.groupBy("text_print").agg((F.lit(1) - F.count(F.lit(1))).alias("weight")).where("weight < 0"), "pii-copies")
-    more = printed(docs, key, text).join(copies, "text_print").select("text_print", "text", "weight").dropDuplicates(["text_print"])
-    every = printed(docs, key, text).select("text", F.lit(1).cast("long").alias("weight"))
-    counts = [rows.select("text", "weight").mapInArrow(count, "term string, texts long") for rows in (every, more)]
-    return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("texts").alias("texts"))
-
-
-def disclosure(docs: DataFrame, found: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS, prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
-    """(terms with their action, their occurrences in all texts)."""
-    texts = found.select("text_print").distinct().count()
-    held = found.where(F.size("entities") > 0).select("text_print", "entities", "terms").dropDuplicates(["text_print"])
+
+#: Parts into which rows of one entity or term are dealt, so that a frequent one is no task of its own.
+SALT = 32
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+
+
+def in_every_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def disclosure(
+    passed: DataFrame, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR
+) -> DataFrame:
+    """(term, action, given, bits) of the terms to sanitise, from the written ``first_pass``."""
+    held = passed.where(F.size("entities") > 0).select("text_print", "entities", "terms").dropDuplicates(["text_print"])
     held = written(held, "pii-texts")
+    plain = passed.where("word is null and size(entities) = 0").count()
+    texts = held.count() + plain
+
     # No term meets an entity more often than it occurs, so rare entities need no pairs.
-    often = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= support)
-    by_entity = held.select(F.explode("entities").alias("entity"), "terms").join(often, "entity").select("entity", "entity_texts", F.explode("terms").alias("term"))
+    each = held.select(F.explode("entities").alias("entity"), "text_print", "terms")
+    often = each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= support)
+    by_entity = salted(each, "text_print").join(in_every_part(often), ["entity", "salt"])
+    by_entity = by_entity.select("entity", "entity_texts", F.explode("terms").alias("term"))
     near = by_entity.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together"), F.max("entity_texts").alias("entity_texts"))
-    kinds = held.select(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1))).alias("kinds"), "terms")
-    of_kinds = F.broadcast(kinds.select(F.explode("kinds").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")))  # a row a kind
-    by_kind = kinds.select(F.explode("kinds").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together")).join(of_kinds, "entity")
-    near = near.unionByName(by_kind).where(F.col("together") >= support)
-    near = written(near, "pii-near")
-    counts = text_counts(docs, found)
+
+    own = F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1)))
+    kinds = held.select(F.explode(own).alias("entity"), "terms")
+    of_kinds = F.broadcast(kinds.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")))  # a row a kind
+    by_kind = kinds.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity")
+    by_kind = by_kind.agg(F.count(F.lit(1)).alias("together")).join(of_kinds, "entity")
+    near = written(near.unionByName(by_kind).where(F.col("together") >= support), "pii-near")
+
+    counts = passed.where("word is not null").select(F.col("word").alias("term"), "rows")
+    counts = counts.unionByName(held.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("rows")))
+    counts = counts.groupBy("term").agg(F.sum("rows").alias("texts"))
     rate = F.col("entity_texts") / F.lit(float(max(texts, 1)))
     given = (F.col("together") + prior * rate) / (F.col("texts") + prior)
     told = near.join(counts, "term").withColumn("given", given).withColumn("bits", F.log2(F.col("given") / rate))
     strong = told.where((F.col("given") >= generalise) & (F.col("bits") >= bits))
     action = F.when(F.max("given") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    actions = written(strong.groupBy("term").agg(action.alias("action"), F.max("given").alias("given"), F.max("bits").alias("bits")), "pii-actions")
-    few = actions.limit(broadcast_terms + 1).count() <= broadcast_terms
-    used = term_spans(docs, actions) if few else term_spans(docs).join(actions.select("term"), "term", "left_semi")
-    return actions, used.select("doc_id", "text_print", "term", "spans")
+    actions = strong.groupBy("term").agg(action.alias("action"), F.max("given").alias("given"), F.max("bits").alias("bits"))
+    return written(actions, "pii-actions")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: float) -> DataFrame:
     """(doc_id, text_print, base, terms): all spans of every text; a term span has its action."""
-    found = written(find_base(docs, key, text), "pii-base")
-    actions, used = disclosure(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), found, **limits)
-    spans = used.join(actions, "term").select("doc_id", "text_print", "action", F.explode("spans").alias("s"))
+    passed = written(first_pass(docs, key, text), "pii-base")
+    actions = disclosure(passed, **limits)
+    used = salted(term_spans(docs, actions, key, text), "text_print").join(in_every_part(actions), ["term", "salt"])
+    spans = used.select("doc_id", "text_print", "action", F.explode("spans").alias("s"))
     # A row a document; equal texts of equal ids have equal terms, so they count once.
-    own = spans.distinct().groupBy("doc_id", "text_print").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end", "action"))).alias("terms"))
+    ordered = F.array_sort(F.collect_set(F.struct("s.start", "s.end", "action")))
+    own = spans.groupBy("doc_id", "text_print").agg(ordered.alias("terms"))
+    found = passed.where("word is null")
     same = found["doc_id"].eqNullSafe(own["doc_id"]) & (found["text_print"] == own["text_print"])
     joined = found.join(own, same, "left").select(found["doc_id"].alias(key), found["text_print"], found["spans"].alias("base"), own["terms"])
     none = F.expr("cast(array() as array<struct<start:int,end:int,action:string>>)")
     # Inside a base span a term is hidden already.
     apart = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return joined.withColumn("terms", apart)
+    return joined.withColumn("terms", F.when(F.size("base") > 0, apart).otherwise(F.coalesce("terms", none)))
 
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
