@@ -55,10 +55,59 @@ def test_markov_models(spark):
 
 def test_secrets_on_cases(spark):
     docs = cases.documents(spark)
-    model = secrets.train(secrets.labelled_samples(docs))
+    model = secrets.train(secrets.labelled_samples(docs, secrets.candidates(docs)))
     found = secrets.scan(docs, model)
     assert found.count() == docs.count() and found.where("doc_id = 12").first().spans[0].kind == "assign"
-    assert secrets.scan(cases.empty(spark), secrets.train(secrets.labelled_samples(cases.empty(spark)))).count() == 0
+    none = cases.empty(spark)
+    assert secrets.scan(none, secrets.train(secrets.labelled_samples(none, secrets.candidates(none)))).count() == 0
+
+
+def open_runs(text):
+    """Whole runs that overlap no base span, by comparing all with all."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in secret_spans(text).split(",") if s]
+    runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text)]
+    return [(a, b) for a, b in runs if all(b <= x or y <= a for x, y in base)]
+
+
+def slow_ratio(value, model):
+    at = [0, *(secrets.ALPHABET.index(c) + 1 for c in value)]
+    return sum(float(f"{model[p * len(secrets.ALPHABET) + c - 1]:.6f}") for p, c in zip(at, at[1:])) / len(value)
+
+
+def test_markov_spans_against_brute_force(spark):
+    rng = random.Random(15)
+    parts = ["token", "=", " ", "'", "abcdef012345", "AKIA", "XYZ0123456789ABCD", "é", ":", "a-b_c", "Zz9+/", "qwertyuiop", ".", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(400)]
+    model = [rng.uniform(-3, 3) for _ in range(69 * 68)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.markov] for r in secrets.scan(docs, model, 0.1).collect()}
+    want = {i: [(a, b) for a, b in open_runs(t) if slow_ratio(t[a:b], model) >= 0.1] for i, t in enumerate(texts)}
+    assert got == want and sum(map(bool, want.values())) > 20
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{i:016x}" if i % 3 else f"token={i:014x}-{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    one = secrets.scan(docs, [0.0] * (69 * 68), 1.0).select(secrets.listed(secrets.F.col("spans")).alias("s")).first()
+    assert one.s == secret_spans(text)
+
+
+def test_samples_of_rare_secrets(spark):
+    rows = [(i, "ordinary words stand here") for i in range(500)] + [(900 + i, f"password={'aB3x' * 4}{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    samples = secrets.labelled_samples(docs, secrets.candidates(docs), sample_docs=3)
+    counts = {r.random: r["count"] for r in samples.groupBy("random").count().collect()}
+    assert counts[True] == 3 and 0 < counts[False] <= 9
+
+
+def test_secrets_query(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in secrets.op4_secrets(spark, data).collect():
+        base = secret_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(f"{k}:") for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
 E_ = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -260,7 +309,3 @@ def test_mixing_on_cases(spark):
     mixed = mixing.mix(docs)
     assert cases.same_columns(mixed, docs) and {r.doc_id for r in mixed.collect()} == {r.doc_id for r in docs.collect()}
     assert mixing.mix(cases.empty(spark)).count() == 0
-
-
-def test_secret_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
