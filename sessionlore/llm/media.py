@@ -8,9 +8,11 @@ the decoded image follows: block means on a 32 x 32 grid, a cosine transform in
 whole numbers (so equal images hash equally on any machine), and the signs of
 the 8 x 8 lowest frequencies against their median.
 
-Null text is the empty text, whose payload is 64 zero bytes; repeated rows give
-repeated, equal results; an empty table gives an empty result. Input columns
-besides the key and the text are not read, so they can have any name.
+Null text is the empty text, whose payload is 64 zero bytes. A text of any length
+is one image of as many rows as it takes. Equal texts, which may tie in every
+column, and repeated rows give repeated, equal results; frequencies that tie with
+the median count as not above it. An empty table gives an empty result. Input
+columns besides the key and the text are not read, so they can have any name.
 """
 
 from __future__ import annotations
@@ -113,6 +115,8 @@ def decode_png(media: bytes) -> np.ndarray:
         if struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise MediaError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if len(body) != 13:
+                raise MediaError("header of another length")
             width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
             if (depth, colour, interlaced) != (8, 0, 0):
                 raise MediaError("not 8-bit greyscale")
