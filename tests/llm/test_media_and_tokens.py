@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import struct
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from sessionlore.llm import media, packing, token_files
 from sessionlore.llm.tokens import Encoder, vocabulary_path
@@ -48,6 +50,35 @@ def test_every_filter():
     assert (media.unfilter(only) == media.unfilter(slow)[:12]).all()
 
 
+def test_short_header():
+    short = media.SIGNATURE + media.chunk(b"IHDR", b"123") + media.chunk(b"IEND", b"")
+    with pytest.raises(media.MediaError, match="header"):
+        media.decode_png(short)
+
+
+def slow_hash(pixels):
+    """Block means, cosine transform and signs by plain loops over whole numbers."""
+    height, width = len(pixels), len(pixels[0])
+    cells = [[0] * 32 for _ in range(32)]
+    for v in range(32):
+        top, bottom = v * height // 32, max(v * height // 32 + 1, (v + 1) * height // 32)
+        for u in range(32):
+            left, right = u * width // 32, max(u * width // 32 + 1, (u + 1) * width // 32)
+            block = [int(pixels[y][x]) for y in range(top, bottom) for x in range(left, right)]
+            cells[v][u] = sum(block) // len(block)
+    wave = [[round(math.cos(math.pi * (2 * x + 1) * k / 64) * 16384) for x in range(32)] for k in range(8)]
+    low = [sum(wave[i][y] * wave[j][x] * cells[y][x] for y in range(32) for x in range(32)) for i in range(8) for j in range(8)]
+    low[0] = 0
+    middle = sorted(low)[32]
+    return int("".join(str(int(v > middle)) for v in low), 2).to_bytes(8, "big")
+
+
+@pytest.mark.parametrize("rows", [1, 3, 31, 32, 33, 200])
+def test_cosine_hash_against_loops(rows):
+    pixels = np.random.default_rng(rows).integers(0, 256, (rows, 64)).astype(np.uint8)
+    assert media.cosine_hash(pixels) == slow_hash(pixels)
+
+
 def test_media_query(spark):
     docs = cases.documents(spark)
     got = {r.doc_id: r for r in media.media_features(media.to_media(docs)).collect()}
@@ -66,16 +97,25 @@ def test_encoder_equals_tokenizer():
     random.seed(3)
     alphabet = "abcXYZ éüß'  \n\t.,!?0123456789²½ªµ×÷½—漢😀\x1c \x85<|endoftext|>"
     texts = ["", "it's we'll  I'd", "a  b   c\n\n d ", "<|endoftext|> x", "\x1f \x0b", *("".join(random.choices(alphabet, k=random.randint(1, 80))) for _ in range(1500))]
-    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in enc.encode(texts)] == want
+    texts += ["".join(random.choices(["<|endoftext|>", "<|", "endoftext", "|>", " a", "b ", "\n"], k=random.randint(1, 20))) for _ in range(300)]
+    want = [e.ids for e in Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(texts)] == want and 50256 in want[3]
     assert [x.tolist() for x in enc.encode(texts)] == want  # from memory
 
 
+def test_encoder_with_another_vocabulary():
+    """Other splitting rules: nothing is split here, and all ids are the tokenizer's own."""
+    path = vocabulary_path("word_bpe_49k.json")
+    texts = ["it's  ONE word\n and\t1234 more", "", "é漢😀 <|endoftext|> x", "<|startoftext|>a"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(path).encode(texts)] == want
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for values in ([], [0], [0, 0, 7], np.cumsum(rng.integers(0, 5000, 3000)).tolist(), [10**12, 10**12 + 1], list(range(600))):
         read, at = token_files.EliasFano.read(token_files.EliasFano.of(values).to_bytes(), 0)
-        assert read.all().tolist() == values and [read.select(i) for i in range(len(values))] == values
+        assert [v for run in read.runs() for v in run.tolist()] == values and [read.select(i) for i in range(len(values))] == values
         with pytest.raises(IndexError):
             read.select(len(values))
 
@@ -91,13 +131,15 @@ def test_shards():
 
 def test_token_files(spark, tmp_path):
     docs = cases.documents(spark)
+    special = spark.createDataFrame([(70 + i, f"a <|endoftext|> b{i}<|endoftext|>") for i in range(3)], "doc_id long, text string")
+    docs = docs.unionByName(special, allowMissingColumns=True)
     path = f"file://{tmp_path}/tokens"
     token_files.write_token_files(docs, path, shard_ids=5_000, partitions=3)
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, path).collect())
-    enc = Encoder(vocabulary_path())
+    plain = Tokenizer.from_file(vocabulary_path())
     start = 0
     for (key, first, n, crc), r in zip(got, sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)), strict=True):
-        ids = [*enc.encode([r.text or ""])[0].tolist(), 2]
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 2]
         assert (key, first, n, crc) == ((r.doc_id is not None, r.doc_id or 0), start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += n
     empty = f"file://{tmp_path}/empty"
@@ -106,7 +148,7 @@ def test_token_files(spark, tmp_path):
 
 
 def check_pack(rows, texts, window):
-    enc = Encoder(vocabulary_path())
+    plain = Tokenizer.from_file(vocabulary_path())
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -121,7 +163,7 @@ def check_pack(rows, texts, window):
         assert at <= window
         used[s] = at
     for k, text in dict(texts).items():
-        ids = np.array([*enc.encode([text or ""])[0].tolist(), 1], "<u4")
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         copies = sum(1 for x, _ in texts if x == k)
         pieces = sorted(by_doc[k], key=lambda r: r.start)
         assert sum(r.length for r in pieces) == copies * len(ids)
@@ -132,7 +174,8 @@ def check_pack(rows, texts, window):
 
 
 def test_packing(spark):
-    docs = cases.documents(spark)
+    special = spark.createDataFrame([(70, "a <|endoftext|> b")], "doc_id long, text string")
+    docs = cases.documents(spark).unionByName(special, allowMissingColumns=True)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     for window in (2048, 64):
         assert check_pack(packing.pack(docs, window=window, slack=2).collect(), texts, window) < 0.04
