@@ -21,8 +21,13 @@ LIMIT = 20
 def matching(sessions: DataFrame, project: str | None) -> DataFrame:
     if project is None:
         return sessions
-    pattern = f"%{project}%"
-    return sessions.where(F.col("project").ilike(pattern) | F.col("path").ilike(pattern))
+    return sessions.where(holds("project", project) | holds("path", project))
+
+
+def holds(column: str, part: str) -> Column:
+    """Whether a text holds a pattern part; a backslash in it stands for itself."""
+    pattern = "%" + part.replace("\\", "\\\\") + "%"
+    return F.col(column).ilike(pattern)
 
 
 def _names(values: Column) -> Column:
@@ -33,7 +38,7 @@ def sessions(facts: Facts, project: str | None = None, file: str | None = None,
     """The latest sessions, also of those that touched a file."""
     rows = matching(facts.sessions, project)
     if file is not None:
-        touched = facts.file_modifications.where(F.col("file_path").ilike(f"%{file}%"))
+        touched = facts.file_modifications.where(holds("file_path", file))
         rows = rows.join(touched, "session_key", "left_semi")
     rows = rows.orderBy(F.desc_nulls_last("first_ms"), "path").limit(limit)
     return rows.select("project", "session_id", "path", "first_ms", scalars.rfc3339(F.col("first_ms")).alias("date"), "message_count", "duration_ms", "model")
@@ -84,14 +89,26 @@ def tools_per_session(facts: Facts, project: str | None = None, limit: int = LIM
     return rows.select("project", "session_id", "first_ms", "tools")
 
 
-def _nearest_rank(p: int, column: str) -> Column:
-    return F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").cast("double")
+def duration_stats(durations: DataFrame, by: str) -> DataFrame:
+    """(by, turn_count, avg_ms, p50_ms, p95_ms, max_ms): nearest ranks by running counts of
+    the different durations, which a window can spill; one map of all of them could not."""
+    counted = durations.groupBy(by, "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(by).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(by).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = counted.withColumn("reached", F.sum("n").over(order)).withColumn("all", F.sum("n").over(every))
+    rank = lambda p: F.min(F.when(F.col("reached") * 100 >= F.col("all") * p, F.col("duration_ms"))).cast("double")
+    return ranked.groupBy(by).agg(
+        F.sum("n").alias("turn_count"),
+        (F.sum(F.col("duration_ms") * F.col("n")) / F.sum("n")).alias("avg_ms"),
+        rank(50).alias("p50_ms"),
+        rank(95).alias("p95_ms"),
+        F.max("duration_ms").alias("max_ms"),
+    )
 
 
 def turns(facts: Facts, project: str | None = None, limit: int = LIMIT) -> DataFrame:
     both = facts.turn_durations.join(matching(facts.sessions, project).select("session_key", "project"), "session_key")
-    stats = both.groupBy("project").agg(F.count(F.lit(1)).alias("turn_count"), F.avg("duration_ms").alias("avg_ms"), _nearest_rank(50, "duration_ms").alias("p50_ms"), _nearest_rank(95, "duration_ms").alias("p95_ms"), F.max("duration_ms").alias("max_ms"))
-    return stats.orderBy(F.desc("avg_ms"), "project").limit(limit)
+    return duration_stats(both, "project").orderBy(F.desc("avg_ms"), "project").limit(limit)
 
 
 def pull_requests(facts: Facts, project: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -104,20 +121,25 @@ def pull_requests(facts: Facts, project: str | None = None, limit: int = LIMIT)
 
 def files(facts: Facts, project: str | None = None, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """The most touched files, with the project that touched each most."""
-    touched = facts.file_modifications if path is None else facts.file_modifications.where(F.col("file_path").ilike(f"%{path}%"))
+    touched = facts.file_modifications if path is None else facts.file_modifications.where(holds("file_path", path))
     both = touched.join(matching(facts.sessions, project).select("session_key", "project", "last_ms"), "session_key")
-    by_project = both.groupBy("file_path", "project").agg(F.count(F.lit(1)).alias("events"), F.max("last_ms").alias("last_ms"))
-    rank = Window.partitionBy("file_path").orderBy(F.desc("events"), "project")
-    best = by_project.withColumn("rank", F.row_number().over(rank))
-    top = best.groupBy("file_path").agg(F.sum("events").alias("modification_count"), F.max("last_ms").alias("last_touched_ms"), F.max(F.when(F.col("rank") == 1, F.col("project"))).alias("top_project"))
-    counted = both.groupBy("file_path").agg(F.count_distinct("session_key").alias("session_count"))
-    ranked = top.orderBy(F.desc("modification_count"), "file_path").limit(limit)
-    return ranked.join(counted, "file_path").select("file_path", "modification_count", "session_count", "last_touched_ms", "top_project")
+    # A session has one project, so a file's sessions are the sum over its projects.
+    by_project = both.groupBy("file_path", "project").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("session_key").alias("sessions"), F.max("last_ms").alias("last_ms")
+    )
+    top = by_project.groupBy("file_path").agg(
+        F.sum("events").alias("modification_count"),
+        F.sum("sessions").alias("session_count"),
+        F.max("last_ms").alias("last_touched_ms"),
+        F.min_by("project", F.struct(-F.col("events"), F.col("project"))).alias("top_project"),
+    )
+    return top.orderBy(F.desc("modification_count"), "file_path").limit(limit)
 
 
 def models(facts: Facts, project: str | None = None) -> DataFrame:
     both = facts.token_usage.join(matching(facts.sessions, project).select("session_key"), "session_key")
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    # Different lists only, and few differ: they name tiers or places.
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     grouped = both.groupBy(F.coalesce("model", F.lit("")).alias("model")).agg(
         F.count_distinct("session_key").alias("session_count"),
         *(F.sum(c).alias(c) for c in pricing.COUNTERS),
@@ -153,50 +175,71 @@ def one_session(sessions_: DataFrame, selector: str) -> DataFrame:
     return found.where(F.col("path") == paths[0])
 
 
-def session_children(facts: Facts, chosen: DataFrame) -> dict[str, DataFrame]:
-    """The parts of a session's detail, each in its order; ``chosen`` has session_key."""
+#: The order of each part of a session's detail; ``-`` marks falling columns.
+PARTS = {
+    "tools": ("-calls", "tool"),
+    "pull_requests": ("-at", "pr_url"),
+    "files": ("file_path",),
+    "stop_reasons": ("-times", "reason"),
+    "attachments": ("filename", "mime_type"),
+    "permission_changes": ("at", "mode"),
+    "models": ("-cost_usd", "model"),
+}
+
+
+def _parts(facts: Facts, chosen: DataFrame) -> dict[str, DataFrame]:
     own = lambda df: df.join(chosen.select("session_key"), "session_key")
-    turns_ = own(facts.turn_durations).groupBy("session_key").agg(F.count(F.lit(1)).alias("turn_count"), F.avg("duration_ms").alias("avg_ms"), _nearest_rank(50, "duration_ms").alias("p50_ms"), _nearest_rank(95, "duration_ms").alias("p95_ms"), F.max("duration_ms").alias("max_ms"))
+    used = own(facts.token_usage).select("session_key", "model", *pricing.COUNTERS, pricing.usd(F.col("cost_units")).alias("cost_usd"))
     return {
-        "tools": own(facts.tool_calls).select("session_key", "tool", "calls").orderBy("session_key", F.desc("calls"), "tool"),
-        "pull_requests": own(facts.pr_links).orderBy("session_key", F.desc("at"), "pr_url"),
-        "files": own(facts.file_modifications).select("session_key", "file_path").distinct().orderBy("session_key", "file_path"),
-        "turns": turns_,
-        "stop_reasons": own(facts.stop_reasons).select("session_key", "reason", "times").orderBy("session_key", F.desc("times"), "reason"),
-        "attachments": own(facts.attachments).select("session_key", "filename", "mime_type").orderBy("session_key", "filename", "mime_type"),
-        "permission_changes": own(facts.permission_changes).select("session_key", "mode", "at").orderBy("session_key", "at", "mode"),
-        "models": own(facts.token_usage).select("session_key", "model", *pricing.COUNTERS, "cost_units").withColumn("cost_usd", pricing.usd(F.col("cost_units"))).drop("cost_units").orderBy("session_key", F.desc("cost_usd"), "model"),
+        "tools": own(facts.tool_calls).select("session_key", "tool", "calls"),
+        "pull_requests": own(facts.pr_links),
+        "files": own(facts.file_modifications).select("session_key", "file_path").distinct(),
+        "turns": duration_stats(own(facts.turn_durations), "session_key"),
+        "stop_reasons": own(facts.stop_reasons).select("session_key", "reason", "times"),
+        "attachments": own(facts.attachments).select("session_key", "filename", "mime_type"),
+        "permission_changes": own(facts.permission_changes).select("session_key", "mode", "at"),
+        "models": used,
     }
 
 
+def session_children(facts: Facts, chosen: DataFrame) -> dict[str, DataFrame]:
+    """The parts of a session's detail, each in its order; ``chosen`` has session_key."""
+    parts = _parts(facts, chosen)
+    for name, keys in PARTS.items():
+        order = (F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in keys)
+        parts[name] = parts[name].orderBy("session_key", *order)
+    return parts
+
+
 def session(facts: Facts, selector: str) -> DataFrame:
     """One nested row with all parts of the selected session."""
     chosen = one_session(facts.sessions, selector)
     out = chosen
-    ranks = {"tools": ("-calls", "tool"), "pull_requests": ("!at", "pr_url"), "files": ("file_path",), "stop_reasons": ("-times", "reason"), "attachments": ("filename", "mime_type"), "permission_changes": ("at", "mode"), "models": ("-cost_usd", "model")}
-    for name, rows in session_children(facts, chosen).items():
-        parts = [c for c in rows.columns if c != "session_key"]
+    for name, rows in _parts(facts, chosen).items():
+        columns = [c for c in rows.columns if c != "session_key"]
         if name == "turns":
-            out = out.join(rows.select("session_key", F.struct(*parts).alias(name)), "session_key", "left")
+            out = out.join(rows.select("session_key", F.struct(*columns).alias(name)), "session_key", "left")
             continue
         # One session's parts fit one row; they are sorted inside it.
-        nested = rows.groupBy("session_key").agg(F.collect_list(F.struct(*parts)).alias(name))
+        nested = rows.groupBy("session_key").agg(F.collect_list(F.struct(*columns)).alias(name))
         out = out.join(nested, "session_key", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
-        out = out.withColumn(name, F.array_sort(name, _comparator(ranks[name])))
-    sums = facts.token_usage.groupBy("session_key").agg(*(F.sum(c).alias(c) for c in pricing.COUNTERS), F.sum("cost_units").alias("cost_units"))
-    thinking = facts.thinking_usage.groupBy("session_key").agg(F.sum("thinking_blocks").alias("thinking_blocks"))
+        out = out.withColumn(name, F.array_sort(name, _comparator(PARTS[name])))
+    own = lambda df: df.join(chosen.select("session_key"), "session_key", "left_semi").groupBy("session_key")
+    sums = own(facts.token_usage).agg(*(F.sum(c).alias(c) for c in pricing.COUNTERS), F.sum("cost_units").alias("cost_units"))
+    thinking = own(facts.thinking_usage).agg(F.sum("thinking_blocks").alias("thinking_blocks"))
     out = out.join(sums, "session_key", "left").join(thinking, "session_key", "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (*pricing.COUNTERS, "thinking_blocks")]
-    return out.select("project", "session_id", "path", "first_ms", "last_ms", "duration_ms", "message_count", "model", *counts, pricing.usd(F.coalesce("cost_units", F.lit(0))).alias("cost_usd"), *ranks, "turns")
+    head = ("project", "session_id", "path", "first_ms", "last_ms", "duration_ms", "message_count", "model")
+    return out.select(*head, *counts, pricing.usd(F.coalesce("cost_units", F.lit(0))).alias("cost_usd"), *PARTS, "turns")
 
 
 def _comparator(keys: tuple[str, ...]):
-    """Order by fields in turn; ``-`` and ``!`` mark falling ones, nulls count as smallest."""
+    """Order by fields in turn; ``-`` marks falling ones, nulls count as smallest."""
 
     def compare(a: Column, b: Column) -> Column:
         out = F.lit(0)
         for key in reversed(keys):
-            name, falling = key.lstrip("-!"), key[0] in "-!"
+            name, falling = key.lstrip("-"), key[0] == "-"
             x, y = (b[name], a[name]) if falling else (a[name], b[name])
             less = (x < y) | (x.isNull() & y.isNotNull())
             more = (x > y) | (x.isNotNull() & y.isNull())

@@ -37,7 +37,6 @@ FACTS = f"""WITH per_order AS (
 )
 """
 DATE = "strftime(make_timestamp(first_ms * 1000), '%Y-%m-%dT%H:%M:%S+00:00')"
-CHILD = " WHERE session_key IN (SELECT session_key FROM sessions WHERE session_key <= 200)"
 EVERY = " WHERE session_key IN (SELECT session_key FROM sessions)"
 RANK = "quantile_disc(duration_ms, 0.5)::DOUBLE AS p50_ms, quantile_disc(duration_ms, 0.95)::DOUBLE AS p95_ms, max(duration_ms) AS max_ms"
 BY_PROJECT = f"SELECT project, count(DISTINCT session_key) AS sessions, {SUMS}, coalesce(sum(cost_units), 0)::BIGINT AS units, coalesce(string_agg(DISTINCT {FAMILY.replace('model', 't.model')}, ',' ORDER BY {FAMILY.replace('model', 't.model')}), '') AS models FROM sessions LEFT JOIN token_usage t USING (session_key) GROUP BY project"
@@ -89,14 +88,14 @@ ORACLE = {
         ), best AS (SELECT file_path, project FROM (SELECT file_path, project, row_number() OVER (PARTITION BY file_path ORDER BY count(*) DESC, project) AS k FROM f GROUP BY 1, 2) WHERE k = 1)
         SELECT file_path, count(*) AS modification_count, count(DISTINCT session_key) AS session_count, max(last_ms) AS last_touched_ms, any_value(best.project) AS top_project
         FROM f LEFT JOIN best USING (file_path) GROUP BY file_path ORDER BY 2 DESC, 1 LIMIT 200""",
-    "session_detail_tools": FACTS + f"SELECT session_key, tool, calls FROM tool_calls{CHILD}",
-    "session_detail_models": FACTS + f"SELECT session_key, model, {COUNTERS}, cost_units / 1e8 AS cost_usd FROM token_usage{CHILD}",
-    "session_detail_files": FACTS + f"SELECT DISTINCT session_key, file_path FROM file_modifications{CHILD}",
-    "session_detail_stop_reasons": FACTS + f"SELECT session_key, reason, times FROM stop_reasons{CHILD}",
-    "session_detail_pull_requests": FACTS + f"SELECT * FROM pr_links{CHILD}",
-    "session_detail_attachments": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS filename, 'text/plain' AS mime_type FROM orders WHERE o_orderkey <= 200 AND o_orderpriority LIKE '1%'",
-    "session_detail_permission_changes": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS mode, strftime(o_orderdate, '%Y-%m-%d') AS \"at\" FROM orders WHERE o_orderkey <= 200 AND o_orderstatus = 'P'",
-    "session_detail_turns": FACTS + f"SELECT session_key, count(*) AS turn_count, round(avg(duration_ms), 6) AS avg_ms, {RANK} FROM turn_durations{CHILD} GROUP BY session_key",
+    "session_detail_tools": FACTS + f"SELECT session_key, tool, calls FROM tool_calls{EVERY}",
+    "session_detail_models": FACTS + f"SELECT session_key, model, {COUNTERS}, cost_units / 1e8 AS cost_usd FROM token_usage{EVERY}",
+    "session_detail_files": FACTS + f"SELECT DISTINCT session_key, file_path FROM file_modifications{EVERY}",
+    "session_detail_stop_reasons": FACTS + f"SELECT session_key, reason, times FROM stop_reasons{EVERY}",
+    "session_detail_pull_requests": FACTS + f"SELECT * FROM pr_links{EVERY}",
+    "session_detail_attachments": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS filename, 'text/plain' AS mime_type FROM orders WHERE o_orderkey IN (SELECT session_key FROM sessions) AND o_orderpriority LIKE '1%'",
+    "session_detail_permission_changes": FACTS + "SELECT o_orderkey AS session_key, o_orderpriority AS mode, strftime(o_orderdate, '%Y-%m-%d') AS \"at\" FROM orders WHERE o_orderkey IN (SELECT session_key FROM sessions) AND o_orderstatus = 'P'",
+    "session_detail_turns": FACTS + f"SELECT session_key, count(*) AS turn_count, round(avg(duration_ms), 6) AS avg_ms, {RANK} FROM turn_durations{EVERY} GROUP BY session_key",
     "all_sessions_tools": FACTS + f"SELECT session_key, tool, calls FROM tool_calls{EVERY}",
     "all_sessions_models": FACTS + f"SELECT session_key, model, {COUNTERS}, cost_units / 1e8 AS cost_usd FROM token_usage{EVERY}",
     "all_sessions_files": FACTS + f"SELECT DISTINCT session_key, file_path FROM file_modifications{EVERY}",

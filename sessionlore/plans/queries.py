@@ -110,37 +110,20 @@ def file_mods(f: Facts) -> DataFrame:
     return reports.files(f, path="a", limit=200)
 
 
-def child(name: str) -> None:
-    def run(f: Facts) -> DataFrame:
-        chosen = f.sessions.where(F.col("session_key") <= 200)
-        return reports.session_children(f, chosen)[name]
-
-    run.__name__ = f"session_detail_{name}"
-    report(run)
-
-
-for _name in ("tools", "models", "files", "stop_reasons", "pull_requests", "attachments", "permission_changes"):
-    child(_name)
-
-
-@report
-def session_detail_turns(f: Facts) -> DataFrame:
-    return rounded(reports.session_children(f, f.sessions.where(F.col("session_key") <= 200))["turns"], "avg_ms")
-
-
-def whole(name: str) -> None:
-    """The same parts for every session; the queries above stop at the keys their SQL names."""
+def child(name: str, prefix: str) -> None:
+    """A part of every session's detail."""
 
     def run(f: Facts) -> DataFrame:
         rows = reports.session_children(f, f.sessions)[name]
         return rounded(rows, "avg_ms") if name == "turns" else rows
 
-    run.__name__ = f"all_sessions_{name}"
+    run.__name__ = f"{prefix}_{name}"
     report(run)
 
 
-for _name in ("tools", "models", "files", "stop_reasons", "pull_requests", "attachments", "permission_changes", "turns"):
-    whole(_name)
+for _name in (*reports.PARTS, "turns"):
+    child(_name, "session_detail")
+    child(_name, "all_sessions")  # an older name
 
 
 @report

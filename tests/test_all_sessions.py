@@ -1,4 +1,4 @@
-"""The parts of every session, also beyond the keys at which session_detail_* stop."""
+"""The parts of every session."""
 
 import os
 
