@@ -1,14 +1,15 @@
-"""Terms of messages and queries: lower-cased words without diacritics, stemmed on request."""
+"""Terms of messages and queries: lower-cased words without diacritics, and their stems."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Lower-case Latin letters with diacritics, and their base letters.
 MARKED = "".join(c for c in map(chr, range(0xDF, 0x250)) if c.islower() and unicodedata.normalize("NFD", c) != c)
@@ -91,11 +92,25 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(StringType())
-def _stems(words_: pd.Series) -> pd.Series:
-    return words_.map(stem)
+@lru_cache(maxsize=200_000)
+def known_stem(word: str) -> str:
+    return stem(word)
 
 
-def stemmed(terms: DataFrame) -> DataFrame:
-    """``terms`` (with a column term) with its stem: the function runs once for each different term."""
-    return terms.join(terms.select("term").distinct().withColumn("stem", _stems("term")), "term")
+@F.pandas_udf(ArrayType(StringType()))
+def stems(terms: pd.Series) -> pd.Series:
+    """The stems of lists of terms; a worker remembers the words it has met."""
+    return terms.map(lambda own: None if own is None else [known_stem(w) for w in own])
+
+
+def sized(messages: DataFrame) -> DataFrame:
+    """``messages`` with the number of their terms, those of the role included."""
+    return messages.withColumn("terms", (F.size(words(F.col("role"))) + F.size(words(F.col("content")))).cast("long"))
+
+
+def postings(messages: DataFrame) -> DataFrame:
+    """(session_key, line_no, role, terms, stem, positions): where each stem stands in a message."""
+    own = messages.select("session_key", "line_no", "role", "terms", stems(F.concat(words(F.col("role")), words(F.col("content")))).alias("s"))
+    each = own.select("session_key", "line_no", "role", "terms", F.posexplode("s").alias("position", "stem"))
+    grouped = each.groupBy("session_key", "line_no", "role", "terms", "stem")
+    return grouped.agg(F.array_sort(F.collect_list("position")).alias("positions"))  # of one message

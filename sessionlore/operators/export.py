@@ -66,11 +66,13 @@ def markdown(sessions: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def markdown_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """The same from the messages table, where only texts are kept."""
+    """The same from the messages table, where only texts are kept; a session without any has its head."""
     part = _part(F.col("role"), F.col("at"), F.concat(F.col("content"), F.lit("\n")))
     grouped = messages.groupBy("session_key").agg(F.collect_list(F.struct("line_no", part.alias("text"))).alias("parts"))
     head = _head(F.col("session_id"), F.col("project"), F.col("first_ms"), F.col("model"))
-    return sessions.join(grouped, "session_key").select("path", _document(head, F.col("parts")).alias("document"))
+    none = F.array().cast("array<struct<line_no:bigint,text:string>>")
+    both = sessions.join(grouped, "session_key", "left")
+    return both.select("path", _document(head, F.coalesce("parts", none)).alias("document"))
 
 
 def json_document(sessions: DataFrame, records: DataFrame) -> DataFrame:
@@ -83,6 +85,19 @@ def json_document(sessions: DataFrame, records: DataFrame) -> DataFrame:
     return both.select("path", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"messages":['), listed, F.lit("]}")).alias("document"))
 
 
+def selected_json(documents: DataFrame) -> DataFrame:
+    """(document): the JSON of a selector's sessions, one as an object, more as an array in order of path."""
+    listed = documents.agg(F.array_sort(F.collect_list(F.struct("path", "document"))).alias("l"))
+    every = F.array_join(F.transform("l", lambda x: x["document"]), ",")
+    return listed.select(F.when(F.size("l") == 1, every).otherwise(F.concat(F.lit("["), every, F.lit("]"))).alias("document"))
+
+
 def write(documents: DataFrame, path: str) -> None:
-    """One text row a session."""
-    documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)
+    """One file a session, in the folders ``project=<its folder>/session=<its file>`` below ``path``."""
+    parts = F.split("path", "/")
+    named = documents.select(
+        F.element_at(parts, -2).alias("project"),
+        F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("session"),
+        F.col("document").alias("value"),
+    )
+    named.repartition("project", "session").write.mode("overwrite").partitionBy("project", "session").text(path)

@@ -94,10 +94,12 @@ def _listed(rows: DataFrame, name: str) -> DataFrame:
 
 
 def state(threads: DataFrame) -> DataFrame:
-    """One row over the state table."""
-    one = threads.agg(F.count(F.lit(1)).alias("thread_count"), F.count_if(F.col("has_user_event") != 0).alias("threads_with_user_event"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("total_tokens_used"))
+    """One row over the state table, which is counted by project and model."""
+    sums = {"thread_count": "threads", "threads_with_user_event": "with_user_event", "total_tokens_used": "tokens_used"}
+    one = threads.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()))
     for column, name in (("cwd", "top_projects"), ("model_provider", "top_models")):
-        one = one.crossJoin(F.broadcast(_listed(top(threads, column), name)))
+        used = threads.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.sum("threads").alias("count"))
+        one = one.crossJoin(F.broadcast(_listed(used.orderBy(F.desc("count"), "name").limit(10), name)))
     return one
 
 

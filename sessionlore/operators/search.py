@@ -1,15 +1,21 @@
 """Full-text and literal search over messages.
 
-Ranked search is BM25 (k1 = 1.2, b = 0.75) over the terms of a message and its
-role. A query of one word asks for that word; one of several words asks for the
-phrase. Only messages that hold all words of the query reach the join with their
-own terms; the collection's size and mean length are one aggregated row.
+Ranked search is BM25 (k1 = 1.2, b = 0.75) over the stems of a message and its role.
+A query of one word asks for that word; one of several words asks for the phrase. A
+search reads the postings of its own stems (a persisted store keeps them sorted, so
+other row groups are skipped), the number and lengths of all messages, and the text
+of the few messages that it shows. ``stem=False`` asks for words as they stand and
+scans the messages.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import scalars, search_text
 from ..sources.facts import Facts
@@ -24,8 +30,6 @@ def _indexed(facts: Facts) -> DataFrame:
 
 
 def query_words(query: str) -> list[str]:
-    import re
-
     table = str.maketrans(search_text.MARKED, search_text.PLAIN)
     return [w for w in re.split(r"[\W_]+", query.lower().translate(table)) if w]
 
@@ -36,49 +40,82 @@ def _occurrences(terms: Column, wanted: list[str]) -> Column:
     return F.regexp_count(spaced, F.lit(f"(?= {' '.join(wanted)} )"))
 
 
-def ranked(messages: DataFrame, wanted: list[str]) -> DataFrame:
-    """``messages`` (with terms) that hold the phrase, with ``score``: its BM25, higher is better."""
-    size = F.size("terms").cast("double")
-    all_ = messages.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean"))
-    hits = messages.withColumn("tf", _occurrences(F.col("terms"), wanted).cast("double")).where(F.col("tf") > 0)
+def scored(hits: DataFrame, every: DataFrame) -> DataFrame:
+    """``hits`` (with tf and terms) with ``score``; ``every`` is one row of n and mean."""
     df = hits.agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.crossJoin(F.broadcast(all_.crossJoin(df)))  # one row of totals
+    both = hits.crossJoin(F.broadcast(every.crossJoin(df)))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * size / F.col("mean")))
-    return scored.withColumn("score", score).drop("n", "mean", "df", "tf")
+    length = 1 - B + B * F.col("terms") / F.col("mean")
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
+    return both.withColumn("score", score).drop("n", "mean", "df", "tf")
+
+
+def totals(messages: DataFrame) -> DataFrame:
+    return messages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("terms").cast("double")).alias("mean"))
+
+
+def ranked(messages: DataFrame, wanted: list[str]) -> DataFrame:
+    """``messages`` (with the list ``terms``) that hold the phrase, with ``score``: its BM25, higher is better."""
+    counted = messages.withColumn("tf", _occurrences(F.col("terms"), wanted).cast("double")).withColumn("terms", F.size("terms").cast("double"))
+    return scored(counted.where(F.col("tf") > 0), totals(counted.select("terms")))
 
 
-def snippet(content: Column, word: str) -> Column:
-    """Twenty words around the first hit, which is marked."""
+def phrase_hits(postings: DataFrame, asked: list[str]) -> DataFrame:
+    """(session_key, line_no, role, terms, tf) of messages that hold the stems one after another."""
+    keys = ["session_key", "line_no", "role", "terms"]
+    rows = postings.where(F.col("stem").isin(asked))
+    places = [F.first(F.when(F.col("stem") == s, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, s in enumerate(asked)]
+    held = rows.groupBy(*keys).agg(*places)
+
+    def follows(p: Column) -> Column:
+        out = F.lit(True)
+        for i in range(1, len(asked)):
+            out = out & F.array_contains(f"p{i}", p + i)
+        return out
+
+    whole = F.filter("p0", follows) if len(asked) > 1 else F.col("p0")
+    return held.select(*keys, F.size(whole).cast("double").alias("tf")).where("tf > 0")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stemmed_parts(parts: pd.Series) -> pd.Series:
+    """For each part of a text its stems between spaces."""
+    one = lambda part: f" {' '.join(map(search_text.stem, query_words(part)))} "
+    return parts.map(lambda own: None if own is None else [one(p) for p in own])
+
+
+def snippet(content: Column, asked: list[str], stem: bool = True) -> Column:
+    """Twenty words around the first hit of a query's first word; all its words are marked."""
     parts = F.split(content, r"\s+")
-    table = lambda w: F.array_contains(search_text.words(w), word)
-    at = F.coalesce(F.array_position(F.transform(parts, table), True), F.lit(0)).cast("int")
+    spaced = F.transform(parts, lambda p: F.concat(F.lit(" "), F.array_join(search_text.words(p), " "), F.lit(" ")))
+    pairs = F.arrays_zip(parts.alias("word"), (_stemmed_parts(parts) if stem else spaced).alias("held"))
+    has = lambda held, words: F.rlike(held, F.lit(f" ({'|'.join(words)}) ")) if words else F.lit(False)
+    at = F.coalesce(F.array_position(F.transform(pairs, lambda p: has(p["held"], asked[:1])), True), F.lit(0)).cast("int")
     start = F.greatest(F.lit(1), at - SNIPPET_WORDS // 2)
-    window = F.slice(parts, start, SNIPPET_WORDS)
-    marked = F.transform(window, lambda w: F.when(table(w), F.concat(F.lit("[["), w, F.lit("]]"))).otherwise(w))
+    mark = lambda p: F.when(has(p["held"], asked), F.concat(F.lit("[["), p["word"], F.lit("]]"))).otherwise(p["word"])
     head = F.when(start > 1, F.lit("...")).otherwise(F.lit(""))
     tail = F.when(start + SNIPPET_WORDS <= F.size(parts), F.lit("...")).otherwise(F.lit(""))
-    return F.concat(head, F.array_join(marked, " "), tail)
+    return F.concat(head, F.array_join(F.transform(F.slice(pairs, start, SNIPPET_WORDS), mark), " "), tail)
 
 
-def search(facts: Facts, query: str, project: str | None = None, limit: int = LIMIT, stem: bool = False) -> DataFrame:
+def search(facts: Facts, query: str, project: str | None = None, limit: int = LIMIT, stem: bool = True) -> DataFrame:
     """The best messages for a query; ``rank`` is lower for better ones, and equal to six digits is equal."""
     wanted = query_words(query)
-    messages = _indexed(facts)
-    if stem:
-        rows = messages.select("session_key", "line_no", "role", F.posexplode("terms").alias("pos", "term"))
-        stems = search_text.stemmed(rows).groupBy("session_key", "line_no", "role").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
-        messages = messages.drop("terms").join(stems.select("session_key", "line_no", "role", F.col("s.stem").alias("terms")), ["session_key", "line_no", "role"])
-        asked = [search_text.stem(w) for w in wanted]
-    else:
-        asked = wanted
+    keys = ["session_key", "line_no", "role"]
+    asked = [search_text.stem(w) for w in wanted] if stem else wanted
     if not wanted:
-        hits = messages.withColumn("score", F.lit(0.0)).where(F.lit(False))
+        hits = facts.messages.select(*keys, F.lit(0.0).alias("score")).where(F.lit(False))
+    elif stem:
+        hits = scored(phrase_hits(facts.postings, asked), totals(facts.messages))
     else:
-        hits = ranked(messages, asked)
-    both = hits.join(matching(facts.sessions, project).select("session_key", "project", "session_id", "path"), "session_key")
+        hits = ranked(_indexed(facts), asked)
+    both = hits.select(*keys, "score").join(matching(facts.sessions, project).select("session_key", "project", "session_id", "path"), "session_key")
     best = both.orderBy(F.desc(F.round("score", 6)), "path", "line_no", "role").limit(limit)
-    return best.select("project", "session_id", "at", "role", snippet(F.col("content"), wanted[0] if wanted else "").alias("snippet"), (-F.col("score")).alias("rank"))
+    texts = facts.messages.select(*keys, "at", "content")
+    shown = F.broadcast(best).join(texts, keys)  # at most ``limit`` rows
+    shown = shown.select("project", "session_id", "at", "role", snippet(F.col("content"), asked, stem).alias("snippet"), "score", "path", "line_no")
+    ordered = shown.orderBy(F.desc(F.round("score", 6)), "path", "line_no", "role")
+    return ordered.select("project", "session_id", "at", "role", "snippet", (-F.col("score")).alias("rank"))
 
 
 def literal(facts: Facts, query: str, project: str | None = None, limit: int = LIMIT, case_sensitive: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .queries import NOW_MS, SESSION
+from .transcript_queries import ORACLE as TRANSCRIPTS
 
 COUNTERS = "input_tokens, output_tokens, cache_write_tokens, cache_read_tokens"
 SUMS = ", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in COUNTERS.split(", "))
@@ -53,6 +54,9 @@ LITERAL = """, lines AS (
 ), cut AS (SELECT *, greatest(1, found - 80) AS a, least(length(line), found + 82) AS b FROM hits)
 SELECT project, session_id, line_no, sub_line::INTEGER AS sub_line, role, {date} AS date,
     CASE WHEN a > 1 THEN '...' ELSE '' END || substring(line, a, b - a + 1) || CASE WHEN b < length(line) THEN '...' ELSE '' END AS snippet FROM cut"""
+# Words with the stem of "things".
+STEMMED = "['thing', 'things', 'thinge', 'thinges', 'thinged', 'thinging']"
+MARKED = f"len(list_intersect({WORDS.replace('text', 'p')}, {STEMMED})) > 0"
 ROLLOUT = """WITH items AS (
     SELECT 'conv-' || conv_id AS path, conv_id % 3 = 0 AS archived, 'message' AS kind, role, NULL AS name, NULL AS ms, turn AS line_no FROM conversations
     UNION ALL SELECT 'conv-' || user_id, user_id % 3 = 0, ['function_call', 'exec_command_end', 'reasoning', 'turn_aborted', 'web_search_call', 'patch_apply_end'][event_id % 6 + 1], NULL, event_type, (epoch_us(ts) // 1000), event_id + 1000 FROM events
@@ -129,13 +133,22 @@ ORACLE = {
     "search_messages": FACTS + f""", t AS (SELECT session_key, line_no, role, list_concat({WORDS.replace('text', 'role')}, {WORDS.replace('text', 'content')}) AS terms FROM messages),
         h AS (SELECT * EXCLUDE (terms), len(list_filter(terms, lambda x: x = 'assistant'))::DOUBLE AS tf, len(terms)::DOUBLE AS size FROM t), g AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM h),
         s AS (SELECT session_key, line_no, role, {BM25} FROM h, g WHERE tf > 0) SELECT project, session_id, role, -score AS rank FROM s JOIN sessions USING (session_key) ORDER BY score DESC, path, line_no, role LIMIT 30""",
+    "search_stemmed": FACTS + f""", t AS (SELECT session_key, line_no, role, content, list_concat({WORDS.replace('text', 'role')}, {WORDS.replace('text', 'content')}) AS terms FROM messages),
+        h AS (SELECT * EXCLUDE (terms), len(list_filter(terms, lambda x: list_contains({STEMMED}, x)))::DOUBLE AS tf, len(terms)::DOUBLE AS size FROM t),
+        g AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM h),
+        s AS (SELECT session_key, line_no, role, content, {BM25} FROM h, g WHERE tf > 0),
+        b AS (SELECT project, session_id, role, -score AS rank, string_split_regex(content, '\\s+') AS parts FROM s JOIN sessions USING (session_key) ORDER BY score DESC, path, line_no, role LIMIT 100),
+        a AS (SELECT *, greatest(1, coalesce(list_position(list_transform(parts, lambda p: {MARKED}), true), 0) - 10) AS first FROM b)
+        SELECT project, session_id, role, rank, CASE WHEN first > 1 THEN '...' ELSE '' END
+            || array_to_string(list_transform(parts[first:first + 19], lambda p: CASE WHEN {MARKED} THEN '[[' || p || ']]' ELSE p END), ' ')
+            || CASE WHEN first + 20 <= len(parts) THEN '...' ELSE '' END AS snippet FROM a""",
     "search_phrase": f"""WITH t AS (SELECT doc_id, {WORDS} AS terms FROM documents), h AS (SELECT doc_id, len(list_filter(range(1, len(terms)), lambda i: terms[i] = 'of' AND terms[i + 1] = 'the'))::DOUBLE AS tf, len(terms)::DOUBLE AS size FROM t),
         g AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM h) SELECT doc_id, {BM25} FROM h, g WHERE tf > 0""",
     "search_lines_cs": FACTS + LITERAL.format(line="line", word="The", date=DATE),
     "search_lines_ci": FACTS + LITERAL.format(line="lower(line)", word="the", date=DATE),
     "export_markdown": FACTS + f"""SELECT path, '# Session: ' || left(session_id, 8) || chr(10) || chr(10) || '**Project:** ' || project || chr(10) || '**Date:** ' || strftime(make_timestamp(first_ms * 1000), '%Y-%m-%d %H:%M UTC') || chr(10)
-        || CASE WHEN model IS NULL THEN '' ELSE '**Model:** ' || replace(model, 'claude-', '') || chr(10) END || chr(10) || '---' || chr(10) || chr(10) || parts AS document
-        FROM sessions JOIN (SELECT session_key, string_agg('## ' || upper(left(role, 1)) || substring(role, 2) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY line_no) AS parts FROM messages GROUP BY 1) USING (session_key)""",
+        || CASE WHEN model IS NULL THEN '' ELSE '**Model:** ' || replace(model, 'claude-', '') || chr(10) END || chr(10) || '---' || chr(10) || chr(10) || coalesce(parts, '') AS document
+        FROM sessions LEFT JOIN (SELECT session_key, string_agg('## ' || upper(left(role, 1)) || substring(role, 2) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY line_no) AS parts FROM messages GROUP BY 1) USING (session_key)""",
     "export_json": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS document, count(*) AS messages FROM conversations GROUP BY conv_id",
     "codex_counters": ROLLOUT + f"""SELECT count(*) AS total_sessions, count(*) FILTER (NOT archived) AS active_session_files, count(*) FILTER (archived) AS archived_sessions,
         count(*) FILTER (ms >= {DAY} AND ms < {DAY + 86_400_000}) AS sessions_today, count(*) FILTER (ms >= {WEEK}) AS sessions_this_week,
@@ -159,4 +172,4 @@ ORACLE = {
     "tail_format": """WITH e AS (SELECT event_id, event_type, event_id % 3 AS k, ['error', 'WARN', 'info', 'trace'][event_id % 4 + 1] AS level FROM events)
         SELECT event_id, CASE k WHEN 0 THEN '03:04:05 [' || level || '] ' || event_type WHEN 1 THEN '03:04:05 [system]' || CASE WHEN event_id % 3 > 0 THEN ' ' || (event_id % 3) || 'ms' ELSE '' END ELSE 'a Warning of ' || event_type END AS line,
         CASE k WHEN 0 THEN CASE lower(level) WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warn' WHEN 'trace' THEN 'debug' ELSE 'plain' END WHEN 1 THEN 'record' ELSE CASE WHEN contains(event_type, 'error') THEN 'error' ELSE 'warn' END END AS class FROM e""",
-}
+} | TRANSCRIPTS

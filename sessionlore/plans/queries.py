@@ -194,12 +194,13 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @report
 def search_messages(f: Facts) -> DataFrame:
-    return search.search(f, "assistant", limit=30).select("project", "session_id", "role", F.round("rank", 6).alias("rank"))
+    found = search.search(f, "assistant", limit=30, stem=False)
+    return found.select("project", "session_id", "role", F.round("rank", 6).alias("rank"))
 
 
 @report
 def search_stemmed(f: Facts) -> DataFrame:
-    return search.search(f, "things", stem=True).withColumn("rank", F.round("rank", 6))
+    return search.search(f, "things", limit=100).select("project", "session_id", "role", "snippet", F.round("rank", 6).alias("rank"))
 
 
 @report

@@ -17,7 +17,8 @@ SCHEMAS = {
     "stop_reasons": "session_key long, reason string, times long",
     "attachments": "session_key long, filename string, mime_type string",
     "permission_changes": "session_key long, mode string, at string",
-    "messages": "session_key long, line_no long, role string, content string, at string",
+    "messages": "session_key long, line_no long, role string, content string, at string, terms long",
+    "postings": "session_key long, line_no long, role string, terms long, stem string, positions array<int>",
 }
 
 
@@ -34,6 +35,7 @@ class Facts:
     attachments: DataFrame
     permission_changes: DataFrame
     messages: DataFrame
+    postings: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}

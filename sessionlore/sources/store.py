@@ -1,30 +1,41 @@
-"""The persisted fact store: versioned Parquet snapshots behind a manifest.
-
-A refresh compares the transcript files with the manifest's (path, size, time),
-parses new and changed ones only, keeps the rows of unchanged files, drops those
-of vanished ones, and writes all tables as a new version. The last step is one
-small manifest file that names the version: readers see the old snapshot or the
-new one, whole. A task that is retried writes into a version that nobody reads
-yet.
+"""The persisted fact store: buckets of Parquet files behind a manifest.
+
+A refresh lists the transcript files and writes that listing first, then compares
+it with the manifest's (path, size, time). It reads new and changed files only.
+Facts lie in buckets by a hash of their file's path, and only buckets with a new,
+changed or vanished file are written again; a manifest names the folder that
+holds each bucket. The last step is one new manifest file: readers see the old
+state or the new one, whole. A file that changes while it is read is listed with
+its old size or time, so the next refresh reads it again. Folders that only
+manifests before the last two name are removed.
 """
 
 from __future__ import annotations
 
+import re
 import time
+import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .facts import SCHEMAS, Facts
-from .transcripts import facts, read_lines
+from .shared import remove
+from .transcripts import facts, read_lines, records
 
 MAX_AGE_S = 300
-FORMAT = 1
-MANIFEST = "version long, format int, root string, synced_ms long"
+FORMAT = 2
+BUCKETS = 64
+MANIFEST = "name string, version long, format int, root string, synced_ms long, files string, buckets array<string>"
 FILES = "path string, file_size long, file_mtime long"
 
 
+def bucket(session_key: Column) -> Column:
+    return F.pmod(session_key, F.lit(BUCKETS)).cast("int")
+
+
 def classify(known: DataFrame, seen: DataFrame) -> DataFrame:
     """(path, status): new, changed, same or gone, from two lists of (path, file_size, file_mtime)."""
     k = known.select("path", F.struct("file_size", "file_mtime").alias("known"))
@@ -37,55 +48,76 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def manifest(self):
-        """The newest complete manifest, or None."""
+    def _manifests(self) -> list[Row]:
+        """All complete manifests, the newest first; there are two or three."""
         try:
             rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/*")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-        return rows.where(F.col("format") == FORMAT).orderBy(F.desc("version")).first()
+            return []
+        return rows.where(F.col("format") == FORMAT).orderBy(F.desc("version")).collect()
+
+    def manifest(self) -> Row | None:
+        """The newest complete manifest, or None."""
+        return next(iter(self._manifests()), None)
 
     def facts(self) -> Facts | None:
         now = self.manifest()
-        return None if now is None else self._version(now.version)
-
-    def _version(self, version: int) -> Facts:
-        return Facts(**{name: self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/{name}") for name, schema in SCHEMAS.items()})
-
-    def _files(self, version: int) -> DataFrame:
-        return self.spark.read.schema(FILES).parquet(f"{self.path}/v{version}/files")
-
-    def sync(self, root: str, force: bool = False, now_ms: int | None = None) -> int:
+        return None if now is None else self._facts(now.buckets, set(range(BUCKETS)))
+
+    def _facts(self, buckets: list[str], wanted: set[int]) -> Facts:
+        """The facts of some buckets, from the folders that hold them."""
+        made = {}
+        for name, schema in SCHEMAS.items():
+            parts = self.spark.createDataFrame([], schema)
+            for folder in sorted(set(buckets)):
+                own = [k for k in sorted(wanted) if buckets[k] == folder]
+                if own:
+                    rows = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{folder}/{name}")
+                    parts = parts.unionByName(rows.where(F.col("bucket").isin(own)).drop("bucket"))
+            made[name] = parts
+        return Facts(**made)
+
+    def sync(self, root: str, force: bool = False, now_ms: int | None = None, glob: str = "*/*.jsonl", folder: int = -2) -> int:
         """Bring the store up to date; the number of files read or dropped.
 
-        Files without a single record have no session but count as seen. Another
+        ``glob`` and ``folder`` are those of ``read_lines``. Files without a single record have no session but count as seen. Another
         root, or ``force``, starts from nothing.
         """
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
         before = self.manifest()
         fresh_start = force or before is None or before.root != root
         version = 1 if before is None else before.version + 1
-        lines = read_lines(self.spark, root)
-        seen = listing(self.spark, root)
-        known = self.spark.createDataFrame([], FILES) if fresh_start else self._files(before.version)
-        status = classify(known, seen)
-        changes = status.where("status <> 'same'").count()
-        if not changes and not fresh_start:
-            self._stamp(before.version, root, now_ms)
+        data = f"data-{version}-{uuid.uuid4().hex}"
+        listed = f"{self.path}/{data}/files"
+        listing(self.spark, root, glob).write.parquet(listed)
+        seen = self.spark.read.schema(FILES).parquet(listed)
+        known = self.spark.createDataFrame([], FILES) if fresh_start else self.spark.read.schema(FILES).parquet(f"{self.path}/{before.files}/files")
+        status = classify(known, seen).withColumn("session_key", F.xxhash64("path")).withColumn("bucket", bucket(F.col("session_key")))
+        changed = {r.bucket: r["count"] for r in status.where("status <> 'same'").groupBy("bucket").count().collect()}
+        if not changed and not fresh_start:
+            self._stamp(version, root, now_ms, before.files, before.buckets)
+            remove(self.spark, f"{self.path}/{data}")
             return 0
-        read = status.where("status in ('new', 'changed')").select("path")
-        made = facts(lines.join(read, "path", "left_semi"))
+        paths = None
+        if not fresh_start:  # the reader takes paths as a list; it holds all that it reads on the driver in any case
+            paths = [literal(r.path) for r in status.where("status in ('new', 'changed')").select("path").collect()]
+        made = facts(records(read_lines(self.spark, root, glob=glob, paths=paths, folder=folder)))
+        touched = set(range(BUCKETS)) if fresh_start else set(changed)
+        buckets = [data] * BUCKETS
         if not fresh_start:
-            kept = status.where("status = 'same'").select(F.xxhash64("path").alias("session_key"))
-            old = self._version(before.version)
+            kept = status.where("status = 'same'").select("session_key")
+            old = self._facts(before.buckets, touched)
             made = Facts(**{name: df.unionByName(getattr(old, name).join(kept, "session_key", "left_semi")) for name, df in made.tables().items()})
+            buckets = [data if k in touched else before.buckets[k] for k in range(BUCKETS)]
         for name, df in made.tables().items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        seen.write.mode("overwrite").parquet(f"{self.path}/v{version}/files")
-        self._stamp(version, root, now_ms)
-        return changes
+            dealt = df.withColumn("bucket", bucket(F.col("session_key"))).repartition("bucket", F.pmod(F.xxhash64("session_key"), F.lit(16)))
+            if name == "postings":  # so that a search reads the row groups of its words only
+                dealt = dealt.sortWithinPartitions("bucket", "stem")
+            dealt.write.partitionBy("bucket").parquet(f"{self.path}/{data}/{name}")
+        self._stamp(version, root, now_ms, data, buckets)
+        return sum(changed.values())
 
     def ensure_fresh(self, root: str, max_age_s: int = MAX_AGE_S, now_ms: int | None = None) -> Facts:
         """The facts, refreshed where they are older than ``max_age_s`` or of another root."""
@@ -95,15 +127,28 @@ class Store:
             self.sync(root, now_ms=now_ms)
         return self.facts()
 
-    def _stamp(self, version: int, root: str, now_ms: int) -> None:
-        row = self.spark.createDataFrame([(version, FORMAT, root, now_ms)], MANIFEST)
-        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v{version}")
+    def _stamp(self, version: int, root: str, now_ms: int, files: str, buckets: list[str]) -> None:
+        """Write the new manifest beside the others, then remove what only older ones than the last two name."""
+        name = f"v{version}-{uuid.uuid4().hex}"
+        row = self.spark.createDataFrame([(name, version, FORMAT, root, now_ms, files, buckets)], MANIFEST)
+        row.coalesce(1).write.json(f"{self.path}/manifest/{name}")
+        every = self._manifests()
+        used = {x for m in every[:2] for x in (m.files, *m.buckets)}
+        for old in every[2:]:
+            for gone in {old.files, *old.buckets} - used:
+                remove(self.spark, f"{self.path}/{gone}")
+            remove(self.spark, f"{self.path}/manifest/{old.name}")
+
+
+def literal(path: str) -> str:
+    """A file's path, as metadata columns show it, for a reader that expands patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str, glob: str = "*/*.jsonl") -> DataFrame:
     """(path, file_size, file_mtime) of all transcript files, without reading them."""
     try:
-        files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jsonl")
+        files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -1,9 +1,12 @@
 """JSONL transcripts: ``root/<encoded project>/<session>.jsonl``, one record a line.
 
-Lines are parsed to variants once and every fact is a projection or aggregation
-of them. Blank and malformed lines are dropped. Line numbers come from reading a
-file whole, one file a row, as order within a file matters for turns and for
-values that count once, where they appear first.
+Lines are parsed to variants once, written, and every fact is a projection or
+aggregation of that table. Blank and malformed lines are dropped. Files are read by
+lines, so a large one is divided between tasks like any text. Order within a file
+matters for turns and for values that count once, where they appear first: a line's
+number is its place in its block of the file, plus the byte where the block starts.
+That is the plain line number in files of one block, and rises with the lines in
+larger ones.
 """
 
 from __future__ import annotations
@@ -12,37 +15,67 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import coerce, pricing, scalars
+from ..functions import coerce, pricing, scalars, search_text
 from .facts import SCHEMAS, Facts
+from .shared import written
 
-LINES = "project string, path string, file_size long, file_mtime long, line_no long, value string"
+TEXT_LINES = "path string, file_size long, file_mtime long, block long, seq long, value string"
 
 
-def read_lines(spark: SparkSession, root: str, project: str | None = None, glob: str = "*/*.jsonl") -> DataFrame:
-    """(project, path, file_size, file_mtime, line_no, value), a row for each line that is not blank.
-
-    ``project`` keeps files whose raw or decoded project name contains it. A
-    missing root has no lines.
-    """
+def text_lines(spark: SparkSession, paths: str | list[str], **options: object) -> DataFrame:
+    """(path, file_size, file_mtime, block, seq, value): every line of text files, also
+    blank ones. ``seq`` rises within a block. A missing path has no lines."""
+    if not paths:
+        return spark.createDataFrame([], TEXT_LINES)
     try:
-        files = spark.read.text(f"{root.rstrip('/')}/{glob}", wholetext=True)
+        files = spark.read.text(paths, lineSep="\n", **options)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LINES)
-    path = F.col("_metadata.file_path")
-    name = F.url_decode(F.element_at(F.split(path, "/"), -2))
-    files = files.select(name.alias("raw"), path.alias("path"), F.col("_metadata.file_size").alias("file_size"), F.unix_millis("_metadata.file_modification_time").alias("file_mtime"), "value")
+        return spark.createDataFrame([], TEXT_LINES)
+    return files.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.unix_millis("_metadata.file_modification_time").alias("file_mtime"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.regexp_replace("value", "\r$", "").alias("value"),
+    )
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of a written table with path, block and seq: line_no in their place.
+
+    There is a row a block of a file, as few as the scan's tasks and files.
+    """
+    first = rows.groupBy("path", "block").agg(F.min("seq").alias("first_seq"))
+    joined = rows.join(first, ["path", "block"]).withColumn("line_no", F.col("block") + F.col("seq") - F.col("first_seq"))
+    return joined.drop("block", "seq", "first_seq")
+
+
+def read_lines(
+    spark: SparkSession, root: str, project: str | None = None, glob: str = "*/*.jsonl", paths: list[str] | None = None, folder: int = -2
+) -> DataFrame:
+    """The lines of all transcripts below ``root``, or of ``paths``, with their project.
+
+    ``project`` keeps files whose raw or decoded project name contains it. The
+    project's folder is the one at ``folder`` in a path, counted from its end, and
+    may be named as a partition's (``name=value``).
+    """
+    lines = text_lines(spark, [f"{root.rstrip('/')}/{glob}"] if paths is None else paths)
+    name = F.regexp_replace(F.url_decode(F.replace(F.element_at(F.split("path", "/"), folder), F.lit("+"), F.lit("%2B"))), "^[a-z_]+=", "")
+    lines = lines.withColumn("raw", name)
     if project is not None:
-        files = files.where(F.contains("raw", F.lit(project)) | F.contains(scalars.decode_project(F.col("raw")), F.lit(project)))
-    lines = files.select(scalars.canonical_project(scalars.decode_project(F.col("raw"))).alias("project"), "path", "file_size", "file_mtime", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return lines.where(F.trim("value") != "").withColumn("line_no", F.col("line_no").cast("long"))
+        lines = lines.where(F.contains("raw", F.lit(project)) | F.contains(scalars.decode_project(F.col("raw")), F.lit(project)))
+    return lines.withColumn("project", scalars.canonical_project(scalars.decode_project(F.col("raw")))).drop("raw")
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Lines as variants; the file's key is a hash of its path."""
-    parsed = lines.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    return parsed.withColumn("session_key", F.xxhash64("path")).withColumn("type", F.coalesce(coerce.text(F.col("v"), "$.type"), F.lit("")))
+    """Lines as variants, written once; the file's key is a hash of its path."""
+    v = F.try_parse_json("value")
+    parsed = lines.withColumn("v", v).drop("value").withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
+    kept = numbered(written(parsed, "transcript-records")).where("v is not null")
+    return kept.withColumn("session_key", F.xxhash64("path")).withColumn("type", F.coalesce(coerce.text(F.col("v"), "$.type"), F.lit("")))
 
 
 def _first(value: Column) -> Column:
@@ -55,10 +88,9 @@ def _block_text(blocks: Column) -> Column:
     return F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), " ")
 
 
-def facts(lines: DataFrame) -> Facts:
-    """All fact tables of the given lines (see ``read_lines``)."""
+def facts(rec: DataFrame) -> Facts:
+    """All fact tables of the given ``records``."""
     v = F.col("v")
-    rec = records(lines)
     rec = rec.select("session_key", "project", "path", "file_size", "file_mtime", "line_no", "type", "v", coerce.text(v, "$.sessionId").alias("sid"), coerce.text(v, "$.timestamp").alias("at"))
     rec = rec.withColumn("ms", coerce.millis(F.col("at")))
     of = lambda kind: rec.where(F.col("type") == kind)
@@ -84,6 +116,7 @@ def facts(lines: DataFrame) -> Facts:
     asked = of("user").select("session_key", "line_no", "at", F.coalesce(coerce.text(v, "$.message.content"), _block_text(coerce.array(v, "$.message.content")), F.lit("")).alias("content"))
     told = said.select("session_key", "line_no", "at", F.coalesce(_block_text(F.col("blocks")), F.lit("")).alias("content"))
     messages = asked.withColumn("role", F.lit("user")).unionByName(told.withColumn("role", F.lit("assistant"))).where("content <> ''")
+    messages = search_text.sized(messages)
 
     empty = F.lit("")
     prs = of("pr-link").select("session_key", coerce.count(v, "$.prNumber").alias("pr_number"), F.coalesce(coerce.text(v, "$.prUrl"), empty).alias("pr_url"), F.coalesce(coerce.text(v, "$.prRepository"), empty).alias("pr_repository"), F.coalesce("at", empty).alias("at"))
@@ -115,10 +148,11 @@ def facts(lines: DataFrame) -> Facts:
         attached,
         modes,
         messages,
+        search_text.postings(messages),
     )
     names = {name: [c.split()[0] for c in schema.split(", ")] for name, schema in SCHEMAS.items()}
     return Facts(**{name: df.select(*names[name]) for name, df in made.tables().items()})
 
 
 def read(spark: SparkSession, root: str, project: str | None = None) -> Facts:
-    return facts(read_lines(spark, root, project))
+    return facts(records(read_lines(spark, root, project)))

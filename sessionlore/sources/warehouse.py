@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pricing, scalars
+from ..functions import pricing, scalars, search_text
 from .facts import Facts
 
 
@@ -60,6 +60,10 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
 
     key = F.col("user_id")  # tool calls and turns belong to the order of the user's number
     turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    said = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_key"), F.col("turn").alias("line_no"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("at")
+    )
+    messages = search_text.sized(said)
     return Facts(
         sessions=sessions,
         token_usage=usage,
@@ -71,5 +75,6 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
         stop_reasons=orders.select(F.col("o_orderkey").alias("session_key"), F.col("o_orderstatus").alias("reason"), F.lit(1).cast("long").alias("times")),
         attachments=orders.where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("session_key"), F.col("o_orderpriority").alias("filename"), F.lit("text/plain").alias("mime_type")),
         permission_changes=orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("session_key"), F.col("o_orderpriority").alias("mode"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at")),
-        messages=table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_key"), F.col("turn").alias("line_no"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("at")),
+        messages=messages,
+        postings=search_text.postings(messages),
     )

@@ -1,14 +1,17 @@
 """Following a growing log file, and the text of its lines.
 
 The built-in file source sees new files only, so appended bytes come from a
-Python data source. An offset is (generation, position): a file that has become
-shorter than the position starts a new generation at its beginning. An offset
-always lies after a line's end, so a line that is still being written, and a
-character cut in two, wait for the next batch without any state.
+Python data source. An offset is (head, position): a digest of the file's first
+line, and a place after a line's end. A line that is still being written, and a
+character cut in two, wait for a later batch. A file whose first line is another
+one, or that has become shorter than the position, was started anew and is read
+from its beginning. The reader keeps no state: a restarted query goes on from its
+checkpoint, whatever happened to the file meanwhile.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -20,6 +23,8 @@ from ..functions import coerce, scalars
 
 TRIGGER = "500 milliseconds"
 BLOCK = 1 << 20
+#: Bytes of a first line that tell a file from its successor.
+HEAD = 256
 
 
 class Span(InputPartition):
@@ -41,27 +46,32 @@ def last_line_end(path: str, start: int, size: int) -> int:
     return start
 
 
+def head_of(path: str) -> str:
+    """A digest of the first line, or of its first bytes; empty where there is no whole line yet."""
+    with open(path, "rb") as f:
+        data = f.read(HEAD)
+    line, end, _ = data.partition(b"\n")
+    return hashlib.md5(line).hexdigest() if end or len(data) == HEAD else ""
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, path: str, from_start: bool):
-        self.path = path
-        self.start = 0 if from_start or not os.path.exists(path) else os.path.getsize(path)
-        self.held: tuple[int, int] | None = None
+        self.path, self.from_start = path, from_start
 
     def initialOffset(self) -> dict:
-        return {"generation": 0, "position": self.start}
+        now = self.latestOffset()
+        return now | {"position": 0} if self.from_start else now
 
     def latestOffset(self) -> dict:
-        generation, position = self.held or (0, self.start)
-        size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
-        if size < position:
-            generation, position = generation + 1, 0
-        position = last_line_end(self.path, position, size) if size > position else position
-        self.held = (generation, position)
-        return {"generation": generation, "position": position}
+        try:
+            head, size = head_of(self.path), os.path.getsize(self.path)
+        except FileNotFoundError:
+            return {"head": "", "position": 0}
+        return {"head": head, "position": last_line_end(self.path, 0, size) if head else 0}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.held = self.held or (end["generation"], end["position"])
-        begin = start["position"] if start["generation"] == end["generation"] else 0
+        same = start["head"] == end["head"] and end["position"] >= start["position"]
+        begin = start["position"] if same else 0
         return [Span(self.path, begin, end["position"])] if end["position"] > begin else []
 
     def read(self, partition: Span) -> Iterator[tuple[str]]:

@@ -78,6 +78,58 @@ def test_follow(spark, tmp_path):
         stream.stop()
 
 
+def test_restarts(spark, tmp_path):
+    """A query that is started again goes on where it stopped, also inside a line and after the file was replaced."""
+    log = tmp_path / "b.log"
+    log.write_bytes(b"first line\nsecond, unfin")
+    names = iter(range(9))
+
+    def run(change=None):
+        """The lines of one start, after what ``change`` writes meanwhile."""
+        lines = tail.follow(spark, str(log))
+        out = tmp_path / f"out{next(names)}"
+        stream = lines.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(out))
+        stream = stream.trigger(processingTime="100 milliseconds").start()
+        try:
+            stream.processAllAvailable()
+            if change:
+                log.open("ab").write(change)
+                stream.processAllAvailable()
+        finally:
+            stream.stop()
+        return sorted(line for p in out.glob("part-*") for (line,) in spark.read.parquet(str(p)).collect())
+
+    assert run() == []  # it begins after the last line end
+    log.open("ab").write(b"ished\nthird, un")
+    assert run() == ["second, unfinished"]
+    assert run(b"finished\n") == ["third, unfinished"]
+    assert run() == []
+    log.write_bytes(b"other file\nwith more\nlines than the first one had, so that it is no shorter\n")
+    assert run() == ["lines than the first one had, so that it is no shorter", "other file", "with more"]
+    log.write_bytes(b"other file\n")
+    assert run(b"more\n") == ["more", "other file"]  # shorter than before
+    log.unlink()
+    assert run() == []
+    log.write_bytes(b"again\n")
+    assert run() == ["again"]
+
+
+def test_offsets_without_state(tmp_path):
+    log = tmp_path / "c.log"
+    reader = lambda start=False: tail.TailReader(str(log), start)
+    assert reader().initialOffset() == {"head": "", "position": 0}
+    log.write_bytes(b"x" * 300)
+    assert reader().initialOffset()["position"] == 0  # no line has ended
+    log.write_bytes(b"a\nb\nc")
+    begin = reader().initialOffset()
+    assert begin["position"] == 4 and reader(True).initialOffset() == begin | {"position": 0}
+    with log.open("ab") as f:
+        f.write(b"d\n")
+    end = reader().latestOffset()
+    spans = reader().partitions(begin, end)
+    assert [r for s in spans for r in reader().read(s)] == [("cd",)] and reader().partitions(end, end) == []
+
+
 def test_last_line_end(tmp_path):
     path = tmp_path / "x"
     path.write_bytes(b"a\nbc\nd")

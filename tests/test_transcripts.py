@@ -1,19 +1,19 @@
-"""Reports over transcript trees, against values worked out by hand."""
+"""Reports over transcript trees, against values worked out by hand from the tree's own lines."""
 
 import json
 
 import pytest
 
-from sessionlore.operators import export, reports, search
-from sessionlore.sources import transcripts
+from sessionlore.operators import export, reports, search, sinks
+from sessionlore.sources import store, transcripts
 from sessionlore.sources.store import Store
 
-from . import transcripts_fixture as fx
+from .trees import BENCH, GLAZE, HAIKU, OPUS, SONNET, Session, text, use, workshop
 
 
 @pytest.fixture(scope="module")
 def facts(spark, tmp_path_factory):
-    return transcripts.read(spark, str(fx.tree(tmp_path_factory.mktemp("tree"))))
+    return transcripts.read(spark, str(workshop(tmp_path_factory.mktemp("workshop"))))
 
 
 def rows(df, *columns):
@@ -21,119 +21,232 @@ def rows(df, *columns):
 
 
 def test_sessions(facts):
-    assert rows(facts.sessions.orderBy("session_id"), "project", "session_id", "message_count", "duration_ms", "model") == [
-        ("/Users/test/Projects/alpha", "sess-a1", 3, 15000, "claude-opus-4-1"),
-        ("/Users/test/Projects/alpha", "sess-a2", 2, 5000, "claude-opus-4-1"),
-        ("/Users/test/Projects/beta", "sess-b1", 2, 20000, "claude-sonnet-4"),
-        ("/Users/test/Projects/gamma", "sess-c1", 1, 0, None),
-    ]
-    assert rows(reports.sessions(facts, file="src/a.rs"), "session_id", "date") == [("sess-a1", "2026-04-18T10:00:00+00:00")]
-    assert [r.session_id for r in reports.sessions(facts, project="BETA").collect()] == ["sess-b1"]
+    got = {r.session_id: (r.project, r.message_count, r.duration_ms, r.model) for r in facts.sessions.collect()}
+    assert got == {
+        "5e7a10c4-kiln": (GLAZE, 4, 5250, "mixed"),  # every system duration counts, not turns alone
+        "5e7a77b2-tree": (GLAZE, 2, 90_000 + 270_000, SONNET),  # no durations: from the first time to the last
+        "b0d1e6-undated": (BENCH, 1, 70, OPUS),
+        "77cafe-cache": (f"{BENCH}/.cache", 1, 2000, OPUS),
+        "e9-questions": (BENCH, 2, 9000, None),
+    }
+    assert [r.session_id for r in reports.sessions(facts).collect()] == ["e9-questions", "5e7a77b2-tree", "5e7a10c4-kiln", "77cafe-cache", "b0d1e6-undated"]
+    assert rows(reports.sessions(facts, file="CELADON"), "session_id", "date") == [("5e7a77b2-tree", "2025-03-03T09:00:00+00:00"), ("5e7a10c4-kiln", "2025-03-03T08:00:00+00:00")]
+    assert {r.session_id for r in reports.sessions(facts, project="Mo/BENCH").collect()} == {"b0d1e6-undated", "77cafe-cache", "e9-questions"}
+    assert reports.sessions(facts, project="mo\\bench").count() == 0  # a backslash stands for itself
+    assert reports.sessions(facts, project="pots_glaze").count() == 2  # and _ for any character
 
 
 def test_costs(facts):
+    haiku = (200 * 0.8 + 40 * 4 + 8 * 1 + 64 * 0.08) / 1e6
+    sonnet = (700 * 3 + 90 * 15) / 1e6
+    ash = (40 * 3 + 5 * 15 + 900 * 0.3) / 1e6
+    fired = (10 * 15 + 2 * 75 + 1 * 18.75 + 3 * 1.5) / 1e6
     got = rows(reports.cost_by_project(facts), "project", "sessions", "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", "cost_usd", "models")
     assert got == [
-        ("/Users/test/Projects/alpha", 2, 1150, 570, 210, 6500, pytest.approx(0.0736875), ["Opus"]),
-        ("/Users/test/Projects/beta", 1, 200, 80, 0, 100, pytest.approx(0.00183), ["Sonnet"]),
-        ("/Users/test/Projects/gamma", 1, 0, 0, 0, 0, 0.0, []),
+        (GLAZE, 2, 940, 135, 8, 964, pytest.approx(haiku + sonnet + ash), ["Haiku", "Sonnet"]),
+        (BENCH, 2, 10, 2, 1, 3, pytest.approx(fired), ["Opus"]),
+        (f"{BENCH}/.cache", 1, 0, 0, 0, 0, 0.0, []),
+    ]
+    got = rows(reports.cost_per_session(facts), "session_id", "cost_usd", "model", "models")
+    assert got == [
+        ("5e7a10c4-kiln", pytest.approx(haiku + sonnet), None, [HAIKU, SONNET]),
+        ("5e7a77b2-tree", pytest.approx(ash), SONNET, [SONNET]),
+        ("b0d1e6-undated", pytest.approx(fired), OPUS, [OPUS]),
     ]
-    assert rows(reports.cost_per_session(facts), "session_id", "cost_usd") == [("sess-a1", pytest.approx(0.0706875)), ("sess-a2", pytest.approx(0.003)), ("sess-b1", pytest.approx(0.00183))]
-    total = reports.with_total(reports.cost_by_project(facts, limit=2), "project", "input_tokens").where("is_total = 1").first()
-    assert (total.project, total.input_tokens) == ("TOTAL", 1350)
+    total = reports.with_total(reports.cost_by_project(facts, limit=2), "project", "sessions", "output_tokens").where("is_total = 1").first()
+    assert (total.project, total.sessions, total.output_tokens) == ("TOTAL", 4, 137)
+
+
+def test_tools_and_turns(facts):
+    assert rows(reports.tools(facts), "tool", "calls") == [("Fire", 3), ("Weigh", 2), ("Stir", 1)]
+    assert rows(reports.tools_per_session(facts), "session_id", "tools") == [("5e7a10c4-kiln", {"Stir": 1, "Weigh": 2}), ("b0d1e6-undated", {"Fire": 3})]
+    assert rows(reports.tools_per_session(facts, top=1), "tools") == [({"Weigh": 2},), ({"Fire": 3},)]
+    got = rows(reports.turns(facts), "project", "turn_count", "avg_ms", "p50_ms", "p95_ms", "max_ms")
+    assert got == [(f"{BENCH}/.cache", 1, 2000.0, 2000.0, 2000.0, 2000), (GLAZE, 3, 5000 / 3, 1200.0, 3000.0, 3000), (BENCH, 1, 70.0, 70.0, 70.0, 70)]
+    numbers = {r.duration_ms: r.turn_number for r in facts.turn_durations.collect()}
+    assert numbers == {1200: 1, 800: 2, 3000: 3, 70: 1, 2000: 1}
+
+
+def test_ranks_with_repeated_durations(spark):
+    frame = spark.createDataFrame([("a", d) for d in [5] * 18 + [6, 7]] + [("b", d) for d in (4, 4, 9)], "by string, duration_ms long")
+    got = {r["by"]: (r.turn_count, r.p50_ms, r.p95_ms, r.max_ms) for r in reports.duration_stats(frame, "by").collect()}
+    assert got == {"a": (20, 5.0, 6.0, 7), "b": (3, 4.0, 9.0, 9)}
+
 
+def test_links_and_files(facts):
+    got = rows(reports.pull_requests(facts), "session_id", "pr_number", "pr_url")
+    assert got == [("5e7a77b2-tree", 4, ""), ("5e7a77b2-tree", 31, "https://forge/pots/31")]  # the later mention wins
+    got = rows(reports.files(facts), "file_path", "modification_count", "session_count", "top_project")
+    assert got == [("recipes/celadon.md", 2, 2, GLAZE), ("log.txt", 1, 1, GLAZE)]
 
-def test_tools_turns_prs_files_models(facts):
-    assert rows(reports.tools(facts), "tool", "calls") == [("Edit", 2), ("Bash", 1), ("Grep", 1), ("Read", 1)]
-    assert rows(reports.tools_per_session(facts), "session_id", "tools") == [("sess-b1", {"Read": 1, "Edit": 1}), ("sess-a2", {"Grep": 1}), ("sess-a1", {"Bash": 1, "Edit": 1})]
-    assert rows(reports.turns(facts), "turn_count", "avg_ms", "p50_ms", "p95_ms", "max_ms") == [(1, 20000.0, 20000.0, 20000.0, 20000), (2, 7500.0, 5000.0, 10000.0, 10000)]
-    assert rows(reports.pull_requests(facts), "session_id", "pr_number", "pr_url") == [("sess-a1", 7, "https://h/pr/7")]
-    assert rows(reports.files(facts), "file_path", "modification_count", "session_count", "top_project") == [("src/a.rs", 1, 1, "/Users/test/Projects/alpha")]
-    used = reports.models(facts).collect()
-    assert [r.model for r in used] == ["claude-opus-4-1", "claude-sonnet-4"]
-    assert (used[0].service_tiers, used[0].inference_geos, used[0].avg_speed, used[0].total_iterations) == (["batch", "standard"], ["us"], 2.0, 3)
+
+def test_models(facts):
+    got = {r.model: (r.session_count, r.service_tiers, r.inference_geos, r.avg_speed, r.total_iterations) for r in reports.models(facts).collect()}
+    assert got == {HAIKU: (1, ["flex", "rush"], ["eu"], None, 0), SONNET: (2, [], ["us"], 1.5, 4), OPUS: (1, [], [], None, 0)}
 
 
 def test_session_detail(facts):
-    one = reports.session(facts, "SESS-A1").first()
-    assert (one.message_count, one.thinking_blocks, one.turns.turn_count) == (3, 1, 2)
-    assert [t.tool for t in one.tools] == ["Bash", "Edit"] and [f.file_path for f in one.files] == ["src/a.rs"]
-    assert reports.session(facts, "gamma").first().tools == []
+    one = reports.session(facts, "5E7A10")
+    assert rows(one, "message_count", "thinking_blocks", "input_tokens") == [(4, 2, 900)]
+    one = one.first()
+    assert [t.tool for t in one.tools] == ["Weigh", "Stir"] and [f.file_path for f in one.files] == ["log.txt", "recipes/celadon.md"]
+    assert [m.model for m in one.models] == [SONNET, HAIKU] and [a.filename for a in one.attachments] == ["swatch.png"]
+    assert [(s.reason, s.times) for s in one.stop_reasons] == [("end_turn", 2), ("tool_use", 1)]
+    assert (one.turns.turn_count, one.turns.p50_ms) == (3, 1200.0)
+    undated = reports.session(facts, "b0d1").first()
+    assert [p["mode"] for p in undated.permission_changes] == ["plan"] and undated.pull_requests == [] and undated.first_ms is None
+    assert reports.session(facts, ".cache").first().session_id == "77cafe-cache"  # by project
     with pytest.raises(LookupError, match="ambiguous"):
-        reports.one_session(facts.sessions, "sess")
+        reports.one_session(facts.sessions, "5e7a")
     with pytest.raises(LookupError, match="no session"):
-        reports.one_session(facts.sessions, "abcdef12")
+        reports.one_session(facts.sessions, "0badc0de")
 
 
 def test_summary(facts):
-    now = 1776556800000  # 2026-04-19T00:00:00Z, a Sunday
-    one = reports.summary(facts, now).first()
-    assert (one.total_sessions, one.sessions_today, one.sessions_this_week, one.pr_count, one.files_modified, one.thinking_blocks) == (4, 1, 4, 1, 1, 1)
-    assert one.most_recent.session_id == "sess-b1" and one.top_tools[0].tool == "Edit" and one.model_distribution[0].family == "Opus"
+    one = reports.summary(facts, 1_741_089_600_000).first()  # 2025-03-04T12:00:00Z, a Tuesday
+    assert (one.total_sessions, one.sessions_today, one.sessions_this_week, one.pr_count, one.files_modified, one.thinking_blocks) == (5, 0, 4, 1, 2, 2)
+    assert one.most_recent.session_id == "e9-questions" and [t.tool for t in one.top_tools] == ["Fire", "Weigh", "Stir"]
+    assert [m.family for m in one.model_distribution] == ["Sonnet", "Haiku", "Opus"]
 
 
 def test_search(facts):
-    assert sorted(rows(search.search(facts, "foo"), "session_id", "role")) == [("sess-a2", "assistant"), ("sess-a2", "user")]
-    assert "[[foo]]" in search.search(facts, "foo").first().snippet
-    assert rows(search.search(facts, "find foo"), "role") == [("user",)]
-    assert rows(search.search(facts, "foo find"), "role") == []
-    assert [r.session_id for r in search.search(facts, "edits", stem=True).collect()] == ["sess-a1"]
-    assert rows(search.literal(facts, "FOO", case_sensitive=False), "session_id") == [("sess-a2",), ("sess-a2",)]
-    assert rows(search.literal(facts, "FOO"), "session_id") == []
+    found = search.search(facts, "glazes").collect()  # any form of the word
+    assert sorted((r.session_id, r.role) for r in found) == [("5e7a10c4-kiln", "assistant"), ("5e7a10c4-kiln", "user")]
+    assert {r.snippet for r in found} == {"mix a celadon [[glaze]]", "[[Glazes]] are stirred"}
+    assert rows(search.search(facts, "glazes", stem=False), "role", "snippet") == [("assistant", "[[Glazes]] are stirred")]
+    assert rows(search.search(facts, "is STIRRING"), "session_id", "snippet") == [("5e7a77b2-tree", "ash [[is]] [[stirred]] in")]
+    assert search.search(facts, "stirred is").count() == 0 and search.search(facts, "?!").count() == 0
+    assert rows(search.search(facts, "glaze", project="bench"), "role") == []
+    assert rows(search.literal(facts, "ASH", case_sensitive=False), "session_id") == [("5e7a77b2-tree",), ("5e7a77b2-tree",)]
+    assert search.literal(facts, "ASH").count() == 0
+    ranks = [r["rank"] for r in search.search(facts, "user").collect()]  # roles are words of their messages
+    assert len(ranks) == 3 and ranks == sorted(ranks) and ranks[0] < 0
+
+
+def test_long_snippet(spark):
+    frame = spark.createDataFrame([(" ".join([*(f"a{i}" for i in range(30)), "hits", *(f"b{i}" for i in range(30))]),)], "t string")
+    got = frame.select(search.snippet(frame.t, ["hit"])).first()[0]
+    assert got.startswith("...a20 ") and "[[hits]]" in got and got.endswith("...") and len(got.split()) == 20
 
 
 def test_coercion(spark, tmp_path):
-    usage = ["2.5", "-3", "10.0", '"12"', "true"]
-    lines = ['{"type":"assistant","timestamp":5,"message":{"model":"m","usage":{"input_tokens":%s,"output_tokens":1},"content":"plain"}}' % u for u in usage]
-    lines += ['{"type":"user","timestamp":"2026-04-18","message":{"content":""}}', '{"type":"pr-link","prNumber":"3"}', '{"type":"system","durationMs":-5}']
-    fx.write(tmp_path, "-p--q", "s", lines)
+    odd = Session("odd")
+    for value in ("7.25", "-1", "4.0", '"9"', "false", "[3]"):
+        odd.raw('{"type":"assistant","timestamp":17,"message":{"model":"m","usage":{"input_tokens":%s,"output_tokens":2},"content":"plain"}}' % value)
+    odd.raw('{"type":"user","timestamp":"2025-03-03","message":{"content":""}}').raw('{"type":"pr-link","prNumber":"8"}').raw('{"type":"system","durationMs":-9}')
+    odd.raw('{"type":"x","type":"permission-mode","mode":"last"}').save(tmp_path, "-a--b")
     f = transcripts.read(spark, str(tmp_path))
     head = f.sessions.first()
-    assert (head.project, head.session_id, head.first_ms, head.message_count, head.duration_ms) == ("/p/.q", "s", None, 6, 0)
-    assert rows(f.token_usage, "input_tokens", "output_tokens", "messages") == [(0, 5, 5)]
+    assert (head.project, head.session_id, head.first_ms, head.message_count, head.duration_ms) == ("/a/.b", "odd", None, 7, 0)
+    assert rows(f.token_usage, "input_tokens", "output_tokens", "messages") == [(0, 12, 6)]
     assert f.messages.count() == 0 and rows(f.pr_links, "pr_number", "pr_url", "at") == [(0, "", "")]
 
 
-def test_mixed_and_zero_models(spark, tmp_path):
-    fx.write(tmp_path, "-m", "s1", [fx.said("2026-04-18T10:00:00Z", usage=(100, 20, 10, 50)), fx.said("2026-04-18T10:00:01Z", model="claude-sonnet-4", usage=(200, 40, 5, 25)), fx.said("2026-04-18T10:00:02Z", model="claude-haiku-4")])
-    f = transcripts.read(spark, str(tmp_path))
-    assert f.sessions.first().model == "mixed"
-    assert rows(reports.cost_per_session(f), "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", "model", "models") == [(300, 60, 15, 75, None, ["claude-opus-4-1", "claude-sonnet-4"])]
+def test_order_in_a_divided_file(spark, tmp_path):
+    """Line order holds where a file is read in many blocks."""
+    long = Session("long")
+    for i in range(3000):
+        long.turn(i + 1) if i % 3 else long.ask(f"question {i}")
+    long.save(tmp_path, "-x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        f = transcripts.read(spark, str(tmp_path))
+        got = [r.duration_ms for r in f.turn_durations.orderBy("turn_number").collect()]
+        asked = [r.content for r in f.messages.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [i + 1 for i in range(3000) if i % 3] and asked == [f"question {i}" for i in range(0, 3000, 3)]
 
 
-def test_empty_root(spark, tmp_path):
+def test_plain_line_numbers(spark, tmp_path):
+    Session("n").raw("").raw("bad").ask("first").raw("").ask("second").save(tmp_path, "-x")
+    Session("m").ask("third").save(tmp_path, "-x")
+    got = {r.content: r.line_no for r in transcripts.read(spark, str(tmp_path)).messages.collect()}
+    assert got == {"first": 2, "second": 4, "third": 0}
+
+
+def test_no_root(spark, tmp_path):
     f = transcripts.read(spark, str(tmp_path / "nowhere"))
     assert f.sessions.count() == 0 and reports.cost_by_project(f).count() == 0
-    assert reports.summary(f, 0).first().total_sessions == 0
+    assert reports.summary(f, 0).first().total_sessions == 0 and search.search(f, "word").count() == 0
+    assert sinks.report_json(reports.sessions(f)).first().json == "[]" and sinks.report_json(reports.sessions(f), one=True).first().json == "null"
+
+
+def test_report_json(facts):
+    listed = json.loads(sinks.report_json(reports.sessions(facts)).first().json)
+    assert [s["session_id"] for s in listed][::4] == ["e9-questions", "b0d1e6-undated"] and listed[4]["first_ms"] is None
+    one = json.loads(sinks.report_json(reports.session(facts, "77cafe"), one=True).first().json)
+    assert one["project"] == f"{BENCH}/.cache" and one["tools"] == []
 
 
 def test_export(spark, tmp_path):
-    root = str(fx.tree(tmp_path))
-    lines = transcripts.read_lines(spark, root)
-    f = transcripts.facts(lines)
-    one = f.sessions.where("session_id = 'sess-a2'")
-    text = export.markdown(one, transcripts.records(lines)).first().document
-    assert text.startswith("# Session: sess-a2\n\n**Project:** /Users/test/Projects/alpha\n**Date:** 2026-04-18 11:00 UTC\n**Model:** opus-4-1\n\n---\n\n## User\n*2026-04-18T11:00:00*\n\nfind foo\n")
-    assert "**Tool result** ()\n```\nno\n```\n" in text and "**Tool: Grep**\n```json\n" in text
-    value = json.loads(export.json_document(one, transcripts.records(lines)).first().document)
-    assert value["session_id"] == "sess-a2" and [m["type"] for m in value["messages"]] == ["user", "assistant"]
-
-
-def test_store(spark, tmp_path):
-    root = fx.tree(tmp_path / "tree")
-    store = Store(spark, str(tmp_path / "store"))
-    assert store.facts() is None
-    assert store.sync(str(root), now_ms=1) == 4
-    assert store.facts().sessions.count() == 4
-    assert store.sync(str(root), now_ms=2) == 0
-    (root / "-Users-test-Projects-gamma" / "sess-c1.jsonl").unlink()
-    fx.write(root, "-Users-test-Projects-beta", "sess-b2", [fx.line("user", "2026-04-20T09:00:00Z", sid="sess-b2", message={"content": "new"})])
-    fx.write(root, "-Users-test-Projects-alpha", "sess-a2", [fx.line("user", "2026-04-18T11:00:00Z", sid="sess-a2", message={"content": "other words"})])
-    assert store.ensure_fresh(str(root), now_ms=3).sessions.count() == 4  # still fresh enough
-    assert store.ensure_fresh(str(root), now_ms=400_000).sessions.count() == 4
-    f = store.facts()
-    assert sorted(r.session_id for r in f.sessions.collect()) == ["sess-a1", "sess-a2", "sess-b1", "sess-b2"]
-    assert search.literal(f, "foo").count() == 0 and reports.tools(f).count() == 3
-    other = fx.tree(tmp_path / "other")
-    assert store.ensure_fresh(str(other), now_ms=400_001).sessions.count() == 4  # another root is read at once
-    assert all("/other/" in r.path for r in store.facts().sessions.collect())
+    records = transcripts.records(transcripts.read_lines(spark, str(workshop(tmp_path / "in"))))
+    f = transcripts.facts(records)
+    tree = f.sessions.where("session_id like '%tree'")
+    told = export.markdown(tree, records).first().document
+    assert told.startswith(f"# Session: 5e7a77b2\n\n**Project:** {GLAZE}\n**Date:** 2025-03-03 09:00 UTC\n**Model:** sonnet-4-5\n\n---\n\n## User\n*2025-03-03T09:00:00*\n\ntry ash\n")
+    assert "**Tool result** (u9)\n```\ngrey\n```\n" in told
+    kiln = export.markdown(f.sessions.where("session_id like '%kiln'"), records).first().document
+    assert '**Tool: Weigh**\n```json\n{\n  "grams" : 40\n}\n```\n' in kiln or '"grams"' in kiln
+    documents = export.json_document(f.sessions, records)
+    one = json.loads(export.selected_json(documents.where("path like '%tree%'")).first().document)
+    assert one["session_id"] == "5e7a77b2-tree" and [m["type"] for m in one["messages"]] == ["user", "assistant"]
+    both = json.loads(export.selected_json(documents.where("path like '%5e7a%'")).first().document)
+    assert [d["message_count"] for d in both] == [2, 4] and json.loads(export.selected_json(documents.limit(0)).first().document) == []
+    export.write(export.markdown(f.sessions, records), str(tmp_path / "out"))
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*") if p.suffix != ".crc"}
+    assert len(files) == 5 and files["session=5e7a77b2-tree"] == told + "\n"
+    assert export.markdown_messages(f.sessions, f.messages).count() == 5
+
+
+def test_store(spark, tmp_path, monkeypatch):
+    root = workshop(tmp_path / "in")
+    read = []
+    plain = store.read_lines
+    monkeypatch.setattr(store, "read_lines", lambda *a, **k: read.append(k["paths"]) or plain(*a, **k))
+    held = Store(spark, str(tmp_path / "store"))
+    assert held.facts() is None and held.sync(str(root), now_ms=1) == 5 and read == [None]
+    before = held.facts()
+    assert before.sessions.count() == 5 and [r.session_id for r in search.search(before, "stirring").collect()] != []
+    assert held.sync(str(root), now_ms=2) == 0 and held.sync(str(root), now_ms=3) == 0 and len(read) == 1
+    manifest = held.manifest()
+    (root / "-home-mo-bench" / "e9-questions.jsonl").unlink()
+    new = Session("new [1] a%20b+c").ask("brand new").save(root, "-home-mo-bench")
+    Session("5e7a77b2-tree").ask("other words").answer(use("Rinse"), used=(1, 1, 0, 0)).save(root, "-srv-pots-glaze--claude-worktrees-ash")
+    assert held.ensure_fresh(str(root), now_ms=4).sessions.count() == 5  # still fresh enough
+    f = held.ensure_fresh(str(root), now_ms=400_000)
+    assert len(read) == 2 and len(read[1]) == 2 and any(new.stem in p.replace("\\", "") for p in read[1])  # changed files only
+    assert {r.session_id for r in f.sessions.collect()} == {"5e7a10c4-kiln", "5e7a77b2-tree", "b0d1e6-undated", "77cafe-cache", "new [1] a%20b+c"}
+    assert search.literal(f, "ash").count() == 0 and {r.tool for r in reports.tools(f).collect()} == {"Fire", "Weigh", "Stir", "Rinse"}
+    assert rows(search.search(f, "news"), "session_id") == [("new [1] a%20b+c",)]
+    after = held.manifest()
+    moved = sum(a != b for a, b in zip(manifest.buckets, after.buckets))
+    assert 0 < moved <= 3  # only buckets of the three files were written again
+    assert len(list((tmp_path / "store" / "manifest").iterdir())) == 2
+    assert held.sync(str(root), now_ms=5) == 0 and held.sync(str(root), now_ms=6) == 0 and held.facts().sessions.count() == 5
+    other = workshop(tmp_path / "other")
+    assert held.ensure_fresh(str(other), now_ms=400_001).sessions.count() == 5  # another root is read at once
+    assert all("/other/" in r.path for r in held.facts().sessions.collect())
+    folders = {p.name for p in (tmp_path / "store").iterdir()}
+    assert held.sync(str(other), force=True) == 5 and held.sync(str(other)) == 0
+    used = {x for m in held._manifests() for x in (m.files, *m.buckets)}
+    assert {p.name for p in (tmp_path / "store").iterdir()} == used | {"manifest"} and not folders <= used | {"manifest"}
+
+
+def test_file_changed_during_refresh(spark, tmp_path, monkeypatch):
+    """A file that grows after it was listed is read again by the next refresh."""
+    root = tmp_path / "in"
+    Session("s").ask("one").save(root, "-x")
+    plain = store.listing
+
+    def grows(*args):
+        seen = spark.createDataFrame(plain(*args).collect(), store.FILES)
+        Session("s").ask("one").ask("two words").save(root, "-x")
+        return seen
+
+    held = Store(spark, str(tmp_path / "store"))
+    monkeypatch.setattr(store, "listing", grows)
+    held.sync(str(root))
+    monkeypatch.setattr(store, "listing", plain)
+    assert held.sync(str(root)) == 1 and held.facts().messages.count() == 2 and held.sync(str(root)) == 0
