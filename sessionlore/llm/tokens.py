@@ -16,6 +16,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -52,9 +53,13 @@ class Encoder:
 
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.whole = re.compile("|".join([FOREIGN.pattern, *map(re.escape, added)])) if splits_like_words(self.tokenizer) else re.compile("")
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = sorted(added)
+        self.by_words = splits_like_words(self.tokenizer)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # In a byte-level vocabulary each character of a token stands for a byte.
+        size = self.tokenizer.get_vocab_size()
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,13 +74,31 @@ class Encoder:
                 unmet.append(word)
             else:
                 self.known[word] = ids
-        if unmet:
-            self.known.update(zip(unmet, self._pack(unmet)))
+        # After a space a word never joins the one before, so these are encoded as one text.
+        spaced = [w for w in unmet if w[0] == " " and not w.isspace()]
+        others = [w for w in unmet if w[0] != " " or w.isspace()]
+        self.known.update(zip(others, self._pack(others)))
+        self.known.update(zip(spaced, self._pack_spaced(spaced)))
+
+    def _pack_spaced(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word, cut from those of all by the bytes that tokens stand for."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        reached = np.cumsum(self.widths[ids])
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        cuts = np.searchsorted(reached, ends) + 1
+        if not (reached[cuts - 1] == ends).all():
+            raise ValueError("tokens do not end with words")
+        packed, width, begin = ids.tobytes(), self.dtype.itemsize, 0
+        for end in (cuts * width).tolist():
+            yield packed[begin:end]
+            begin = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as an array of the smallest fitting type."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if self.whole.search(x)]
+        whole = [i for i, x in enumerate(texts) if not self.by_words or FOREIGN.search(x) or any(a in x for a in self.added)]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole])):
             out[i] = np.frombuffer(ids, self.dtype)
         if len(self.known) > self.remembered:
