@@ -8,15 +8,17 @@ in full at least once, so that no document is dropped.
 
 A source's quota, its weight times the budget, is spent in passes. Full passes
 take every document. The last, partial pass takes documents in a keyed
-permutation: documents are dealt by a hash into at most ``blocks`` blocks a
-source, blocks are ordered by a hash, and documents within the block where the
+permutation: documents are dealt by a hash into ``blocks`` blocks a source,
+1,024 or one for each 65,536 rows; blocks are ordered by a hash, and documents within the block where the
 quota ends by a hash as well; the pass ends at the document whose middle lies
 nearest below the quota. A cut is therefore two hash values for each source, and
 every document decides for itself, so no source, however large, passes through
 one task.
 
 A null source is a source of its own. A null or empty text has no tokens and
-takes part in full passes like any other. Equal rows share their hash and are
+takes part in full passes like any other. A text of any length counts whole, so a
+partial pass can miss its quota by half of the document at the cut. Documents
+that tie in their hash are drawn together. Equal rows share their hash and are
 drawn together. An empty table gives an empty result. Other columns are kept by
 ``mix`` and not read.
 """
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BLOCKS = 1024
+#: Blocks of a source at least, and the rows from which on there are more.
+BLOCKS, BLOCK_ROWS = 1024, 65_536
 REPETITION = 1.5
 SEED = 2024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,12 +55,22 @@ def repetitions(shares: list[float], exponent: float, budget_share: float | None
     return [r * (budget_share if budget_share is not None else 1 / min(rates)) for r in rates]
 
 
-def solve(shares: list[float], target_entropy: float | None = None, repetition: float | None = REPETITION, budget_share: float | None = None, steps: int = 60) -> float:
-    """The exponent from 0 (all sources alike) to 1 (natural shares)."""
-    if not any(p > 0 for p in shares):
+def solve(
+    shares: list[float], target_entropy: float | None = None, repetition: float | None = REPETITION, budget_share: float | None = None, steps: int = 60
+) -> float:
+    """The exponent: 0 makes all sources alike, 1 leaves natural shares, more favours the largest.
+
+    ValueError where no mixture has the entropy, or keeps within the repetition.
+    """
+    used = [p for p in shares if p > 0]
+    if not used:
         return 1.0
+    if target_entropy is not None:
+        top = sum(p >= max(used) * (1 - 1e-12) for p in used)
+        if not math.log(top) - 1e-9 <= target_entropy <= math.log(len(used)) + 1e-9:
+            raise ValueError(f"no weights of these sources have entropy {target_entropy}")
 
-    def flat_enough(a: float) -> bool:  # true on an interval that begins at 1
+    def flat_enough(a: float) -> bool:  # true from some exponent on
         if target_entropy is not None:
             return entropy(weights(shares, a)) <= target_entropy
         return repetition is None or max(repetitions(shares, a, budget_share)) <= repetition
@@ -65,12 +78,24 @@ def solve(shares: list[float], target_entropy: float | None = None, repetition:
     if flat_enough(0.0):
         return 0.0
     low, high = 0.0, 1.0
+    if target_entropy is None and not flat_enough(high):
+        # At natural shares all sources repeat alike, which is the least that the budget allows.
+        if max(repetitions(shares, high, budget_share)) > repetition + 1e-9:
+            raise ValueError(f"this budget repeats some source more than {repetition} times in any mixture")
+        return high
+    while not flat_enough(high) and high < 1 << 20:
+        low, high = high, 2 * high
     for _ in range(steps):
         middle = (low + high) / 2
         low, high = (low, middle) if flat_enough(middle) else (middle, high)
     return high
 
 
+def blocks_for(docs: DataFrame) -> int:
+    """Blocks of a source: more with more rows, so that neither a block nor their list becomes large."""
+    return max(BLOCKS, -(-docs.count() // BLOCK_ROWS))
+
+
 def _keyed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
     """``docs`` with the source's key and the hashes that order blocks and documents."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
@@ -83,9 +108,17 @@ def words() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quotas(docs: DataFrame, target_entropy: float | None = None, repetition: float | None = REPETITION, budget: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def quotas(
+    docs: DataFrame,
+    target_entropy: float | None = None,
+    repetition: float | None = REPETITION,
+    budget: int | None = None,
+    blocks: int | None = None,
+    seed: int = SEED,
+) -> DataFrame:
     """A row a source: _source, weight, passes (full ones), and the cut of the partial pass."""
     spark = docs.sparkSession
+    blocks = blocks or blocks_for(docs)
     keyed = _keyed(docs.select("doc_id", "source", "text"), blocks, seed)
     # At most ``blocks`` rows a source.
     sums = written(keyed.withColumn("tokens", words()).groupBy("_source", "_block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
@@ -115,8 +148,9 @@ def quotas(docs: DataFrame, target_entropy: float | None = None, repetition: flo
     return written(stated.drop("rest").join(cuts, "_source", "left"), "mix-quotas")
 
 
-def draws(docs: DataFrame, stated: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def draws(docs: DataFrame, stated: DataFrame, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """(row, weight, block, copies): each row of ``docs`` as a struct, and the times it is drawn."""
+    blocks = blocks or blocks_for(docs)
     own = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     keyed = _keyed(own, blocks, seed).join(stated, "_source")
     partial = (F.col("_block") < F.col("cut_block")) | ((F.col("_block") == F.col("cut_block")) & (F.col("_draw") <= F.col("cut_draw")))
@@ -124,8 +158,9 @@ def draws(docs: DataFrame, stated: DataFrame, blocks: int = BLOCKS, seed: int =
     return keyed.select("row", "weight", F.col("_block").alias("block"), copies.alias("copies"))
 
 
-def mix(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, **goal: float | None) -> DataFrame:
+def mix(docs: DataFrame, blocks: int | None = None, seed: int = SEED, **goal: float | None) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as it is drawn."""
+    blocks = blocks or blocks_for(docs)
     drawn = draws(docs, quotas(docs, blocks=blocks, seed=seed, **goal), blocks, seed).where("copies > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
@@ -133,7 +168,8 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, **goal: float |
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is drawn, with its source's weight and its block."""
     docs = table(spark, sf_dir, "documents")
-    return draws(docs, quotas(docs)).select("row.doc_id", "row.source", "weight", "block", "copies")
+    blocks = blocks_for(docs)
+    return draws(docs, quotas(docs, blocks=blocks), blocks).select("row.doc_id", "row.source", "weight", "block", "copies")
 
 
 QUERIES = {"op5_mixing": op5_mixing}

@@ -280,6 +280,68 @@ def test_exponents(shares):
     assert mixing.entropy(mixing.weights(shares, a)) == pytest.approx(target, abs=1e-6)
 
 
+def test_exponents_out_of_reach():
+    shares = [0.5, 0.3, 0.2]
+    a = mixing.solve(shares, target_entropy=0.8)
+    assert a > 1 and mixing.entropy(mixing.weights(shares, a)) == pytest.approx(0.8, abs=1e-6)
+    assert mixing.solve(shares, repetition=3.0, budget_share=3.0) == pytest.approx(1.0)
+    for goal in ({"target_entropy": 1.2}, {"target_entropy": -0.1}, {"repetition": 1.5, "budget_share": 3.0}, {"repetition": 0.5}):
+        with pytest.raises(ValueError, match="in any mixture|have entropy"):
+            mixing.solve(shares, **goal)
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.solve([0.4, 0.4, 0.2], target_entropy=0.5)  # two equal largest sources
+    assert mixing.solve([], target_entropy=9.0) == 1.0
+
+
+@pytest.mark.parametrize("goal", [{}, {"repetition": 2.5}, {"target_entropy": 1.0, "budget": 90_000}, {"target_entropy": 0.3, "budget": 20_000}])
+def test_mixing_against_brute_force(spark, goal):
+    """Weights, passes and the cut of every source by plain loops; only hashes are the operator's."""
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))) or None, ["hot", "hot", "hot", "a", None][i % 5]) for i in range(1500)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, source string")
+    keyed = [(r.doc_id, r.source, len((r.text or "").split()), r["_block"], r["_draw"]) for r in mixing._keyed(docs, 16, mixing.SEED).collect()]
+    total = Counter()
+    for _, s, n, _, _ in keyed:
+        total[s] += n
+    every = sum(total.values())
+    names = sorted(total, key=str)
+    shares = [total[s] / every for s in names]
+
+    def rates(a):
+        mixed = [p**a for p in shares]
+        each = [m / sum(mixed) / p for m, p in zip(mixed, shares)]
+        return [x * (goal["budget"] / every if "budget" in goal else 1 / min(each)) for x in each]
+
+    def fits(a):
+        mixed = [p**a / sum(q**a for q in shares) for p in shares]
+        if "target_entropy" in goal:
+            return -sum(p * math.log(p) for p in mixed) <= goal["target_entropy"]
+        return max(rates(a)) <= goal.get("repetition", 1.5)
+
+    grid = np.linspace(0, 40, 4_000_001) if "target_entropy" in goal else np.linspace(0, 1, 1_000_001)
+    low, high = 0, len(grid) - 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fits(grid[middle]) else (middle + 1, high)
+    want = {}
+    for s, passes in zip(names, rates(grid[low])):
+        full = int(passes + 1e-9)
+        left, reached, cut = (passes - full) * total[s], 0, None
+        own = sorted({(b, d) for _, x, _, b, d in keyed if x == s})
+        size = Counter()
+        for _, x, n, b, d in keyed:
+            if x == s:
+                size[b, d] += n
+        for place in own:
+            if left > 0 and reached + size[place] / 2 <= left:
+                cut = place
+            reached += size[place]
+        want.update({(i, s): full + (cut is not None and (b, d) <= cut) for i, x, _, b, d in keyed if x == s})
+    drawn = mixing.draws(docs, mixing.quotas(docs, blocks=16, **goal), 16).select("row.*", "copies").collect()
+    differ = [r for r in drawn if r.copies != want[r.doc_id, r.source]]
+    assert len(drawn) == 1520 and len(differ) <= 3  # the exponents agree to five digits, which may move a cut by a document
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
