@@ -29,7 +29,9 @@ either set. A task returns a row a document: its links and the smallest document
 it reaches; never its pairs.
 
 Equal sets are one node with a count. Rows that share a doc_id are one node; a
-null doc_id and texts without words link with nothing. An empty table gives an
+null doc_id and texts without words link with nothing. A text of any length gives
+its whole set. Pairs that tie with the threshold link; of elements that tie in
+count the smaller hash is rarer. An empty table gives an
 empty result. Other columns are not read by the join; ``deduplicated`` keeps
 them, whatever their names.
 """
@@ -42,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
@@ -55,8 +57,6 @@ THRESHOLD = (75, 100)
 FIRST, SECOND = 16, 4
 #: Documents and elements of a block.
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 120_000
-#: Ids that are broadcast to select documents; beyond, the documents are shuffled to meet them.
-BROADCAST_IDS = 2_000_000
 
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -107,27 +107,29 @@ def prefix(n: int, every: int) -> int:
 
 
 def sets(docs: DataFrame, make: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-    """(doc_id, n, print, elements) of each text; ``make`` chooses the elements to return."""
+    """(doc_id, text_print, n, print, elements) of each text; ``make`` chooses the elements to return."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                made = [shingles(t) for t in some.column(1).to_pylist()]
+                made = [shingles(t) for t in some.column(2).to_pylist()]
                 kept = [make(s) for s in made] if make else []
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]) if make else np.zeros(len(made) + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0),
+                        some.column(1),
                         pa.array([len(s) for s in made], pa.int32()),
                         pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in made], pa.string()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(kept) if kept else np.zeros(0), pa.int64())),
                     ],
-                    names=["doc_id", "n", "print", "elements"],
+                    names=["doc_id", "text_print", "n", "print", "elements"],
                 )
 
     own = text_or_empty(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return own.mapInArrow(apply, "doc_id long, n int, print string, elements array<long>")
+    rows = own.select("doc_id", F.xxhash64("text").alias("text_print"), "text")
+    return rows.mapInArrow(apply, "doc_id long, text_print long, n int, print string, elements array<long>")
 
 
 def head(every: int) -> Callable[[np.ndarray], np.ndarray]:
@@ -151,10 +153,9 @@ def survivors(own: DataFrame, nodes: DataFrame, every: int) -> DataFrame:
     return nodes.select("*", node).join(dead, "node", "left").where(live >= _column(every, "needed")).select("doc_id", "n", "print")
 
 
-def chosen(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """Documents whose id is in ``ids`` (written before, so counting it is cheap)."""
-    few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is in ``ids``, a written table: Spark knows its size and broadcasts it where that is small."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi")
 
 
 def candidates(docs: DataFrame, ids: DataFrame, every: int = SECOND) -> DataFrame:
@@ -285,6 +286,11 @@ def tiles(nodes: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id), a row for each row of ``docs``."""
+    return _classes(docs).select("doc_id", "n_shingles", "n_links", "component_id")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The same with text_print and print, a digest of the set (null where it is empty)."""
     base = written(sets(docs, None).drop("elements"), "ngram-sets")
     groups = written(base.where("print is not null and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "ngram-groups")
     first = written(survivors(sets(docs, head(FIRST)), groups.select("doc_id", "n", "print"), FIRST), "ngram-first")
@@ -302,14 +308,33 @@ def classes(docs: DataFrame) -> DataFrame:
     known = written(known.select("print", "n", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "doc_id").alias("component")), "ngram-known")
     own = base.join(known, ["print", "n"], "left")
     sound = F.col("doc_id").isNotNull() & F.col("copies").isNotNull()
-    return own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(sound, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"), F.when(sound, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return own.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(sound, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(sound, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_print",
+        "print",
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each class only; rows with a null id stay."""
-    dropped = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(dropped, F.col("id") == F.col("_dropped"), "left_anti").select("row.*")
+    """``docs`` with one document of each class: the smallest doc_id, and where rows repeat
+    it with equal sets, one of them. Rows of one id stay or go together otherwise; rows
+    with a null id or without words stay."""
+    found = _classes(docs).where("doc_id is not null and print is not null")
+    texts = found.groupBy("doc_id", "print", "text_print").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    same = Window.partitionBy("doc_id", "print")
+    gone = (F.col("component_id") != F.col("doc_id")) | (F.col("text_print") != F.min("text_print").over(same))
+    marks = texts.withColumn("gone", gone).where("gone or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_print").alias("_print"), "gone")
+    marks = written(marks, "ngram-marks")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    # Null texts have no words, so they are in no mark.
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print"))
+    own = (F.col("id") == F.col("_id")) & (F.col("print") == F.col("_print"))
+    single = rows.join(marks, own, "left_anti")
+    repeated = rows.join(marks.where("not gone"), own, "left_semi").dropDuplicates(["id", "print"])
+    return single.unionByName(repeated).select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

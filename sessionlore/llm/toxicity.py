@@ -2,8 +2,12 @@
 
 A document's features are the hashed character n-grams it holds (present or
 not), over the lower-cased text with runs of white space as one space. From
-labelled documents come the naive Bayes log-count ratios r of each feature; a
-logistic regression is then fitted on features scaled by r, as published by Wang
+labelled documents come the naive Bayes log-count ratios r of each feature. The
+``features`` times as many as there are fitted documents that differ most between
+the classes (by chi-square) are kept; the rest would be learnt by heart: at sf0.1,
+with 2,990 fitted and 990 held-out labels, a third, one and three times as many
+catch 0.87, 0.86 and 0.78 of the toxic and reject 0.007, 0.008 and 0.011 of the
+clean documents. A logistic regression is then fitted on features scaled by r, as published by Wang
 and Manning (2012). A document's score is the fitted probability of label 1.
 
 Fitting uses at most ``fit_rows`` labelled documents, those first by a hash of
@@ -11,7 +15,9 @@ their id, so its cost and what reaches the driver stay bounded: a count for each
 of the 2**20 hashed features, and per document the few hundred selected features
 it has. Scoring covers every document; it is one pass without a shuffle.
 
-A null or empty text has no features and gets the score of the intercept.
+A null or empty text has no features and gets the score of the intercept. A text
+of any length is read whole, in overlapping spans. Features that tie at the bound
+are taken in the order of their hashes.
 Labelled rows without label, id or document are not used in fitting, nor are
 ids with conflicting labels; repeated labelled rows count once. With no usable
 label of one class the model is the share of toxic labels (0 where there are

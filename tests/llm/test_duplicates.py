@@ -86,7 +86,10 @@ def test_join_on_cases(spark):
     assert got == want
     kept = ngram_join.deduplicated(docs)
     assert cases.same_columns(kept, docs)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "1", "4", "5", "6", "7", "9", "10", "11", "12", "13", "None"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "9", "10", "11", "12", "13", "None"])
+    again = spark.createDataFrame([(1, cases.BASE), (1, cases.BASE + " "), (1, "x y"), (2, cases.NEAR), (2, "q"), (2, "q"), (3, None), (3, None)], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.deduplicated(again).collect())
+    assert [k for k, _ in kept] == [1, 1, 3, 3] and "x y" in {t for _, t in kept}  # rows of one id stay or go together
     assert ngram_join.classes(cases.empty(spark)).count() == 0
 
 
@@ -132,6 +135,21 @@ def test_vectors(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_extreme_norms_and_ties(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for scale in (1e200, 1e-200, 1e300, 5e-310, 1.0):
+        base = rng.normal(size=8)
+        rows += [((base + rng.normal(size=8) * 0.01) * scale).tolist() for _ in range(4)]
+    far = len(rows)
+    # 49^2 + 9^2 + 3^2 + 3^2 = 50^2, so two cosines are 49/50 to the last bit.
+    rows += [[1.0, *[0.0] * 7], [49.0, 9.0, 3.0, 3.0, *[0.0] * 4], [49.0, -9.0, 3.0, 3.0, *[0.0] * 4]]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame, tile=7).collect()}
+    assert all(got[i] == (3, i - i % 4) for i in range(far))
+    assert [got[far + i] for i in range(3)] == [(2, far), (1, far), (1, far)]
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=(200, 1500)), rng.normal(size=(100, 1500))
