@@ -55,6 +55,8 @@ N = 5
 THRESHOLD = (75, 100)
 #: One further prefix element for every so many of the set, in the two passes.
 FIRST, SECOND = 16, 4
+#: Ids that are broadcast to select documents; beyond, the documents are shuffled to meet them.
+BROADCAST_IDS = 2_000_000
 #: Documents and elements of a block.
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 120_000
 
@@ -153,9 +155,14 @@ def survivors(own: DataFrame, nodes: DataFrame, every: int) -> DataFrame:
     return nodes.select("*", node).join(dead, "node", "left").where(live >= _column(every, "needed")).select("doc_id", "n", "print")
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids``, a written table: Spark knows its size and broadcasts it where that is small."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+def chosen(docs: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """Documents whose id is in ``ids`` (written before, so counting it is cheap)."""
+    return docs.join(broadcast_if_few(ids.select("doc_id"), most), "doc_id", "left_semi")
+
+
+def broadcast_if_few(ids: DataFrame, most: int | None = None) -> DataFrame:
+    most = BROADCAST_IDS if most is None else most
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def candidates(docs: DataFrame, ids: DataFrame, every: int = SECOND) -> DataFrame:
@@ -332,8 +339,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Null texts have no words, so they are in no mark.
     rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print"))
     own = (F.col("id") == F.col("_id")) & (F.col("print") == F.col("_print"))
-    single = rows.join(marks, own, "left_anti")
-    repeated = rows.join(marks.where("not gone"), own, "left_semi").dropDuplicates(["id", "print"])
+    single = rows.join(broadcast_if_few(marks), own, "left_anti")
+    repeated = rows.join(broadcast_if_few(marks.where("not gone")), own, "left_semi").dropDuplicates(["id", "print"])
     return single.unionByName(repeated).select("row.*")
 
 

@@ -108,8 +108,12 @@ def test_join_with_many_blocks(spark, monkeypatch):
     line = " a line that very many of these documents have in common with others"
     rows += [(len(rows) + i, f"only {i} " + " ".join(f"u{i}x{k}" for k in range(40)) + line) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in ngram_join.classes(docs).collect()), key=str)
-    assert got == brute_classes(rows)
+    want = brute_classes(rows)
+    for most in (ngram_join.BROADCAST_IDS, 0):  # ids broadcast, and documents shuffled to meet them
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+        got = sorted(((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in ngram_join.classes(docs).collect()), key=str)
+        assert got == want
+    assert sorted(r.doc_id for r in ngram_join.deduplicated(docs).collect()) == sorted(i for i, _, _, root in want if i == root)
 
 
 def test_vectors(spark):
