@@ -27,11 +27,13 @@ from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import slices, table, text_or_empty
 from .tokens import FOREIGN, LETTERS, NUMBERS, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,8 +42,7 @@ NORMALIZER = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 #: Words in the newer of two generations that a worker remembers.
-GENERATION = 200_000
-SLICE = 128
+GENERATION = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -52,30 +53,38 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(0x100 + rest.index(b)) for b in range(256)]
 
 
-def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The ids left when the pair of the lowest rank, the first of equal ones, is merged until none has a rank."""
-    n = len(symbols)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    queue = []
-    for at, pair in enumerate(zip(symbols, symbols[1:])):
-        if pair in ranks:
-            rank, whole = ranks[pair]
-            queue.append((rank, at, whole))
+#: Pairs and queue entries are whole numbers: two ids, or a rank and a place.
+SHIFT, PLACE = 32, (1 << 32) - 1
+#: In the place of a symbol that was merged into the one before.
+GONE = -1
+
+
+def merged(symbols: list[int], ranks: dict[int, int], wholes: list[int]) -> list[int]:
+    """The ids left when the pair of the lowest rank, the first of equal ones, is merged
+    until no pair has a rank. ``ranks`` has the rank of ``a << SHIFT | b``, ``wholes`` what
+    a rank makes. An entry of the queue names a pair by its right symbol's place."""
+    n, rank_of = len(symbols), ranks.get
+    queue = [rank << SHIFT | right for right, (a, b) in enumerate(zip(symbols, symbols[1:]), 1) if (rank := rank_of(a << SHIFT | b)) is not None]
+    if not queue:
+        return symbols
     heapify(queue)
+    before, after = list(range(-1, n)), list(range(1, n + 1))
     while queue:
-        rank, at, whole = heappop(queue)
-        right = after[at]
-        if symbols[at] < 0 or right >= n or ranks.get((symbols[at], symbols[right])) != (rank, whole):
-            continue  # stale: one of the two was merged meanwhile
-        symbols[at], symbols[right] = whole, -1
-        after[at] = right = after[right]
+        entry = heappop(queue)
+        rank, right = entry >> SHIFT, entry & PLACE
+        left = before[right]
+        if symbols[right] == GONE or rank_of(symbols[left] << SHIFT | symbols[right]) != rank:
+            continue  # stale: a symbol of the pair was merged meanwhile
+        symbols[left], symbols[right] = whole, _ = wholes[rank], GONE
+        after[left] = right = after[right]
         if right < n:
-            before[right] = at
-            if found := ranks.get((whole, symbols[right])):
-                heappush(queue, (found[0], at, found[1]))
-        if (left := before[at]) >= 0 and (found := ranks.get((symbols[left], whole))):
-            heappush(queue, (found[0], left, found[1]))
-    return [s for s in symbols if s >= 0]
+            before[right] = left
+            if (rank := rank_of(whole << SHIFT | symbols[right])) is not None:
+                heappush(queue, rank << SHIFT | right)
+        first = before[left]
+        if first >= 0 and (rank := rank_of(symbols[first] << SHIFT | whole)) is not None:
+            heappush(queue, rank << SHIFT | left)
+    return [s for s in symbols if s != GONE]
 
 
 class Bpe:
@@ -92,32 +101,35 @@ class Bpe:
         self.vocabulary: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.ranks = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocabulary[a], self.vocabulary[b]] = rank, self.vocabulary[a + b]
-        self.strings = {i: s for s, i in (self.vocabulary | self.added).items()}
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.ranks = {self.vocabulary[a] << SHIFT | self.vocabulary[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.wholes = [self.vocabulary[a + b] for a, b in pairs]
+        strings = {i: s for s, i in (self.vocabulary | self.added).items()}
+        self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)])
         steps = (told["normalizer"] or {}).get("normalizers", [])
         splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_pattern = [s["type"] for s in steps] == NORMALIZER and splits[0].get("pattern") == {"Regex": SPLIT}
         self.cut = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True))) if self.added else None
         self.characters = byte_characters()
         self.bytes = {c: b for b, c in enumerate(self.characters)}
+        self.inner = [self.vocabulary[c] for c in self.characters]
+        self.last = [self.vocabulary[c + self.suffix] for c in self.characters]
         self.remembered = remembered
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one normalised word."""
-        symbols = [self.characters[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        return merged([self.vocabulary[s] for s in symbols], self.ranks)
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
+        raw = word.encode()
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return merged(symbols, self.ranks, self.wholes)
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, str]:
-        return array("I", ids).tobytes(), self.decode(ids)
+    def decode(self, ids: list[bytes]) -> pa.Array:
+        """For each list of ids the vocabulary's strings, one after another."""
+        ends = np.cumsum([0, *(len(own) // 4 for own in ids)])
+        strings = self.strings.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings), " ")
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without added tokens."""
@@ -126,27 +138,26 @@ class Bpe:
         plain = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return [bytes(map(self.bytes.__getitem__, w)).decode() for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
-    def _parts(self, text: str) -> list[tuple[bytes, str]]:
+    def _section(self, text: str) -> bytes:
         words = self.words(text)
         parts = list(map(self.known.get, words))
         if None in parts:
             for i, word in enumerate(words):
                 if parts[i] is None:
-                    parts[i] = self.known.get(word) or self.older.get(word) or self._entry(self.word_ids(word))
-                    self.known[word] = parts[i]
-        return parts
+                    if (ids := self.known.get(word) or self.older.get(word)) is None:
+                        ids = array("I", self.word_ids(word)).tobytes()
+                    parts[i] = self.known[word] = ids
+        return b"".join(parts)
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids of a text, little-endian unsigned 32-bit, and the decoded text."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, little-endian unsigned 32-bit."""
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
-        parts, at = [], 0
+        out, at = [], 0
         for found in self.cut.finditer(text) if self.cut else ():
-            parts += self._parts(text[at : found.start()])
-            parts.append(self._entry([self.added[found.group()]]))
+            out += [self._section(text[at : found.start()]), array("I", [self.added[found.group()]]).tobytes()]
             at = found.end()
-        parts += self._parts(text[at:])
-        return b"".join(p[0] for p in parts), " ".join(p[1] for p in parts)
+        return b"".join([*out, self._section(text[at:])])
 
 
 _made: dict[str, Bpe] = {}
@@ -155,20 +166,19 @@ _made: dict[str, Bpe] = {}
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(key, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers."""
     path = vocabulary or vocabulary_path(VOCABULARY)
-    own = text_or_empty(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
-    kind = own.schema["key"].dataType.simpleString()
+    rows = text_or_empty(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _made:
             _made[path] = Bpe(path)
+        own = _made[path]
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(start, SLICE)
-                made = [_made[path].encode(t) for t in piece.column(1).to_pylist()]
-                ids, texts = pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())
-                yield pa.RecordBatch.from_arrays([piece.column(0), ids, texts], names=["key", "ids", "decoded"])
+            for piece in slices(batch, 1):
+                ids = [own.encode(t) for t in piece.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), own.decode(ids)], names=["key", "ids", "decoded"])
 
-    return own.mapInArrow(encode, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
+    return rows.mapInArrow(encode, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch, shared_dir, written
 
-__all__ = ["cut", "passes", "scratch", "shared_dir", "sieve", "small_batches", "table", "text_or_empty", "written"]
+__all__ = ["cut", "passes", "scratch", "shared_dir", "sieve", "slices", "small_batches", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +67,18 @@ def text_or_empty(df: DataFrame, text: str = "text") -> DataFrame:
     """Null texts as empty strings."""
     small_batches(df.sparkSession)
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+
+
+#: A slice of a batch has at most so many rows, and texts of about so many bytes or a single one.
+SLICE_ROWS, SLICE_BYTES = 128, 8 << 20
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, bounded by rows and by the bytes of its column ``text``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    reached, start = np.cumsum(lengths, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = reached[start - 1] if start else 0
+        end = max(start + 1, min(start + rows, int(np.searchsorted(reached, before + size, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
