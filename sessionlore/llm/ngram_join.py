@@ -55,8 +55,6 @@ N = 5
 THRESHOLD = (75, 100)
 #: One further prefix element for every so many of the set, in the two passes.
 FIRST, SECOND = 16, 4
-#: Ids that are broadcast to select documents; beyond, the documents are shuffled to meet them.
-BROADCAST_IDS = 2_000_000
 #: Documents and elements of a block.
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 120_000
 
@@ -155,14 +153,9 @@ def survivors(own: DataFrame, nodes: DataFrame, every: int) -> DataFrame:
     return nodes.select("*", node).join(dead, "node", "left").where(live >= _column(every, "needed")).select("doc_id", "n", "print")
 
 
-def chosen(docs: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
-    """Documents whose id is in ``ids`` (written before, so counting it is cheap)."""
-    return docs.join(broadcast_if_few(ids.select("doc_id"), most), "doc_id", "left_semi")
-
-
-def broadcast_if_few(ids: DataFrame, most: int | None = None) -> DataFrame:
-    most = BROADCAST_IDS if most is None else most
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+def chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` whose id is in ``ids``: both are shuffled by id, whatever their number, and the narrow side is hashed."""
+    return texts.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def candidates(docs: DataFrame, ids: DataFrame, every: int = SECOND) -> DataFrame:
@@ -301,11 +294,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     base = written(sets(docs, None).drop("elements"), "ngram-sets")
     groups = written(base.where("print is not null and doc_id is not null").groupBy("print", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "ngram-groups")
     first = written(survivors(sets(docs, head(FIRST)), groups.select("doc_id", "n", "print"), FIRST), "ngram-first")
-    second = written(survivors(sets(chosen(docs, first), head(SECOND)), first, SECOND), "ngram-second")
-    near = written(candidates(docs, second), "ngram-candidates")
+    # All that follows concerns these documents only, so all texts meet ids once.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = written(chosen(texts, first), "ngram-texts")
+    second = written(survivors(sets(texts, head(SECOND)), first, SECOND), "ngram-second")
+    near = written(candidates(texts, second), "ngram-candidates")
     members = near.select(F.col("id").alias("doc_id"), "component").unionByName(near.select(F.col("component").alias("doc_id"), "component")).distinct()
     members = written(members.join(groups, "doc_id").select("component", "doc_id", "copies", "print"), "ngram-members")
-    full = sets(chosen(docs, members), lambda s: s).select("doc_id", "n", "print", "elements")
+    full = sets(chosen(texts, members), lambda s: s).select("doc_id", "n", "print", "elements")
     # Copies of a set under one id are one node.
     nodes = full.join(members, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
     found = written(tiles(nodes.select("component", "doc_id", "copies", "n", "elements")), "ngram-links")
@@ -339,9 +335,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Null texts have no words, so they are in no mark.
     rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print"))
     own = (F.col("id") == F.col("_id")) & (F.col("print") == F.col("_print"))
-    single = rows.join(broadcast_if_few(marks), own, "left_anti")
-    repeated = rows.join(broadcast_if_few(marks.where("not gone")), own, "left_semi").dropDuplicates(["id", "print"])
-    return single.unionByName(repeated).select("row.*")
+    # One shuffle of the documents, by id and text; copies of a row then lie side by side.
+    marked = rows.join(marks.hint("merge"), own, "left")
+    place = F.row_number().over(Window.partitionBy("id", "print").orderBy("id"))
+    kept = marked.withColumn("place", place).where("gone is null or (not gone and place = 1)")
+    return kept.select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

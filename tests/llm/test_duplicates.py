@@ -109,13 +109,18 @@ def test_join_with_many_blocks(spark, monkeypatch):
     rows += [(len(rows) + i, f"only {i} " + " ".join(f"u{i}x{k}" for k in range(40)) + line) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for most in (ngram_join.BROADCAST_IDS, 0):  # ids broadcast, and documents shuffled to meet them
-        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
-        got = sorted(((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in ngram_join.classes(docs).collect()), key=str)
-        assert got == want
+    got = sorted(((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in ngram_join.classes(docs).collect()), key=str)
+    assert got == want
     assert sorted(r.doc_id for r in ngram_join.deduplicated(docs).collect()) == sorted(i for i, _, _, root in want if i == root)
 
 
+def test_documents_meet_ids_by_one_plan(spark):
+    """However few ids there are, they are not broadcast."""
+    ids, texts = spark.range(3).withColumnRenamed("id", "doc_id"), spark.range(5).selectExpr("id AS doc_id", "'t' AS text")
+    plan = ngram_join.chosen(texts, ids)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(30, 16))
