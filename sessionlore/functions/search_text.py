@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 #: Lower-case Latin letters with diacritics, and their base letters.
 MARKED = "".join(c for c in map(chr, range(0xDF, 0x250)) if c.islower() and unicodedata.normalize("NFD", c) != c)
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 BREAKS = r"[^\p{L}\p{N}]+"
+#: Constants of BM25.
+K1, B = 1.2, 0.75
+#: Postings lie in levels of their weight, which says how much of a message a word makes up.
+#: A level's number counts messages of this many terms as of the mean length; a store has its own.
+LEVELS, TYPICAL_TERMS = 64, 100.0
 
 
 def words(text: Column) -> Column:
@@ -97,10 +102,23 @@ def known_stem(word: str) -> str:
     return stem(word)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(terms: pd.Series) -> pd.Series:
-    """The stems of lists of terms; a worker remembers the words it has met."""
-    return terms.map(lambda own: None if own is None else [known_stem(w) for w in own])
+def weight(tf: Column, terms: Column, mean: Column | float) -> Column:
+    """BM25 of a hit but for factors that all hits of a query share: from 0 to 1."""
+    return tf / (tf + K1 * (1 - B + B * terms / mean))
+
+
+def level(tf: Column, terms: Column, typical: float) -> Column:
+    return F.floor(weight(tf, terms, typical) * LEVELS).cast("int")
+
+
+def most_below(low: int, typical: float, mean: float) -> float:
+    """No weight of a level below ``low`` is larger, where ``mean`` has taken the place of ``typical``.
+
+    A weight w is tf / (tf + c), so c / tf = (1 - w) / w; with another mean c changes by
+    a factor between 1 and typical / mean.
+    """
+    edge = low / LEVELS
+    return 0.0 if low <= 0 else 1 / (1 + min(1.0, typical / mean) * (1 - edge) / edge)
 
 
 def sized(messages: DataFrame) -> DataFrame:
@@ -108,9 +126,30 @@ def sized(messages: DataFrame) -> DataFrame:
     return messages.withColumn("terms", (F.size(words(F.col("role"))) + F.size(words(F.col("content")))).cast("long"))
 
 
-def postings(messages: DataFrame) -> DataFrame:
-    """(session_key, line_no, role, terms, stem, positions): where each stem stands in a message."""
-    own = messages.select("session_key", "line_no", "role", "terms", stems(F.concat(words(F.col("role")), words(F.col("content")))).alias("s"))
-    each = own.select("session_key", "line_no", "role", "terms", F.posexplode("s").alias("position", "stem"))
-    grouped = each.groupBy("session_key", "line_no", "role", "terms", "stem")
-    return grouped.agg(F.array_sort(F.collect_list("position")).alias("positions"))  # of one message
+def postings(messages: DataFrame, typical: float = TYPICAL_TERMS) -> DataFrame:
+    """(stem, level, session_key, line_no, role, terms, in_role, in_content): where each stem
+    stands in a message's role and in its content, each counted from 0."""
+    own = messages.select("session_key", "line_no", "role", "terms", words(F.col("role")).alias("r"), words(F.col("content")).alias("c"))
+    places = pa.list_(pa.int32())
+    schema = pa.schema([("session_key", pa.int64()), ("line_no", pa.int64()), ("role", pa.string()), ("terms", pa.int64()), ("stem", pa.string()), ("in_role", places), ("in_content", places)])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                piece = batch.slice(start, 500)
+                rows: list[int] = []
+                held: list[tuple[str, list[int], list[int]]] = []
+                for i, columns in enumerate(zip(piece.column(4).to_pylist(), piece.column(5).to_pylist())):
+                    found: dict[str, tuple[list[int], list[int]]] = {}
+                    for k, own_words in enumerate(columns):
+                        for place, word in enumerate(own_words or ()):
+                            found.setdefault(known_stem(word), ([], []))[k].append(place)
+                    held += [(s, *at) for s, at in found.items()]
+                    rows += [i] * len(found)
+                kept = pa.RecordBatch.from_arrays(piece.columns[:4], names=schema.names[:4]).take(pa.array(rows, pa.int64()))
+                made = [pa.array([h[k] for h in held], schema.types[4 + k]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *made], schema=schema)
+
+    rows = own.mapInArrow(listed, "session_key long, line_no long, role string, terms long, stem string, in_role array<int>, in_content array<int>")
+    tf = (F.size("in_role") + F.size("in_content")).cast("double")
+    return rows.select("stem", level(tf, F.col("terms"), typical).alias("level"), "session_key", "line_no", "role", "terms", "in_role", "in_content")

@@ -55,12 +55,12 @@ def markdown(sessions: DataFrame, records: DataFrame) -> DataFrame:
     content = coerce.array(v, "$.message.content")
     plain = coerce.text(v, "$.message.content")
     user = F.coalesce(F.concat(plain, F.lit("\n")), _joined(F.transform(content, _user_block)))
-    body = F.when(F.col("type") == "user", user).otherwise(_joined(F.transform(content, _assistant_block)))
-    spoken = records.where(F.col("type").isin("user", "assistant"))
-    parts = spoken.select("session_key", F.struct("line_no", _part(F.col("type"), coerce.text(v, "$.timestamp"), body).alias("text")).alias("part"))
+    body = F.when(F.col("kind") == "user", user).otherwise(_joined(F.transform(content, _assistant_block)))
+    spoken = records.where(F.col("kind").isin("user", "assistant"))
+    parts = spoken.select("session_key", F.struct("block", "seq", _part(F.col("kind"), coerce.text(v, "$.timestamp"), body).alias("text")).alias("part"))
     grouped = parts.groupBy("session_key").agg(F.collect_list("part").alias("parts"))
     both = sessions.join(grouped, "session_key", "left")
-    none = F.array().cast("array<struct<line_no:bigint,text:string>>")
+    none = F.array().cast("array<struct<block:bigint,seq:bigint,text:string>>")
     head = _head(F.col("session_id"), F.col("project"), F.col("first_ms"), F.col("model"))
     return both.select("path", _document(head, F.coalesce("parts", none)).alias("document"))
 
@@ -77,9 +77,9 @@ def markdown_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def json_document(sessions: DataFrame, records: DataFrame) -> DataFrame:
     """(path, document): one JSON object a session with its messages' records in line order."""
-    spoken = records.where(F.col("type").isin("user", "assistant")).groupBy("session_key").agg(F.collect_list(F.struct("line_no", F.to_json("v").alias("text"))).alias("parts"))
+    spoken = records.where(F.col("kind").isin("user", "assistant")).groupBy("session_key").agg(F.collect_list(F.struct("block", "seq", F.to_json("v").alias("text"))).alias("parts"))
     both = sessions.join(spoken, "session_key", "left")
-    none = F.array().cast("array<struct<line_no:bigint,text:string>>")
+    none = F.array().cast("array<struct<block:bigint,seq:bigint,text:string>>")
     listed = F.array_join(F.transform(F.array_sort(F.coalesce("parts", none)), lambda p: p["text"]), ",")
     head = F.to_json(F.struct("project", "session_id", scalars.rfc3339(F.col("first_ms")).alias("date"), "model", "message_count"))
     return both.select("path", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"messages":['), listed, F.lit("]}")).alias("document"))

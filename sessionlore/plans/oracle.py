@@ -46,6 +46,10 @@ TOOL_LIST = "string_agg(tool || '=' || calls, ',' ORDER BY tool || '=' || calls)
 # Unaccented lower-case terms, as both engines read them.
 WORDS = "list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 BM25 = "round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score"
+#: A ranked search where ``tf`` counts hits in the words r of the role and c of the text.
+FORM = FACTS.replace("{", "{{").replace("}", "}}") + f""", t AS (SELECT session_key, line_no, role, {WORDS.replace('text', 'role').replace('{', '{{').replace('}', '}}')} AS r, {WORDS.replace('text', 'content').replace('{', '{{').replace('}', '}}')} AS c FROM messages),
+        h AS (SELECT * EXCLUDE (r, c), ({{tf}})::DOUBLE AS tf, (len(r) + len(c))::DOUBLE AS size FROM t), g AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM h),
+        s AS (SELECT session_key, line_no, role, {BM25} FROM h, g WHERE tf > 0) SELECT project, session_id, role, -score AS rank FROM s JOIN sessions USING (session_key) ORDER BY score DESC, path, line_no, role LIMIT 100"""
 LITERAL = """, lines AS (
     SELECT session_key, line_no, role, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS sub_line, unnest(string_split(content, chr(10))) AS line FROM messages
 ), hits AS (
@@ -142,6 +146,10 @@ ORACLE = {
         SELECT project, session_id, role, rank, CASE WHEN first > 1 THEN '...' ELSE '' END
             || array_to_string(list_transform(parts[first:first + 19], lambda p: CASE WHEN {MARKED} THEN '[[' || p || ']]' ELSE p END), ' ')
             || CASE WHEN first + 20 <= len(parts) THEN '...' ELSE '' END AS snippet FROM a""",
+    "search_prefix": FORM.format(tf="len(list_filter(list_concat(r, c), lambda x: starts_with(x, 'th')))"),
+    "search_column": FORM.format(tf="len(list_filter(r, lambda x: x = 'assistant'))"),
+    # Words with the stem "than".
+    "search_first": FORM.format(tf="CASE WHEN c[1] IN ('than', 'thans', 'thanful', 'thanness', 'thanfulness') THEN 1 ELSE 0 END"),
     "search_phrase": f"""WITH t AS (SELECT doc_id, {WORDS} AS terms FROM documents), h AS (SELECT doc_id, len(list_filter(range(1, len(terms)), lambda i: terms[i] = 'of' AND terms[i + 1] = 'the'))::DOUBLE AS tf, len(terms)::DOUBLE AS size FROM t),
         g AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf > 0) AS df FROM h) SELECT doc_id, {BM25} FROM h, g WHERE tf > 0""",
     "search_lines_cs": FACTS + LITERAL.format(line="line", word="The", date=DATE),

@@ -203,6 +203,28 @@ def search_stemmed(f: Facts) -> DataFrame:
     return search.search(f, "things", limit=100).select("project", "session_id", "role", "snippet", F.round("rank", 6).alias("rank"))
 
 
+def _form(f: Facts, query: str) -> DataFrame:
+    return search.search(f, query, limit=100).select("project", "session_id", "role", F.round("rank", 6).alias("rank"))
+
+
+@report
+def search_prefix(f: Facts) -> DataFrame:
+    """Words that begin alike."""
+    return _form(f, "th*")
+
+
+@report
+def search_column(f: Facts) -> DataFrame:
+    """A word of the role, not of the text."""
+    return _form(f, "message_type:assistant")
+
+
+@report
+def search_first(f: Facts) -> DataFrame:
+    """A text's first word."""
+    return _form(f, "content:^than")
+
+
 @report
 def search_lines_cs(f: Facts) -> DataFrame:
     return search.literal(f, "The", limit=100)

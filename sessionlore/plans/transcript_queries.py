@@ -57,13 +57,22 @@ def _folder() -> Column:
     return F.concat(F.lit("-srv-p"), (F.col("conv_id") % 7).cast("string"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.array(F.lit(""), F.col("record"), F.lit("not json"), F.lit("[1, 2]"))
+    return _turns(spark, sf_dir).select(_folder().alias("project"), F.col("conv_id").alias("session"), "turn", "role", "text", F.posexplode(lines).alias("n", "value"))
+
+
+def _save(rows: DataFrame, root: str) -> None:
+    """A file for each session in ``rows``, in the place of its older one; others stay."""
+    ordered = rows.repartition("project", "session").sortWithinPartitions("project", "session", "turn", "role", "text", "n")
+    writer = ordered.select("project", "session", "value").write.partitionBy("project", "session").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").text(root)
+
+
 def tree(spark: SparkSession, sf_dir: str) -> str:
     """Write the transcripts; the path of their root."""
-    lines = F.array(F.lit(""), F.col("record"), F.lit("not json"), F.lit("[1, 2]"))
-    rows = _turns(spark, sf_dir).select(_folder().alias("project"), F.col("conv_id").alias("session"), "turn", "role", "text", F.posexplode(lines).alias("n", "value"))
     root = scratch(spark, "transcripts")
-    ordered = rows.repartition("project", "session").sortWithinPartitions("project", "session", "turn", "role", "text", "n")
-    ordered.select("project", "session", "value").write.partitionBy("project", "session").text(root)
+    _save(_lines(spark, sf_dir), root)
     return root
 
 
@@ -135,19 +144,41 @@ def transcript_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(r.alias("r")).select("r.project", "r.session_id", "r.message_count", kinds("user").alias("asked"), kinds("assistant").alias("told"))
 
 
+def _deltas(spark: SparkSession, sf_dir: str) -> Facts:
+    """Facts of a store that was refreshed as its files came: some sessions whole and some by
+    their first turns, then the rest of those and new ones, then nothing new."""
+    held, root, rows = Store(spark, scratch(spark, "store")), scratch(spark, "transcripts"), _lines(spark, sf_dir)
+    part = F.col("session") % 7
+    _save(rows.where((part > 1) | ((part == 0) & (F.col("turn") < 2))), root)
+    held.sync(root, **LAYOUT)
+    _save(rows.where(part < 2), root)
+    held.sync(root, **LAYOUT)
+    held.sync(root, **LAYOUT)
+    return held.facts()
+
+
 @query
 def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions and their messages as a store holds them after a refresh, and one that finds nothing new."""
-    store = Store(spark, scratch(spark, "store"))
-    root = tree(spark, sf_dir)
-    store.sync(root, **LAYOUT)
-    store.sync(root, **LAYOUT)
-    f = store.facts()
+    """Sessions and their messages as a store holds them in a base and what came later."""
+    f = _deltas(spark, sf_dir)
     counts = f.messages.groupBy("session_key").agg(F.count(F.lit(1)).alias("messages"), F.sum("terms").alias("terms"))
     held = f.sessions.select("session_key", "project", "session_id", "message_count", "duration_ms").join(counts, "session_key", "left")
     return held.drop("session_key").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("messages", "terms")})
 
 
+@query
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best messages for a word that half of all hold, from the heaviest levels of a store's postings."""
+    return search.search(_deltas(spark, sf_dir), "user", limit=100).select("session_id", "role", F.round("rank", 6).alias("rank"))
+
+
+@query
+def transcript_of_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the files of one project only, by its decoded name."""
+    lines = transcripts.read_lines(spark, tree(spark, sf_dir), project="/srv/p3", **LAYOUT)
+    return transcripts.facts(transcripts.records(lines)).sessions.select("project", "session_id", "message_count")
+
+
 @query
 def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as rollout files of both folders, counted from what the files hold."""
@@ -192,5 +223,8 @@ ORACLE = {
     "transcript_export_json": _TURNS + "SELECT project, session_id, count(*) FILTER (role IN ('user', 'assistant')) AS message_count, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS told FROM turns GROUP BY ALL",
     "store_sessions": _TURNS + f"""SELECT project, session_id, message_count, duration_ms, coalesce(messages, 0)::BIGINT AS messages, coalesce(terms, 0)::BIGINT AS terms FROM sessions
         LEFT JOIN (SELECT session_id, count(*) AS messages, sum({_SIZE})::BIGINT AS terms FROM turns WHERE role IN ('user', 'assistant') AND text <> '' GROUP BY 1) USING (session_id)""",
+    "transcript_of_project": _TURNS + "SELECT project, session_id, message_count FROM sessions WHERE project = '/srv/p3'",
     "rollout_files": _TURNS + "SELECT conv_id, conv_id % 3 = 0 AS archived, count(*) FILTER (role = 'user') AS user_messages, count(*) FILTER (role = 'assistant') AS agent_messages, count(*) FILTER (role NOT IN ('user', 'assistant')) AS reasoning_items, 0::BIGINT AS tool_calls FROM turns GROUP BY ALL",
 }
+# The same ranking; sessions that a later refresh wrote lie in folders like the others'.
+ORACLE["store_search"] = ORACLE["transcript_search"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -18,10 +18,22 @@ SCHEMAS = {
     "attachments": "session_key long, filename string, mime_type string",
     "permission_changes": "session_key long, mode string, at string",
     "messages": "session_key long, line_no long, role string, content string, at string, terms long",
-    "postings": "session_key long, line_no long, role string, terms long, stem string, positions array<int>",
+    "postings": "stem string, level int, session_key long, line_no long, role string, terms long, in_role array<int>, in_content array<int>",
 }
 
 
+@dataclass
+class Index:
+    """What a store knows of its postings without reading them: how many there are of each
+    stem and level (stem, level, n), the number of messages and of their terms, and the
+    length that levels were made for."""
+
+    levels: DataFrame
+    messages: int
+    terms: int
+    typical: float
+
+
 @dataclass
 class Facts:
     sessions: DataFrame
@@ -36,6 +48,7 @@ class Facts:
     permission_changes: DataFrame
     messages: DataFrame
     postings: DataFrame
+    index: Index | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in SCHEMAS}

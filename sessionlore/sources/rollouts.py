@@ -16,12 +16,13 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
     below = lambda folder: text_lines(spark, f"{root.rstrip('/')}/{folder}", recursiveFileLookup=True, pathGlobFilter=pattern)
     both = [below(folder).withColumn("archived", F.lit(archived)) for folder, archived in (("sessions", False), ("archived_sessions", True))]
     lines = written(both[0].unionByName(both[1]).drop("file_size", "file_mtime"), "rollout-lines")
-    return numbered(lines).where(F.trim("value") != "").select("path", "archived", "line_no", "value")
+    return numbered(lines, lines.where(F.trim("value") != ""), "path").select("path", "archived", "line_no", "value")
 
 
 def read_titles(spark: SparkSession, root: str) -> DataFrame:
     """(id, title): of each id the last title that is not empty."""
-    lines = numbered(written(text_lines(spark, f"{root.rstrip('/')}/session_index.jsonl"), "rollout-titles"))
+    lines = written(text_lines(spark, f"{root.rstrip('/')}/session_index.jsonl"), "rollout-titles")
+    lines = numbered(lines, lines, "path")
     rows = lines.select("line_no", F.from_json("value", "id string, thread_name string").alias("r"))
     return rows.where("r.id is not null and r.thread_name <> ''").groupBy("r.id").agg(F.max_by("r.thread_name", "line_no").alias("title"))
 

@@ -34,14 +34,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write to Parquet in the shared folder, in a folder for each value of ``by``, and read it back.
 
     Unlike a checkpoint, the files keep columns apart, so later readers scan
     only what they need.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,12 +1,11 @@
 """JSONL transcripts: ``root/<encoded project>/<session>.jsonl``, one record a line.
 
-Lines are parsed to variants once, written, and every fact is a projection or
-aggregation of that table. Blank and malformed lines are dropped. Files are read by
-lines, so a large one is divided between tasks like any text. Order within a file
-matters for turns and for values that count once, where they appear first: a line's
-number is its place in its block of the file, plus the byte where the block starts.
-That is the plain line number in files of one block, and rises with the lines in
-larger ones.
+Lines are parsed once, in one pass that takes out the typed values of each type of
+record and writes them to a folder for each type; a fact reads the columns that it
+needs of one of those. Blank and malformed lines are dropped, but counted. Files are
+read by lines, so a large one is divided between tasks like any text. Lines are in
+order of (block, seq): where their block of the file starts, and their place in it. A
+line's number is that place plus the lines of the file's blocks before.
 """
 
 from __future__ import annotations
@@ -43,16 +42,6 @@ def text_lines(spark: SparkSession, paths: str | list[str], **options: object) -
     )
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` of a written table with path, block and seq: line_no in their place.
-
-    There is a row a block of a file, as few as the scan's tasks and files.
-    """
-    first = rows.groupBy("path", "block").agg(F.min("seq").alias("first_seq"))
-    joined = rows.join(first, ["path", "block"]).withColumn("line_no", F.col("block") + F.col("seq") - F.col("first_seq"))
-    return joined.drop("block", "seq", "first_seq")
-
-
 def read_lines(
     spark: SparkSession, root: str, project: str | None = None, glob: str = "*/*.jsonl", paths: list[str] | None = None, folder: int = -2
 ) -> DataFrame:
@@ -70,17 +59,11 @@ def read_lines(
     return lines.withColumn("project", scalars.canonical_project(scalars.decode_project(F.col("raw")))).drop("raw")
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Lines as variants, written once; the file's key is a hash of its path."""
-    v = F.try_parse_json("value")
-    parsed = lines.withColumn("v", v).drop("value").withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
-    kept = numbered(written(parsed, "transcript-records")).where("v is not null")
-    return kept.withColumn("session_key", F.xxhash64("path")).withColumn("type", F.coalesce(coerce.text(F.col("v"), "$.type"), F.lit("")))
-
-
-def _first(value: Column) -> Column:
-    """The value of the earliest line that has one."""
-    return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
+#: Types of records with values of their own, each in a folder of its own; others share one,
+#: and lines that are no records are in the last.
+KINDS = ("assistant", "user", "system", "pr-link", "file-history-snapshot", "attachment", "permission-mode")
+OTHER, BAD = "other", "bad"
+USAGE = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 
 
 def _block_text(blocks: Column) -> Column:
@@ -88,67 +71,117 @@ def _block_text(blocks: Column) -> Column:
     return F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), " ")
 
 
+def _values(v: Column) -> dict[str, dict[str, Column]]:
+    """The typed values of each type of record."""
+    text = lambda path: coerce.text(v, path)
+    content = coerce.array(v, "$.message.content")
+    kind_of = lambda b: coerce.text(b, "$.type")
+    names = F.transform(content, lambda b: F.when(kind_of(b) == "tool_use", coerce.text(b, "$.name")))
+    typed = F.schema_of_variant(F.try_variant_get(v, "$.durationMs", "variant")) == "BIGINT"
+    return {
+        "assistant": {
+            "model": text("$.message.model"),
+            "stop_reason": text("$.message.stop_reason"),
+            **{c: coerce.count(v, f"$.message.usage.{k}") for k, c in zip(USAGE, pricing.COUNTERS)},
+            "geo": text("$.message.usage.inference_geo"),
+            "tier": text("$.message.usage.service_tier"),
+            "speed": coerce.number(v, "$.message.usage.speed"),
+            "iterations": coerce.count(v, "$.message.usage.iterations"),
+            "tools": F.array_compact(names),
+            "thinking": F.coalesce(F.size(F.filter(content, lambda b: kind_of(b) == "thinking")).cast("long"), F.lit(0)),
+        },
+        "system": {"subtype": text("$.subtype"), "took_ms": coerce.count(v, "$.durationMs"), "duration_ms": F.when(typed, coerce.count(v, "$.durationMs"))},
+        "pr-link": {"pr_number": coerce.count(v, "$.prNumber"), "pr_url": text("$.prUrl"), "pr_repository": text("$.prRepository")},
+        "file-history-snapshot": {"file_paths": coerce.keys(v, "$.snapshot.trackedFileBackups")},
+        "attachment": {"filename": text("$.filename"), "mime_type": text("$.mimeType")},
+        "permission-mode": {"mode": text("$.mode")},
+    }
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """Records by type (``kind``) with their typed values, written in one pass; the file's key is
+    a hash of its path. Messages keep their whole record ``v`` as well, for exports."""
+    parsed = F.try_parse_json("value")
+    rows = lines.withColumn("v", parsed).drop("value").withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
+    v, kind = F.col("v"), F.col("kind")
+    type_ = coerce.text(v, "$.type")
+    rows = rows.withColumn("kind", F.when(v.isNull(), BAD).when(type_.isin(*KINDS), type_).otherwise(OTHER))
+    spoken = kind.isin("user", "assistant")
+    said = F.when(kind == "user", F.coalesce(coerce.text(v, "$.message.content"), _block_text(coerce.array(v, "$.message.content")))).when(kind == "assistant", _block_text(coerce.array(v, "$.message.content")))
+    own = [F.when(kind == name, value).alias(c) for name, values in _values(v).items() for c, value in values.items()]
+    rows = rows.select(
+        F.xxhash64("path").alias("session_key"), "project", "path", "file_size", "file_mtime", "block", "seq", "kind",
+        coerce.text(v, "$.sessionId").alias("sid"), coerce.text(v, "$.timestamp").alias("at"), coerce.millis(coerce.text(v, "$.timestamp")).alias("ms"),
+        F.when(spoken, F.coalesce(said, F.lit(""))).alias("content"), *own, F.when(spoken, v).alias("v"),
+    )
+    return written(rows, "transcript-records", by="kind")
+
+
+def numbered(every: DataFrame, rows: DataFrame, key: str = "session_key") -> DataFrame:
+    """``rows`` with line_no, the plain number of a line in its file; ``every`` has the
+    file's ``key``, block and seq of all its lines.
+
+    There is a count a block of a file, as few as the scan's tasks and files, and the
+    running sums are of one file.
+    """
+    blocks = every.groupBy(key, "block").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(key).orderBy("block")
+    starts = blocks.select(key, "block", (F.sum("n").over(before) - F.col("n") - F.col("first_seq")).alias("start"))
+    return rows.join(starts, [key, "block"]).withColumn("line_no", F.col("start") + F.col("seq")).drop("start")
+
+
 def facts(rec: DataFrame) -> Facts:
     """All fact tables of the given ``records``."""
-    v = F.col("v")
-    rec = rec.select("session_key", "project", "path", "file_size", "file_mtime", "line_no", "type", "v", coerce.text(v, "$.sessionId").alias("sid"), coerce.text(v, "$.timestamp").alias("at"))
-    rec = rec.withColumn("ms", coerce.millis(F.col("at")))
-    of = lambda kind: rec.where(F.col("type") == kind)
-
-    said = of("assistant").select("session_key", "line_no", "at", "v", coerce.text(v, "$.message.model").alias("model"), coerce.array(v, "$.message.content").alias("blocks"))
-    counters = [coerce.count(v, f"$.message.usage.{k}").alias(c) for k, c in zip(("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"), pricing.COUNTERS)]
-    used = said.select("session_key", "line_no", "model", *counters, *(coerce.text(v, f"$.message.usage.{k}").alias(a) for k, a in (("inference_geo", "geo"), ("service_tier", "tier"))), coerce.number(v, "$.message.usage.speed").alias("speed"), coerce.count(v, "$.message.usage.iterations").alias("iterations"))
-    values = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(scalars.split_values(F.col(c))))))
-    by_model = used.groupBy("session_key", "model").agg(F.count(F.lit(1)).alias("messages"), *(F.sum(c).alias(c) for c in pricing.COUNTERS), values("geo").alias("geos"), values("tier").alias("tiers"), F.avg("speed").alias("speed"), F.sum("iterations").alias("iterations"))
+    place = F.struct("block", "seq")
+
+    def of(kind: str, *columns: str | Column) -> DataFrame:
+        return rec.where(F.col("kind") == kind).select("session_key", *columns)
+
+    def values(c: str) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(c), scalars.split_values))))
+
+    used = of("assistant", "model", *pricing.COUNTERS, "geo", "tier", "speed", "iterations").groupBy("session_key", "model")
+    by_model = used.agg(F.count(F.lit(1)).alias("messages"), *(F.sum(c).alias(c) for c in pricing.COUNTERS), values("geo").alias("geos"), values("tier").alias("tiers"), F.avg("speed").alias("speed"), F.sum("iterations").alias("iterations"))
     total = sum((F.col(c) for c in pricing.COUNTERS[1:]), F.col(pricing.COUNTERS[0]))
-    cost = pricing.cost_units(F.col("model"), tuple(F.col(c) for c in pricing.COUNTERS))
-    usage = by_model.where(total > 0).withColumn("cost_units", cost)
-
-    blocks = said.select("session_key", F.explode("blocks").alias("b"))
-    tools = blocks.where(coerce.text(F.col("b"), "$.type") == "tool_use").select("session_key", coerce.text(F.col("b"), "$.name").alias("tool")).where("tool is not null")
-    thinking = blocks.where(coerce.text(F.col("b"), "$.type") == "thinking").groupBy("session_key").agg(F.count(F.lit(1)).alias("thinking_blocks"))
-    stops = said.select("session_key", coerce.text(v, "$.message.stop_reason").alias("reason")).where("reason is not null")
-
-    timed = of("system").select("session_key", "line_no", "at", coerce.text(v, "$.subtype").alias("subtype"), F.when(F.schema_of_variant(F.try_variant_get(v, "$.durationMs", "variant")) == "BIGINT", coerce.count(v, "$.durationMs")).alias("duration_ms")).where("duration_ms is not null")
-    order = Window.partitionBy("session_key").orderBy("line_no")
-    turns = timed.where("subtype = 'turn_duration'").select("session_key", F.row_number().over(order).cast("long").alias("turn_number"), "duration_ms", "at")
-
-    asked = of("user").select("session_key", "line_no", "at", F.coalesce(coerce.text(v, "$.message.content"), _block_text(coerce.array(v, "$.message.content")), F.lit("")).alias("content"))
-    told = said.select("session_key", "line_no", "at", F.coalesce(_block_text(F.col("blocks")), F.lit("")).alias("content"))
-    messages = asked.withColumn("role", F.lit("user")).unionByName(told.withColumn("role", F.lit("assistant"))).where("content <> ''")
-    messages = search_text.sized(messages)
-
-    empty = F.lit("")
-    prs = of("pr-link").select("session_key", coerce.count(v, "$.prNumber").alias("pr_number"), F.coalesce(coerce.text(v, "$.prUrl"), empty).alias("pr_url"), F.coalesce(coerce.text(v, "$.prRepository"), empty).alias("pr_repository"), F.coalesce("at", empty).alias("at"))
-    files = of("file-history-snapshot").select("session_key", F.explode(coerce.keys(v, "$.snapshot.trackedFileBackups")).alias("file_path")).distinct()
-    attached = of("attachment").select("session_key", coerce.text(v, "$.filename").alias("filename"), coerce.text(v, "$.mimeType").alias("mime_type")).where("filename <> ''")
-    modes = of("permission-mode").select("session_key", coerce.text(v, "$.mode").alias("mode"), "at").where("mode <> ''")
-
-    spoken = F.col("type").isin("user", "assistant")
+    usage = by_model.where(total > 0).withColumn("cost_units", pricing.cost_units(F.col("model"), tuple(F.col(c) for c in pricing.COUNTERS)))
+
+    tools = of("assistant", F.explode("tools").alias("tool")).groupBy("session_key", "tool").agg(F.count(F.lit(1)).alias("calls"))
+    thinking = of("assistant", "thinking").where("thinking > 0").groupBy("session_key").agg(F.sum("thinking").alias("thinking_blocks"))
+    stops = of("assistant", F.col("stop_reason").alias("reason")).where("reason is not null").groupBy("session_key", "reason").agg(F.count(F.lit(1)).alias("times"))
+
+    timed = of("system", "block", "seq", "at", "subtype", "duration_ms").where("subtype = 'turn_duration' and duration_ms is not null")
+    order = Window.partitionBy("session_key").orderBy("block", "seq")
+    turns = timed.select("session_key", F.row_number().over(order).cast("long").alias("turn_number"), "duration_ms", "at")
+
+    said = rec.where("kind in ('user', 'assistant') and content <> ''").select("session_key", "block", "seq", "at", F.col("kind").alias("role"), "content")
+    messages = search_text.sized(numbered(rec, said))
+
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    heads = rec.where(F.col("kind") != BAD).groupBy("session_key", "project", "path", "file_size", "file_mtime")
     span = F.greatest(F.lit(0), F.max("ms") - F.min("ms"))
-    took = F.coalesce(F.sum(F.when(F.col("type") == "system", coerce.count(v, "$.durationMs"))), F.lit(0))
+    took = F.coalesce(F.sum("took_ms"), F.lit(0))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "")
-    heads = rec.groupBy("session_key", "project", "path", "file_size", "file_mtime").agg(
-        F.coalesce(_first(F.col("sid")), F.first(stem)).alias("session_id"),
+    sessions = heads.agg(
+        F.coalesce(F.min_by("sid", F.when(F.col("sid").isNotNull(), place)), F.first(stem)).alias("session_id"),
         F.min("ms").alias("first_ms"),
         F.max("ms").alias("last_ms"),
         F.when(took > 0, took).otherwise(F.coalesce(span, F.lit(0))).cast("long").alias("duration_ms"),
-        F.count_if(spoken).alias("message_count"),
-        scalars.model_label(F.array_distinct(F.collect_list(F.when(F.col("type") == "assistant", coerce.text(v, "$.message.model"))))).alias("model"),
+        F.count_if(F.col("kind").isin("user", "assistant")).alias("message_count"),
+        scalars.model_label(F.collect_set("model")).alias("model"),
     )
     made = Facts(
-        heads,
-        usage,
-        tools.groupBy("session_key", "tool").agg(F.count(F.lit(1)).alias("calls")),
-        turns,
-        prs,
-        files,
-        thinking,
-        stops.groupBy("session_key", "reason").agg(F.count(F.lit(1)).alias("times")),
-        attached,
-        modes,
-        messages,
-        search_text.postings(messages),
+        sessions=sessions,
+        token_usage=usage,
+        tool_calls=tools,
+        turn_durations=turns,
+        pr_links=of("pr-link", "pr_number", text("pr_url"), text("pr_repository"), text("at")),
+        file_modifications=of("file-history-snapshot", F.explode("file_paths").alias("file_path")).distinct(),
+        thinking_usage=thinking,
+        stop_reasons=stops,
+        attachments=of("attachment", "filename", "mime_type").where("filename <> ''"),
+        permission_changes=of("permission-mode", "mode", "at").where("mode <> ''"),
+        messages=messages,
+        postings=search_text.postings(messages),
     )
     names = {name: [c.split()[0] for c in schema.split(", ")] for name, schema in SCHEMAS.items()}
     return Facts(**{name: df.select(*names[name]) for name, df in made.tables().items()})
