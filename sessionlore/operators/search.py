@@ -19,12 +19,13 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import scalars, search_text
 from ..functions.search_text import K1
+from ..sources import shared, store, transcripts
 from ..sources.facts import Facts, Index
 from .reports import LIMIT, matching
 
@@ -242,3 +243,32 @@ def literal(facts: Facts, query: str, project: str | None = None, limit: int = L
     end = F.least(F.length("line"), found + len(query) + SIDE - 1)
     text = F.concat(F.when(start > 1, F.lit("...")).otherwise(F.lit("")), F.substr("line", start, end - start + 1), F.when(end < F.length("line"), F.lit("...")).otherwise(F.lit("")))
     return first.select("project", "session_id", "line_no", "sub_line", "role", scalars.rfc3339(F.col("first_ms")).alias("date"), text.alias("snippet"))
+
+
+#: Bytes of files that a literal search of files reads first, and how much more each time.
+FIRST_BYTES, GROWTH = 256 << 20, 8
+
+
+def literal_files(
+    spark: SparkSession, root: str, query: str, project: str | None = None, limit: int = LIMIT, case_sensitive: bool = True, first_bytes: int = FIRST_BYTES, **layout: object
+) -> DataFrame:
+    """``literal`` on transcript files, without a store: files are read in order of path, some
+    at first and then ever more, until there are ``limit`` lines. ``layout`` is that of ``read_lines``."""
+    glob = {k: v for k, v in layout.items() if k == "glob"}
+    files = store.listing(spark, root, **glob)
+    order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    # A row a file, and no more of them than a reader holds on the driver in any case.
+    files = files.select("path", F.coalesce(F.sum("file_size").over(order), F.lit(0)).alias("before"))
+    files = shared.written(files, "search-files")
+    found, start, size, count = None, 0, first_bytes, files.count()
+    while True:
+        paths = [store.literal(r.path) for r in files.where((F.col("before") >= start) & (F.col("before") < start + size)).select("path").collect()]
+        count -= len(paths)
+        f = transcripts.facts(transcripts.records(transcripts.read_lines(spark, root, paths=paths, **layout)))
+        own = literal(f, query, project, limit, case_sensitive).select("*", F.monotonically_increasing_id().alias("place"))
+        rows = own.orderBy("place").drop("place").collect()  # ``limit`` at most
+        found = rows if found is None else [*found, *rows]
+        if len(found) >= limit or count <= 0:
+            schema = own.drop("place").schema
+            return spark.createDataFrame(found[:limit], schema)
+        start, size = start + size, size * GROWTH

@@ -202,6 +202,23 @@ def test_best_of_a_common_word(spark, tmp_path, held, monkeypatch):
     assert 0 < scanned < f.postings.where("stem = 'weft'").count() / 3
 
 
+def test_literal_search_of_files_ends_early(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        add(tmp_path, f"s{i:02}", f"a shed\nof shed {i}", "none", "Shed", project=f"-srv-p{i % 2}")
+    every = [tuple(r) for r in search.literal(transcripts.read(spark, str(tmp_path)), "shed", limit=10**6).collect()]
+    read = []
+    plain = transcripts.read_lines
+    monkeypatch.setattr(transcripts, "read_lines", lambda *a, **k: read.append(k["paths"]) or plain(*a, **k))
+    for limit in (3, 25, 1000):
+        got = [tuple(r) for r in search.literal_files(spark, str(tmp_path), "shed", limit=limit, first_bytes=900).collect()]
+        assert got == every[:limit] and len(got) == min(limit, 60)
+    first = len(read[0])
+    assert 0 < first < 10 and [len(p) for p in read[1:3]] == [first, len(read[2])] and sum(map(len, read[-3:])) >= 30
+    assert len(search.literal_files(spark, str(tmp_path), "SHED", limit=99, case_sensitive=False).collect()) == 90
+    assert search.literal_files(spark, str(tmp_path), "shed", project="p1", limit=99, first_bytes=900).count() == 30
+    assert search.literal_files(spark, str(tmp_path / "nowhere"), "shed").count() == 0
+
+
 FORMS = {
     "glaz*": search.Asked(("glaz",), prefix=True),
     "content:kiln": search.Asked(("kiln",), ("in_content",)),

@@ -211,6 +211,36 @@ def test_export(spark, tmp_path):
     files = {p.parent.name: p.read_text() for p in (tmp_path / "out").rglob("part-*") if p.suffix != ".crc"}
     assert len(files) == 5 and files["session=5e7a77b2-tree"] == told + "\n"
     assert export.markdown_messages(f.sessions, f.messages).count() == 5
+    # The same bytes from pieces.
+    read = lambda name: {p.parent.name: p.read_bytes() for p in (tmp_path / name).rglob("part-*") if p.suffix != ".crc"}
+    export.write_lines(export.markdown_lines(f.sessions, records), str(tmp_path / "pieces"))
+    assert read("pieces") == read("out") and len(read("out")) == 5
+    export.write(documents, str(tmp_path / "json"))
+    export.write_lines(export.json_lines(f.sessions, records), str(tmp_path / "json-pieces"))
+    assert read("json-pieces") == read("json") and len(read("json")) == 5
+    for name, like in (("one", "%tree%"), ("both", "%5e7a%"), ("none", "nothing")):
+        some = f.sessions.where(f"path like '{like}'")
+        export.write_selected(export.json_lines(some, records), str(tmp_path / name))
+        told = b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*")))
+        want = export.selected_json(export.json_document(some, records)).first().document
+        assert json.loads(told) == json.loads(want)
+
+
+def test_export_of_a_long_session(spark, tmp_path):
+    """Pieces are written as they come: no plan gathers a session."""
+    long = Session("long")
+    for i in range(4000):
+        long.ask(f"question {i} " + "word " * 200, at="10:00:00")
+    long.save(tmp_path / "in", "-x")
+    records = transcripts.records(transcripts.read_lines(spark, str(tmp_path / "in")))
+    f = transcripts.facts(records)
+    for lines in (export.markdown_lines(f.sessions, records), export.json_lines(f.sessions, records)):
+        plan = lines._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and lines.agg({"value": "max"}).count() == 1
+        assert max(len(r.value) for r in lines.collect()) < 1500 and lines.count() == 4002
+    export.write_lines(export.json_lines(f.sessions, records), str(tmp_path / "out"))
+    (path,) = [p for p in (tmp_path / "out").rglob("part-*") if p.suffix != ".crc"]
+    assert [m["message"]["content"].split()[1] for m in json.loads(path.read_text())["messages"]] == list(map(str, range(4000)))
 
 
 def test_store(spark, tmp_path, monkeypatch):
