@@ -180,22 +180,81 @@ def transcript_of_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as rollout files of both folders, counted from what the files hold."""
+def transcript_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that contain a text, from files in order of path."""
+    layout = LAYOUT | {"first_bytes": 64 << 10}
+    return search.literal_files(spark, tree(spark, sf_dir), "The", limit=100, **layout)
+
+
+@query
+def export_markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's Markdown file, written in pieces and read back."""
+    records, out = _records(spark, sf_dir), scratch(spark, "markdown")
+    export.write_lines(export.markdown_lines(transcripts.facts(records).sessions, records), out)
+    files = spark.read.text(f"{out}/*/*/*.txt", wholetext=True).withColumn("folder", F.element_at(F.split("_metadata.file_path", "/"), -3))
+    head = F.regexp_extract("value", r"\*\*Project:\*\* (\S+)", 1)
+    return files.select(head.alias("project"), F.col("value").alias("document"))
+
+
+@query
+def export_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of one project's sessions as one document, written in ranges: a row for each line."""
+    records, out = _records(spark, sf_dir), scratch(spark, "selected")
+    some = transcripts.facts(records).sessions.where("project = '/srv/p3'")
+    export.write_selected(export.json_lines(some, records), out)
+    line = F.regexp_replace("value", r"^[,\[]|\]$", "")
+    kind = F.get_json_object(line, "$.type")
+    names = F.when(F.startswith("value", F.lit("[")), "first").when(F.endswith("value", F.lit("]}]")), "last").when(kind.isNotNull(), kind)
+    lines = spark.read.text(out).select(F.coalesce(names, F.when(F.contains("value", F.lit('"messages":[')), "head").otherwise("end")).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rollouts(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as rollout files of both folders, each after a line about its session, and
+    titles for them: one for each turn, some of them empty. The path of their root."""
     role = F.when(F.col("role") == "assistant", F.lit("agent_message")).when(F.col("role") == "user", F.lit("user_message")).otherwise(F.lit("reasoning"))
     payload = F.struct(role.alias("type"), F.col("text").alias("message"))
-    value = F.to_json(F.struct(F.lit("event_msg").alias("type"), payload.alias("payload")))
-    rows = _turns(spark, sf_dir).select(F.col("conv_id"), (F.col("conv_id") % 3 == 0).alias("archived"), value.alias("value"))
+    turns, id_ = _turns(spark, sf_dir), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id")
+    said = turns.select("conv_id", F.col("turn").alias("place"), F.to_json(F.struct(F.lit("event_msg").alias("type"), payload.alias("payload"))).alias("value"))
+    at = F.date_format((F.lit(START_S) + F.col("conv_id") * 60).cast("timestamp_ltz"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    cwd = F.concat(F.lit("/srv/p"), (F.col("conv_id") % 7).cast("string"))
+    about = F.struct(id_, at.alias("timestamp"), cwd.alias("cwd"), F.lit("1.0").alias("cli_version"))
+    metas = turns.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("place"), F.to_json(F.struct(F.lit("session_meta").alias("type"), about.alias("payload"))).alias("value"))
+    rows = said.unionByName(metas).withColumn("archived", F.col("conv_id") % 3 == 0)
     root = scratch(spark, "rollouts")
     for folder, archived in (("sessions", False), ("archived_sessions", True)):
-        own = rows.where(F.col("archived") == archived).drop("archived").repartition("conv_id")
-        own.write.partitionBy("conv_id").text(f"{root}/{folder}")
-    lines = rollout_source.read_lines(spark, root, pattern="*.txt")
-    files = rollouts.files(rollouts.items(lines))
+        own = rows.where(F.col("archived") == archived).repartition("conv_id").sortWithinPartitions("conv_id", "place", "value")
+        own.select("conv_id", "value").write.partitionBy("conv_id").text(f"{root}/{folder}")
+    name = F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    titles = turns.select("conv_id", "turn", F.to_json(F.struct(id_, name.alias("thread_name"))).alias("value"))
+    titles.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("value").write.text(f"{root}/session_index.jsonl")
+    return root
+
+
+@query
+def rollout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of both folders hold."""
+    files = rollouts.files(rollouts.items(rollout_source.read_lines(spark, _rollouts(spark, sf_dir), pattern="*.txt")))
     conv = F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long")
     return files.select(conv.alias("conv_id"), "archived", "user_messages", "agent_messages", "reasoning_items", "tool_calls")
 
 
+@query
+def rollout_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each session the last title that is not empty."""
+    return rollout_source.read_titles(spark, _rollouts(spark, sf_dir))
+
+
+@query
+def rollout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of both folders."""
+    root = _rollouts(spark, sf_dir)
+    out = rollouts.report(rollout_source.read_lines(spark, root, pattern="*.txt"), rollout_source.read_titles(spark, root), START_S * 1000)
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], x["count"].cast("string"))), ",").alias(c)
+    counts = ("total_sessions", "active_session_files", "archived_sessions", "user_messages", "agent_messages", "reasoning_items")
+    return out.select(*counts, names("top_projects"), names("cli_versions"), F.col("most_recent.session_id").alias("latest"), F.col("most_recent.title").alias("title"))
+
+
 _TURNS = f"""WITH turns AS (SELECT conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text, 'conv-' || conv_id AS session_id, '/srv/p' || (conv_id % 7) AS project,
         ({START_S} + conv_id * 3600 + turn * 7)::BIGINT * 1000 AS ms, CASE WHEN turn % 4 < 2 THEN 'claude-opus-4' ELSE 'claude-haiku-4' END AS model,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) * 4 - 3 AS line_no FROM conversations
@@ -206,6 +265,12 @@ _TURNS = f"""WITH turns AS (SELECT conv_id, turn::BIGINT AS turn, role, coalesce
 ) """
 _UNITS = "CASE model WHEN 'claude-opus-4' THEN 1500 * input_tokens + 7500 * output_tokens + 1875 * cache_write_tokens + 150 * cache_read_tokens ELSE 80 * input_tokens + 400 * output_tokens + 100 * cache_write_tokens + 8 * cache_read_tokens END"
 _SIZE = "len(list_filter(string_split_regex(strip_accents(lower(role || ' ' || text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))"
+LITERAL_FILES = """, lines AS (SELECT session_id, line_no, role, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sub_line, unnest(string_split(text, chr(10))) AS line FROM turns WHERE role IN ('user', 'assistant')
+        ), hits AS (SELECT l.*, project, first_ms, strpos(line, 'The') AS found FROM lines l JOIN sessions USING (session_id) WHERE contains(line, 'The')
+        ORDER BY '-srv-p' || right(project, 1) || '/session=' || substring(session_id, 6), line_no, role, sub_line LIMIT 100
+        ), cut AS (SELECT *, greatest(1, found - 80) AS a, least(length(line), found + 82) AS b FROM hits)
+        SELECT project, session_id, line_no, sub_line::INTEGER AS sub_line, role, strftime(make_timestamp(first_ms * 1000), '%Y-%m-%dT%H:%M:%S+00:00') AS date,
+        CASE WHEN a > 1 THEN '...' ELSE '' END || substring(line, a, b - a + 1) || CASE WHEN b < length(line) THEN '...' ELSE '' END AS snippet FROM cut"""
 ORACLE = {
     "transcript_sessions": _TURNS + "SELECT * FROM sessions",
     "transcript_usage": _TURNS + f"SELECT * EXCLUDE (project), ({_UNITS})::BIGINT / 1e8 AS cost_usd FROM usage WHERE input_tokens + output_tokens + cache_write_tokens > 0",
@@ -224,6 +289,19 @@ ORACLE = {
     "store_sessions": _TURNS + f"""SELECT project, session_id, message_count, duration_ms, coalesce(messages, 0)::BIGINT AS messages, coalesce(terms, 0)::BIGINT AS terms FROM sessions
         LEFT JOIN (SELECT session_id, count(*) AS messages, sum({_SIZE})::BIGINT AS terms FROM turns WHERE role IN ('user', 'assistant') AND text <> '' GROUP BY 1) USING (session_id)""",
     "transcript_of_project": _TURNS + "SELECT project, session_id, message_count FROM sessions WHERE project = '/srv/p3'",
+    "transcript_literal": _TURNS + LITERAL_FILES,
+    "export_markdown_files": _TURNS + f"""SELECT project, '# Session: ' || left(session_id, 8) || chr(10) || chr(10) || '**Project:** ' || project || chr(10) || '**Date:** ' || strftime(make_timestamp(first_ms * 1000), '%Y-%m-%d %H:%M UTC') || chr(10)
+        || CASE WHEN model IS NULL THEN '' ELSE '**Model:** ' || replace(model, 'claude-', '') || chr(10) END || chr(10) || '---' || chr(10) || chr(10) || coalesce(parts, '') || chr(10) AS document
+        FROM sessions LEFT JOIN (SELECT session_id, string_agg('## ' || upper(left(role, 1)) || substring(role, 2) || chr(10) || '*' || strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S') || '*' || chr(10) || chr(10) || text || chr(10)
+        || CASE role WHEN 'assistant' THEN chr(10) || '**Tool: tool' || (turn % 3) || '**' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY line_no) AS parts FROM turns WHERE role IN ('user', 'assistant') GROUP BY 1) USING (session_id)""",
+    "export_selected": _TURNS + """, s AS (SELECT * FROM sessions WHERE project = '/srv/p3'), r AS (SELECT role AS line, count(*) AS n FROM turns WHERE project = '/srv/p3' AND role IN ('user', 'assistant') GROUP BY 1
+        UNION ALL SELECT unnest(['first', 'head', 'end', 'last']), unnest([1, count(*) - 1, count(*) - 1, 1]) FROM s) SELECT line, n::BIGINT AS n FROM r WHERE n > 0""",
+    "rollout_titles": "SELECT 'c' || conv_id AS id, 'turn ' || max(turn) AS title FROM conversations WHERE turn % 3 <> 2 GROUP BY conv_id",
+    "rollout_report": f"""WITH p AS (SELECT '/srv/p' || (conv_id % 7) AS name, count(DISTINCT conv_id) AS n FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+        SELECT count(DISTINCT conv_id) AS total_sessions, count(DISTINCT conv_id) FILTER (conv_id % 3 <> 0) AS active_session_files, count(DISTINCT conv_id) FILTER (conv_id % 3 = 0) AS archived_sessions,
+        count(*) FILTER (role = 'user') AS user_messages, count(*) FILTER (role = 'assistant') AS agent_messages, count(*) FILTER (role NOT IN ('user', 'assistant')) AS reasoning_items,
+        (SELECT string_agg(name || '=' || n, ',' ORDER BY n DESC, name) FROM p) AS top_projects, '1.0=' || count(DISTINCT conv_id) AS cli_versions, 'c' || max(conv_id) AS latest,
+        (SELECT 'turn ' || max(turn) FROM conversations WHERE turn % 3 <> 2 AND conv_id = (SELECT max(conv_id) FROM conversations)) AS title FROM conversations""",
     "rollout_files": _TURNS + "SELECT conv_id, conv_id % 3 = 0 AS archived, count(*) FILTER (role = 'user') AS user_messages, count(*) FILTER (role = 'assistant') AS agent_messages, count(*) FILTER (role NOT IN ('user', 'assistant')) AS reasoning_items, 0::BIGINT AS tool_calls FROM turns GROUP BY ALL",
 }
 # The same ranking; sessions that a later refresh wrote lie in folders like the others'.
