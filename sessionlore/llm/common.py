@@ -27,12 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: The seed of Spark's ``xxhash64``.
 SPARK_SEED = 42
-#: 64-bit words of a sieve: 8 MiB, whatever goes in.
-SIEVE_WORDS = 1 << 20
+#: A sieve has so many bits for each number in it, between 8 KiB and 64 MiB in all. With more
+#: than some 3 * 10**7 numbers it lets more others pass, so its users check what passed.
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 10, 1 << 23
 
 
-def sieve(hashes: DataFrame, words: int) -> np.ndarray:
-    """A Bloom filter with two probes of the 64-bit numbers in ``hash``, put together by Spark."""
+def sieve(hashes: DataFrame, words: int | None = None) -> np.ndarray:
+    """A Bloom filter with two probes of the 64-bit numbers in ``hash``, put together by Spark.
+    Its size in 64-bit words follows their number, unless it is given."""
+    if words is None:
+        words = min(SIEVE_MOST, max(SIEVE_LEAST, 1 << (hashes.count() * SIEVE_BITS // 64).bit_length()))
     places = F.array(F.pmod("hash", F.lit(64 * words)), F.pmod(F.shiftright("hash", 32), F.lit(64 * words)))
     bits = hashes.select(F.explode(places).alias("place"))
     word, bit = F.floor(F.col("place") / 64).cast("int"), F.expr("shiftleft(1L, cast(place % 64 as int))")

@@ -4,9 +4,8 @@ Base spans (kinds ``email``, ``ip``, ``card``, ``phone``) are found by patterns
 with checks. Every distinct value found is a protected entity, and so is each kind
 as a whole, as most values occur in one or two texts only. From the whole corpus
 come two counts: how many texts hold both a term and an entity, and how many hold
-the term at all. Copies of a text with personal data count once, so a text that
-is repeated often does not make its words disclose anything; texts without any
-count as often as they occur. Terms are all words, short ones and those with
+the term at all. Copies of a text count once, with personal data or without, so no
+number of copies makes a word disclose anything or hides that it does. Terms are all words, short ones and those with
 digits too, but function words. The quotient of the counts, smoothed by ``prior``
 texts at the rate of the corpus, is P(entity | term); its logarithm against
 P(entity) is what the term discloses, in bits. A term is sanitised where it meets
@@ -16,9 +15,13 @@ length class where it reaches ``generalise``. A term of one or two texts can mee
 an entity there by chance, so it is not sanitised.
 
 One scan finds the base spans and counts words, a second finds the disclosing
-terms. Tasks of the second know the terms by a sieve of fixed size and pass on
-what it cannot rule out; a join decides. Rows of a frequent entity or term are
-dealt into salted parts. The plan is the same for few and many terms.
+terms. Before the first, digests tell which texts occur more than once: the words of
+those are passed on by text and counted after copies are dropped, all others are added
+up in the tasks, so no text is shuffled. Tasks know the repeated digests, and those of
+the second scan the terms, by a sieve whose size is bounded; they pass on what it
+cannot rule out, and a join or an aggregation decides. Rows of a frequent entity or
+term are dealt into salted parts; texts with the same frequent
+entities count their terms together before pairs are made. The plan is the same for few and many terms.
 
 A null or empty text has no spans. A text of any length is scanned whole, in time
 in proportion to it. Spans that tie in start are listed by kind, then end. Equal
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SIEVE_WORDS, SPARK_SEED, passes, sieve, table, text_or_empty, written
+from .common import SPARK_SEED, passes, sieve, slices, table, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -55,6 +58,8 @@ FUNCTION_WORDS = frozenset(
 )
 PRIOR = 1.0
 SUPPORT, BITS, GENERALISE, REMOVE = 3, 4.0, 0.5, 0.9
+#: 64-bit words of the sieve of terms; None: as their number asks.
+SIEVE_WORDS = None
 
 
 def luhn(digits: str) -> bool:
@@ -132,30 +137,49 @@ PASS_KINDS = {
 COUNTED = 500_000
 
 
+def repeated(docs: DataFrame) -> np.ndarray:
+    """A sieve of the digests of texts that occur more than once; ``docs`` as by ``printed``."""
+    digests = docs.groupBy("text_print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return sieve(written(digests.select(F.xxhash64("text_print").alias("hash")), "pii-repeated"))
+
+
 def first_pass(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Two sorts of rows from one scan: of every text its base spans and entities, and
-    all its terms where it has any; and (word, rows), how many texts without personal
-    data hold a word, added up as they come."""
+    all its terms where it has any or may occur again; and (word, rows), how many of the
+    other texts hold a word, added up as they come."""
+    texts = printed(docs, key, text)
+    copies = docs.sparkSession.sparkContext.broadcast(repeated(texts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain: Counter[str] = Counter()
+        passed_on: set[str] = set()
         for batch in batches:
-            rows = []
-            for key_, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = base_matches(text)
-                if not found:
-                    plain.update(words_of(text))
-                rows.append({
-                    "doc_id": key_,
-                    "text_print": print_,
-                    "spans": [{"kind": k, "start": a, "end": b} for k, a, b in found],
-                    "entities": sorted({entity(k, text[a:b]) for k, a, b in found}),
-                    "terms": sorted(terms_beside(text, found)) if found else [],
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(PASS_KINDS))
-            if len(plain) > COUNTED:
-                yield counted(plain)
-                plain = Counter()
+            for piece in slices(batch, 2):
+                rows = []
+                keys, prints, texts_ = (c.to_pylist() for c in piece.columns)
+                many = held_by(copies.value, prints)
+                for key_, print_, text in zip(keys, prints, texts_):
+                    found, terms = base_matches(text), []
+                    if found:
+                        terms = sorted(terms_beside(text, found))
+                    elif print_ not in many:
+                        plain.update(words_of(text))
+                    elif print_ not in passed_on:  # once a task is enough
+                        terms = sorted(words_of(text))
+                        passed_on.add(print_)
+                    rows.append({
+                        "doc_id": key_,
+                        "text_print": print_,
+                        "spans": [{"kind": k, "start": a, "end": b} for k, a, b in found],
+                        "entities": sorted({entity(k, text[a:b]) for k, a, b in found}),
+                        "terms": terms,
+                    })
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(PASS_KINDS))
+                if len(plain) > COUNTED:
+                    yield counted(plain)
+                    plain = Counter()
+                if len(passed_on) > COUNTED:
+                    passed_on = set()
         yield counted(plain)
 
     def counted(plain: Counter[str]) -> pa.RecordBatch:
@@ -163,7 +187,7 @@ def first_pass(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         columns = [own.get(name, pa.nulls(len(plain), kind)) for name, kind in PASS_KINDS.items()]
         return pa.RecordBatch.from_arrays(columns, names=list(PASS_KINDS))
 
-    return printed(docs, key, text).mapInArrow(scan, PASS_SCHEMA)
+    return texts.mapInArrow(scan, PASS_SCHEMA)
 
 
 def printed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -176,28 +200,35 @@ WORDS_SCHEMA = "doc_id long, text_print string, term string, spans array<struct<
 
 def term_spans(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_print, term, spans) of the terms in each text, and of a few other
-    words: those that a sieve of fixed size cannot tell from a term."""
+    words: those that a sieve cannot tell from a term."""
     bits = docs.sparkSession.sparkContext.broadcast(sieve(terms.select(F.xxhash64("term").alias("hash")), SIEVE_WORDS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(bits.value)
         kinds = [("doc_id", pa.int64()), ("text_print", pa.string()), ("term", pa.string()), ("spans", pa.list_(SPAN))]
         for batch in batches:
-            rows = []
-            for key_, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not (wanted := known.among(words_of(text))):
-                    continue
-                own: dict[str, list[dict]] = {}
-                for m in TERM.finditer(text):
-                    term = m[0].lower()
-                    if term in wanted:
-                        own.setdefault(term, []).append({"start": m.start(), "end": m.end()})
-                rows += [{"doc_id": key_, "text_print": print_, "term": t, "spans": s} for t, s in own.items()]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+            for piece in slices(batch, 2):
+                rows = []
+                for key_, print_, text in zip(*(c.to_pylist() for c in piece.columns)):
+                    if not (wanted := known.among(words_of(text))):
+                        continue
+                    own: dict[str, list[dict]] = {}
+                    for m in TERM.finditer(text):
+                        term = m[0].lower()
+                        if term in wanted:
+                            own.setdefault(term, []).append({"start": m.start(), "end": m.end()})
+                    rows += [{"doc_id": key_, "text_print": print_, "term": t, "spans": s} for t, s in own.items()]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
     return printed(docs, key, text).mapInArrow(find, WORDS_SCHEMA)
 
 
+def held_by(bits: np.ndarray, values: list[str]) -> set[str]:
+    """Those of the values that pass a sieve of Spark's ``xxhash64``."""
+    hashes = np.array([xxhash.xxh64_intdigest(v, seed=SPARK_SEED) for v in values], np.uint64)
+    return {v for v, in_ in zip(values, passes(bits, hashes)) if in_}
+
+
 class Known:
     """Which words pass a sieve; the words met before are remembered."""
 
@@ -210,9 +241,8 @@ class Known:
         if len(self.met) > COUNTED:
             self.met, self.passed = set(), set()
         if new := list(words - self.met):
-            hashes = np.array([xxhash.xxh64_intdigest(w, seed=SPARK_SEED) for w in new], np.uint64)
             self.met.update(new)
-            self.passed.update(w for w, in_ in zip(new, passes(self.bits, hashes)) if in_)
+            self.passed.update(held_by(self.bits, new))
         return words & self.passed
 
 
@@ -234,15 +264,18 @@ def disclosure(
     """(term, action, given, bits) of the terms to sanitise, from the written ``first_pass``."""
     held = passed.where(F.size("entities") > 0).select("text_print", "entities", "terms").dropDuplicates(["text_print"])
     held = written(held, "pii-texts")
-    plain = passed.where("word is null and size(entities) = 0").count()
-    texts = held.count() + plain
+    bare = passed.where("word is null and size(entities) = 0")
+    texts = held.count() + bare.select("text_print").distinct().count()
 
     # No term meets an entity more often than it occurs, so rare entities need no pairs.
-    each = held.select(F.explode("entities").alias("entity"), "text_print", "terms")
+    each = held.select(F.explode("entities").alias("entity"), "text_print")
     often = each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= support)
-    by_entity = salted(each, "text_print").join(in_every_part(often), ["entity", "salt"])
-    by_entity = by_entity.select("entity", "entity_texts", F.explode("terms").alias("term"))
-    near = by_entity.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("together"), F.max("entity_texts").alias("entity_texts"))
+    met = salted(each, "text_print").join(in_every_part(often), ["entity", "salt"]).groupBy("text_print")
+    met = met.agg(F.array_sort(F.collect_list(F.struct("entity", "entity_texts"))).alias("often"))  # of one text
+    by_set = met.join(held.select("text_print", "terms"), "text_print").select("often", F.explode("terms").alias("term"))
+    by_set = by_set.groupBy("often", "term").agg(F.count(F.lit(1)).alias("n"))
+    by_entity = by_set.select("term", "n", F.inline("often")).groupBy("term", "entity")
+    near = by_entity.agg(F.sum("n").alias("together"), F.max("entity_texts").alias("entity_texts"))
 
     own = F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1)))
     kinds = held.select(F.explode(own).alias("entity"), "terms")
@@ -252,7 +285,9 @@ def disclosure(
     near = written(near.unionByName(by_kind).where(F.col("together") >= support), "pii-near")
 
     counts = passed.where("word is not null").select(F.col("word").alias("term"), "rows")
-    counts = counts.unionByName(held.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("rows")))
+    again = bare.where(F.size("terms") > 0).select("text_print", "terms").dropDuplicates(["text_print"])
+    for some in (held, again):
+        counts = counts.unionByName(some.select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("rows")))
     counts = counts.groupBy("term").agg(F.sum("rows").alias("texts"))
     rate = F.col("entity_texts") / F.lit(float(max(texts, 1)))
     given = (F.col("together") + prior * rate) / (F.col("texts") + prior)

@@ -19,3 +19,17 @@ def test_terms_of_entities_in_one_text(spark):
 def test_words_at_spans():
     text = "x1, 4111111111111111abc d2 a_b É"
     assert pii.terms_beside(text, pii.base_matches(text)) == {"x1", "d2", "b", "é"}
+
+
+def test_copies_of_plain_texts_change_nothing(spark):
+    rows = [(i, f"the word zanzibar {i} reaches me at one@mail.example.com today") for i in range(6)]
+    rows += [(100 + i, f"some other note {i}") for i in range(300)]
+    once = [*rows, (500, "a page about zanzibar")]
+    many = [*once, *((600 + i, "a page about zanzibar") for i in range(40))]
+
+    def hidden(own):
+        found = pii.find(spark.createDataFrame(own, "doc_id long, text string").repartition(7)).collect()
+        texts = dict(own)
+        return {(r.doc_id, texts[r.doc_id][s.start : s.end], s.action) for r in found for s in r.terms if r.doc_id < 600}
+
+    assert hidden(once) == hidden(many) and (0, "zanzibar", "generalise") in hidden(once)

@@ -164,7 +164,7 @@ def test_disclosing_terms_against_brute_force(spark):
         rows.append((i, " ".join(own)))
     rows += [(200 + i, rows[5 * i][1]) for i in range(20)] + [(300 + i, rows[5 * i + 1][1]) for i in range(20)] + [rows[0]]
     with_data = {t for _, t in rows if personal(t)}
-    plain = [t for _, t in rows if not personal(t)]
+    plain = {t for _, t in rows if not personal(t)}
     terms = {t: pii.terms_beside(t, personal(t)) for t in with_data}
     total = len(with_data) + len(plain)
     texts = Counter(w for t in with_data for w in terms[t]) + Counter(w for t in plain for w in {x.lower() for x in t.split()})
