@@ -3,9 +3,10 @@
 The built-in file source sees new files only, so appended bytes come from a
 Python data source. An offset is (head, position): a digest of the file's first
 line, and a place after a line's end. A line that is still being written, and a
-character cut in two, wait for a later batch. A file whose first line is another
-one, or that has become shorter than the position, was started anew and is read
-from its beginning. The reader keeps no state: a restarted query goes on from its
+character cut in two, wait for a later batch. Each batch is cut at line ends into spans
+for several tasks, which read the path that the driver sees. A file whose first line
+is another one, or that has become shorter than the position, was started anew and is
+read from its beginning. The reader keeps no state: a restarted query goes on from its
 checkpoint, whatever happened to the file meanwhile.
 """
 
@@ -23,6 +24,8 @@ from ..functions import coerce, scalars
 
 TRIGGER = "500 milliseconds"
 BLOCK = 1 << 20
+#: Bytes that a task reads: a backlog is cut at line ends into spans of about that size.
+SPAN = 64 << 20
 #: Bytes of a first line that tell a file from its successor.
 HEAD = 256
 
@@ -46,6 +49,21 @@ def last_line_end(path: str, start: int, size: int) -> int:
     return start
 
 
+def next_line_end(path: str, start: int, size: int) -> int:
+    """The position after the first line end from start on, or size."""
+    with open(path, "rb") as f:
+        f.seek(start - 1)  # a line may end just there
+        at = start - 1
+        while at < size:
+            data = f.read(min(BLOCK, size - at))
+            if (found := data.find(b"\n")) >= 0:
+                return at + found + 1
+            if not data:
+                break
+            at += len(data)
+    return size
+
+
 def head_of(path: str) -> str:
     """A digest of the first line, or of its first bytes; empty where there is no whole line yet."""
     with open(path, "rb") as f:
@@ -71,8 +89,14 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         same = start["head"] == end["head"] and end["position"] >= start["position"]
-        begin = start["position"] if same else 0
-        return [Span(self.path, begin, end["position"])] if end["position"] > begin else []
+        at, out = start["position"] if same else 0, []
+        while at < end["position"]:  # a long backlog is read by many tasks
+            cut = min(at + SPAN, end["position"])
+            if cut < end["position"]:
+                cut = next_line_end(self.path, cut, end["position"])
+            out.append(Span(self.path, at, cut))
+            at = cut
+        return out
 
     def read(self, partition: Span) -> Iterator[tuple[str]]:
         with open(partition.path, "rb") as f:

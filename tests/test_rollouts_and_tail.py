@@ -130,6 +130,21 @@ def test_offsets_without_state(tmp_path):
     assert [r for s in spans for r in reader().read(s)] == [("cd",)] and reader().partitions(end, end) == []
 
 
+def test_a_backlog_is_divided(tmp_path, monkeypatch):
+    """Spans end with lines, whatever their length, and hold each line once."""
+    log = tmp_path / "d.log"
+    for lines in (["x" * (i * 7 % 50) for i in range(400)], ["y" * 5000, "z", "y" * 3000], ["e" * 9] * 30):
+        log.write_bytes("".join(f"{line}\n" for line in lines).encode() + b"unfinished")
+        reader = tail.TailReader(str(log), True)
+        for span, block in ((10, 4), (64, 1 << 20), (1 << 20, 8)):
+            monkeypatch.setattr(tail, "SPAN", span)
+            monkeypatch.setattr(tail, "BLOCK", block)
+            spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
+            assert [line for s in spans for (line,) in reader.read(s)] == lines
+            assert len(spans) > 1 or span > 10_000
+            assert all(a.end == b.start for a, b in zip(spans, spans[1:]))
+
+
 def test_last_line_end(tmp_path):
     path = tmp_path / "x"
     path.write_bytes(b"a\nbc\nd")
