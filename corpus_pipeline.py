@@ -1,7 +1,14 @@
 """The training-data pipeline: five stages from ``documents`` to packed sequences.
 
 Each stage works on all that the one before it kept. Stages in between return
-the columns of ``documents``; the last returns the pieces of the sequences.
+the columns of ``documents``, whatever their number and names; the last returns the
+pieces of the sequences.
+
+Every stage keeps to what its operator's module states: null and empty texts have the
+score of the model's intercept, are near copies of nothing, hold no personal data, are
+mixed like others and have one piece of one token; rows with a null doc_id stay; of
+repeated rows one is left after the second stage; texts of any length are whole; an
+empty table makes every stage return an empty result.
 """
 
 from __future__ import annotations
