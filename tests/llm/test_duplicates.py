@@ -199,3 +199,22 @@ def test_repeated_passages(spark):
     left = {r.doc_id: r.text for r in substrings.remove(docs).collect()}
     assert left[0] == texts[0] and left[7] == texts[7] and len(left[3]) < len(texts[3]) - 200 and left[101] == ""
     assert cases.same_columns(substrings.remove(docs), docs) and substrings.repeats(docs.limit(0)).count() == 0
+
+
+def test_passages_on_cases(spark):
+    docs = cases.documents(spark)
+    got = substrings.repeats(docs).collect()
+    assert got and all(r.doc_id is not None for r in got) and {r.doc_id for r in got} == {1, 2, 3}
+    assert cases.same_columns(substrings.remove(docs), docs) and substrings.remove(docs).count() == docs.count()
+    left = {r.doc_id: r.text for r in substrings.remove(docs).collect()}
+    assert left[4] is None and left[5] == "" and left[9] == cases.LONG and left[1] == cases.BASE
+
+
+def test_repeated_ids_and_long_vectors(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(3, 5000))
+    near = (x[0] + rng.normal(size=5000) * 0.01).tolist()
+    rows = [(1, x[0].tolist(), 0), (1, x[0].tolist(), 0), (2, near, 0), (3, x[1].tolist(), 0), (3, x[2].tolist(), 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.component_id, r.kept) for r in vectors.near_duplicates(frame).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]

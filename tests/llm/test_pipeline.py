@@ -3,6 +3,7 @@
 import corpus_pipeline
 from sessionlore.llm import toxicity
 
+from . import cases
 from .test_duplicates import brute_classes
 from .test_media_and_tokens import check_pack
 from .test_scans import personal
@@ -41,3 +42,29 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_cases(spark):
+    """Nulls, long and repeated texts, and columns of clashing names pass through every stage."""
+    docs = cases.documents(spark)
+    made = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, made, DATA).cache()
+        assert cases.same_columns(made, docs)
+    kept = {r.doc_id: r.text for r in made.collect()}
+    assert set(kept) == {1, 4, 5, 6, 7, 9, 10, 11, 12, 13, None}  # 2 and 3 are near copies of 1, 8 is one of 7
+    assert kept[4] is None and kept[5] == "" and kept[9] == cases.LONG and kept[10] == "mail me at [EMAIL] or [IP] now"
+    packed = corpus_pipeline.STAGES[-1][1](spark, made, DATA).collect()
+    assert check_pack(packed, [(r.doc_id, r.text) for r in made.collect()], 2048) < 0.1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, cases.empty(spark), DATA).count() == 0
+
+
+def test_a_term_goes_in_the_pipeline(spark):
+    """The personal-data stage removes what stands beside one address in many texts, and nothing else."""
+    rows = [(i, f"report {i} about zanzibar {'abcdefghij'[i]} by boss@corp.example.com", "en", "s", 9) for i in range(8)]
+    rows += [(50 + i, f"report {i} about other things {i}", "en", "s", 9) for i in range(400)] + [(900, "on zanzibar", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.hide_personal_data(spark, docs, DATA).collect()}
+    assert "zanzibar" not in " ".join(got.values()) and "[EMAIL]" in got[0] and got[0].startswith("report 0 about ")
+    assert all(got[50 + i] == f"report {i} about other things {i}" for i in range(400)) and len(got) == len(rows)
