@@ -89,21 +89,40 @@ def tools_per_session(facts: Facts, project: str | None = None, limit: int = LIM
     return rows.select("project", "session_id", "first_ms", "tools")
 
 
+#: Bits of a duration's leading digits that tell its range.
+RANGE_BITS = 10
+
+
+def duration_range(ms: Column) -> Column:
+    """A number that rises with the duration and is the same for those with equal leading binary
+    digits: small durations have one each, and all of 64 bits have some 2**17 together."""
+    size = F.when(ms < 0, F.bitwise_not(ms)).otherwise(ms)
+    over = F.greatest(F.lit(0), F.length(F.conv(size.cast("string"), 10, 2)) - RANGE_BITS - 1).cast("int")
+    code = over.cast("long") * (1 << RANGE_BITS) + F.call_function("shiftright", size, over)
+    return F.when(ms < 0, F.bitwise_not(code)).otherwise(code)
+
+
 def duration_stats(durations: DataFrame, by: str) -> DataFrame:
-    """(by, turn_count, avg_ms, p50_ms, p95_ms, max_ms): nearest ranks by running counts of
-    the different durations, which a window can spill; one map of all of them could not."""
-    counted = durations.groupBy(by, "duration_ms").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(by).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(by).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counted.withColumn("reached", F.sum("n").over(order)).withColumn("all", F.sum("n").over(every))
-    rank = lambda p: F.min(F.when(F.col("reached") * 100 >= F.col("all") * p, F.col("duration_ms"))).cast("double")
-    return ranked.groupBy(by).agg(
-        F.sum("n").alias("turn_count"),
-        (F.sum(F.col("duration_ms") * F.col("n")) / F.sum("n")).alias("avg_ms"),
-        rank(50).alias("p50_ms"),
-        rank(95).alias("p95_ms"),
-        F.max("duration_ms").alias("max_ms"),
-    )
+    """(by, turn_count, avg_ms, p50_ms, p95_ms, max_ms), ranks by the nearest-rank rule.
+
+    Durations are counted by range first, of which there are few whatever their number; only
+    the range that holds a rank is looked into. A range of durations below a day holds 2**17
+    different ones at most.
+    """
+    counted = durations.groupBy(by, "duration_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("range", duration_range(F.col("duration_ms")))
+    ranges = counted.groupBy(by, "range").agg(F.sum("n").alias("m"), F.sum(F.col("duration_ms") * F.col("n")).alias("total"), F.max("duration_ms").alias("most"))
+    own = Window.partitionBy(by)  # of one project's ranges
+    placed = ranges.withColumn("reached", F.sum("m").over(own.orderBy("range"))).withColumn("all", F.sum("m").over(own))
+    sums = placed.groupBy(by).agg(F.sum("m").alias("turn_count"), (F.sum("total") / F.sum("m")).alias("avg_ms"), F.max("most").alias("max_ms"))
+    before = F.col("reached") - F.col("m")
+    holds = [F.when((F.col("reached") * 100 >= F.col("all") * p) & (before * 100 < F.col("all") * p), F.lit(p)) for p in (50, 95)]
+    held = placed.select(by, "range", "all", before.alias("before"), F.explode(F.array_compact(F.array(*holds))).alias("p"))
+    inside = held.join(counted, [by, "range"])
+    reached = F.col("before") + F.sum("n").over(Window.partitionBy(by, "p").orderBy("duration_ms"))
+    inside = inside.select(by, "p", "duration_ms", (reached * 100 >= F.col("all") * F.col("p")).alias("enough")).where("enough")
+    rank = lambda p: F.min(F.when(F.col("p") == p, F.col("duration_ms"))).cast("double").alias(f"p{p}_ms")
+    ranks = inside.groupBy(by).agg(rank(50), rank(95))
+    return sums.join(ranks, by).select(by, "turn_count", "avg_ms", "p50_ms", "p95_ms", "max_ms")
 
 
 def turns(facts: Facts, project: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -1,6 +1,7 @@
 """Reports over transcript trees, against values worked out by hand from the tree's own lines."""
 
 import json
+import random
 
 import pytest
 
@@ -73,6 +74,22 @@ def test_ranks_with_repeated_durations(spark):
     assert got == {"a": (20, 5.0, 6.0, 7), "b": (3, 4.0, 9.0, 9)}
 
 
+def test_ranks_of_many_durations(spark):
+    """A project with ever new durations, of all magnitudes, beside small ones."""
+    rng = random.Random(8)
+    values = [rng.choice([rng.randrange(3000), rng.randrange(10**9), rng.randrange(1 << 50), -rng.randrange(5000)]) for _ in range(4000)]
+    rows = [("hot", v) for v in values] + [("one", 1 << 50)] + [("low", v % 5) for v in values[:40]]
+    frame = spark.createDataFrame(rows, "by string, duration_ms long")
+    for r in reports.duration_stats(frame, "by").collect():
+        own = sorted(v for b, v in rows if b == r["by"])
+        at = lambda p: float(own[-(-len(own) * p // 100) - 1])  # noqa: E731, B023
+        assert (r.turn_count, r.p50_ms, r.p95_ms, r.max_ms) == (len(own), at(50), at(95), own[-1])
+    codes = frame.select("duration_ms", reports.duration_range(frame.duration_ms).alias("code")).distinct().orderBy("duration_ms").collect()
+    assert [r.code for r in codes] == sorted(r.code for r in codes)
+    small = [r for r in codes if -2048 <= r.duration_ms < 2048]
+    assert len({r.code for r in small}) == len(small)
+
+
 def test_links_and_files(facts):
     got = rows(reports.pull_requests(facts), "session_id", "pr_number", "pr_url")
     assert got == [("5e7a77b2-tree", 4, ""), ("5e7a77b2-tree", 31, "https://forge/pots/31")]  # the later mention wins
