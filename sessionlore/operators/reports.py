@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing, scalars
-from ..sources.facts import Facts
+from ..sources.facts import Facts, added
 
 LIMIT = 20
 
@@ -45,10 +45,17 @@ def sessions(facts: Facts, project: str | None = None, file: str | None = None,
 
 
 def cost_by_project(facts: Facts, project: str | None = None, limit: int | None = LIMIT) -> DataFrame:
-    """Usage and cost of each project, those without usage too."""
-    both = matching(facts.sessions, project).select("session_key", "project").join(facts.token_usage, "session_key", "left")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in pricing.COUNTERS]
-    grouped = both.groupBy("project").agg(F.count_distinct("session_key").alias("sessions"), *sums, F.coalesce(F.sum("cost_units"), F.lit(0)).alias("cost_units"), _names(F.when(F.col("model").isNotNull(), pricing.family(F.col("model")))).alias("models"))
+    """Usage and cost of each project, those without usage too. A store's sums answer for all
+    projects; where some are asked for, their sessions tell, as a path can match as well."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*pricing.COUNTERS, "cost_units")]
+    names = _names(F.when(F.col("model").isNotNull(), pricing.family(F.col("model")))).alias("models")
+    if project is None and facts.index is not None:
+        used = added("by_model", facts.index.by_model).where("sessions > 0").drop("sessions")
+        counted = added("by_project", facts.index.by_project)
+        grouped = counted.join(used, "project", "left").groupBy("project", "sessions").agg(*sums, names)
+    else:
+        both = matching(facts.sessions, project).select("session_key", "project").join(facts.token_usage, "session_key", "left")
+        grouped = both.groupBy("project").agg(F.count_distinct("session_key").alias("sessions"), *sums, names)
     ranked = grouped.orderBy(F.desc("cost_units"), "project")
     if limit is not None:
         ranked = ranked.limit(limit)
@@ -74,8 +81,11 @@ def cost_per_session(facts: Facts, project: str | None = None, limit: int = LIMI
 
 
 def tools(facts: Facts, project: str | None = None, limit: int = LIMIT) -> DataFrame:
-    calls = facts.tool_calls.join(matching(facts.sessions, project).select("session_key"), "session_key")
-    return calls.groupBy("tool").agg(F.sum("calls").alias("calls")).orderBy(F.desc("calls"), "tool").limit(limit)
+    if project is None and facts.index is not None:
+        calls = facts.index.by_tool
+    else:
+        calls = facts.tool_calls.join(matching(facts.sessions, project).select("session_key"), "session_key")
+    return calls.groupBy("tool").agg(F.sum("calls").alias("calls")).where("calls > 0").orderBy(F.desc("calls"), "tool").limit(limit)
 
 
 def tools_per_session(facts: Facts, project: str | None = None, limit: int = LIMIT, top: int | None = None) -> DataFrame:

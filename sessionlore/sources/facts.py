@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "sessions": "session_key long, project string, path string, file_size long, file_mtime long, session_id string, first_ms long, last_ms long, duration_ms long, message_count long, model string",
@@ -22,16 +23,29 @@ SCHEMAS = {
 }
 
 
+#: Tables that are sums over sessions, so that those of changed sessions can be taken away again;
+#: each with the number of its leading columns that are its key.
+SUMS = {
+    "levels": ("stem string, level int, n long", 2),
+    "by_project": ("project string, sessions long", 1),
+    "by_model": ("project string, model string, sessions long, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, cost_units long", 2),
+    "by_tool": ("project string, tool string, calls long", 2),
+}
+
+
 @dataclass
 class Index:
-    """What a store knows of its postings without reading them: how many there are of each
-    stem and level (stem, level, n), the number of messages and of their terms, and the
-    length that levels were made for."""
+    """What a store keeps added up. Of postings: how many there are of each stem and level
+    (stem, level, n), the number of messages and of their terms, and the length that levels
+    were made for. Of reports: the tables of SUMS. Rows of one key are to be added."""
 
     levels: DataFrame
     messages: int
     terms: int
     typical: float
+    by_project: DataFrame
+    by_model: DataFrame
+    by_tool: DataFrame
 
 
 @dataclass
@@ -52,3 +66,23 @@ class Facts:
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
+
+
+def sums(facts: Facts) -> dict[str, DataFrame]:
+    """The tables of SUMS but ``levels``, from all facts."""
+    own = facts.sessions.select("session_key", "project")
+    one, names = F.count(F.lit(1)), [c.split()[0] for c in SUMS["by_model"][0].split(", ")]
+    used = facts.token_usage.join(own, "session_key").groupBy("project", "model")
+    return {
+        "by_project": own.groupBy("project").agg(one.alias("sessions")),
+        "by_model": used.agg(one.alias("sessions"), *(F.sum(c).alias(c) for c in names[3:])),
+        "by_tool": facts.tool_calls.join(own, "session_key").groupBy("project", "tool").agg(F.sum("calls").alias("calls")),
+    }
+
+
+def added(name: str, rows: DataFrame) -> DataFrame:
+    """A table of SUMS with one row a key, without those that came to nothing."""
+    schema, keys = SUMS[name]
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = rows.groupBy(*names[:keys]).agg(*(F.sum(c).alias(c) for c in names[keys:]))
+    return out.where(" or ".join(f"{c} <> 0" for c in names[keys:]))

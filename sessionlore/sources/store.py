@@ -25,7 +25,8 @@ refresh reads it again.
 
 *Search.* Postings lie in order of stem and of level (see ``search_text``), and each run
 counts its own by stem and level, less those that it replaces. Those counts, and the
-numbers of messages and terms in the manifest, are exact without reading postings.
+numbers of messages and terms in the manifest, are exact without reading postings. Sums
+of usage and tool calls by project are kept in the same way, for reports.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import search_text
-from .facts import SCHEMAS, Facts, Index
+from .facts import SCHEMAS, SUMS, Facts, Index, added, sums
 from .files import Folder
 from .transcripts import facts, read_lines, records
 
@@ -55,7 +56,7 @@ LEASE_S = 3600
 #: Folders that no manifest names are removed when they are older: their writer is gone.
 ABANDONED_S = 24 * 3600
 FILES = "path string, file_size long, file_mtime long"
-TABLES = SCHEMAS | {"files": f"session_key long, {FILES}", "keys": "session_key long", "levels": "stem string, level int, n long"}
+TABLES = SCHEMAS | {"files": f"session_key long, {FILES}", "keys": "session_key long"} | {name: schema for name, (schema, _) in SUMS.items()}
 #: Order of the rows in a run's files, where it lets readers skip some.
 ORDER = {"postings": ("stem", "-level", "session_key"), "levels": ("stem",), "messages": ("session_key", "line_no"), "keys": ("session_key",)}
 ROW_GROUP = 4 << 20
@@ -150,7 +151,8 @@ class Store:
         return None
 
     def _facts(self, now: Manifest) -> Facts:
-        index = Index(self._table("levels", now.runs), sum(r.messages for r in now.runs), sum(r.terms for r in now.runs), now.typical)
+        kept = {name: self._table(name, now.runs) for name in SUMS}
+        index = Index(messages=sum(r.messages for r in now.runs), terms=sum(r.terms for r in now.runs), typical=now.typical, **kept)
         return Facts(**{name: self._table(name, now.runs) for name in SCHEMAS}, index=index)
 
     def _table(self, name: str, runs: tuple[Run, ...]) -> DataFrame:
@@ -159,7 +161,7 @@ class Store:
         for k, run in enumerate(runs):
             own = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{run.folder}/{name}")
             rows = own.withColumn("run", F.lit(k)) if k == 0 else rows.unionByName(own.withColumn("run", F.lit(k)))
-        if name in ("levels", "keys") or len(runs) < 2:
+        if name in SUMS or name == "keys" or len(runs) < 2:
             return rows.drop("run")
         keys = [self.spark.read.schema(TABLES["keys"]).parquet(f"{self.path}/{r.folder}/keys").withColumn("last", F.lit(k)) for k, r in enumerate(runs) if k]
         every = keys[0]
@@ -180,18 +182,28 @@ class Store:
 
     def _write_postings(self, folder: str, messages: DataFrame, typical: float | None, replaced: DataFrame | None) -> tuple[float, int, int]:
         """Postings and their counts; the typical length, and the messages and terms that are added."""
-        sums = lambda rows: rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("terms"), F.lit(0))).first()
-        n, terms = sums(messages)
+        size = lambda rows: rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+        n, terms = size(messages)
         typical = typical or (terms / n if n else search_text.TYPICAL_TERMS)
         counts = self._write(folder, "postings", search_text.postings(messages, typical)).groupBy("stem", "level").agg(F.count(F.lit(1)).alias("n"))
         if replaced is not None:
             lost = search_text.postings(replaced, typical).groupBy("stem", "level").agg((-F.count(F.lit(1))).alias("n"))
-            counts = counts.unionByName(lost).groupBy("stem", "level").agg(F.sum("n").alias("n")).where("n <> 0")
-            lost_n, lost_terms = sums(replaced)
+            counts = added("levels", counts.unionByName(lost))
+            lost_n, lost_terms = size(replaced)
             n, terms = n - lost_n, terms - lost_terms
         self._write(folder, "levels", counts)
         return typical, n, terms
 
+    def _write_sums(self, folder: str, own: Facts, replaced: Facts | None) -> None:
+        """The sums of a run's facts, less those of the facts that they replace."""
+        lost = {} if replaced is None else sums(replaced)
+        for name, rows in sums(own).items():
+            if name in lost:
+                keys = SUMS[name][1]
+                away = lost[name].select(*lost[name].columns[:keys], *((-F.col(c)).alias(c) for c in lost[name].columns[keys:]))
+                rows = added(name, rows.unionByName(away))
+            self._write(folder, name, rows)
+
     def _refresh(self, before: Manifest | None, root: str, run: str, glob: str, folder: int) -> tuple[Run, int, float] | None:
         """Write a run of what changed since ``before`` (None: everything); it, the number of files, and the typical length."""
         known = self.spark.createDataFrame([], FILES) if before is None else self._table("files", before.runs).select("path", "file_size", "file_mtime")
@@ -209,11 +221,11 @@ class Store:
         made = facts(records(read_lines(self.spark, root, glob=glob, paths=paths, folder=folder)))
         keys = self._write(run, "keys", changes.select("session_key"))
         self._write(run, "files", present)
-        for name, rows in made.tables().items():
-            if name not in ("messages", "postings"):
-                self._write(run, name, rows)
-        messages = self._write(run, "messages", made.messages)
-        replaced = None if before is None else self._table("messages", before.runs).join(keys, "session_key", "left_semi")
+        own = {name: self._write(run, name, rows) for name, rows in made.tables().items() if name != "postings"}
+        messages = own["messages"]
+        old = None if before is None else {name: self._table(name, before.runs).join(keys, "session_key", "left_semi") for name in own}
+        replaced = None if old is None else old["messages"]
+        self._write_sums(run, Facts(**own, postings=made.postings), None if old is None else Facts(**old, postings=made.postings))
         typical, n, terms = self._write_postings(run, messages, before.typical if before else None, replaced)
         return Run(run, size, n, terms, (run,)), count, typical
 
@@ -268,8 +280,8 @@ class Store:
             folder = f"run-{uuid.uuid4().hex}"
             for name in TABLES:
                 rows = self._table(name, group)
-                if name == "levels":
-                    rows = rows.groupBy("stem", "level").agg(F.sum("n").alias("n")).where("n <> 0")
+                if name in SUMS:
+                    rows = added(name, rows)
                 elif name == "keys":  # the oldest run has none to replace
                     rows = rows.distinct() if found[0] else rows.limit(0)
                 self._write(folder, name, rows)

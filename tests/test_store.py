@@ -40,6 +40,8 @@ def same_facts(spark, held, root):
     counted = {(r.stem, r.level): r["count"] for r in held.facts().postings.groupBy("stem", "level").count().collect()}
     assert levels == counted and index.messages == plain.messages.count()
     assert index.terms == sum(r.terms for r in plain.messages.collect())
+    for report in (reports.cost_by_project, reports.tools):  # from sums that are kept, and from all facts
+        assert report(held.facts()).collect() == report(plain).collect()
 
 
 def test_a_refresh_writes_what_changed(spark, tmp_path, held, monkeypatch):
@@ -53,6 +55,9 @@ def test_a_refresh_writes_what_changed(spark, tmp_path, held, monkeypatch):
     assert held.sync(str(root)) == 2
     base, delta = held.manifest().runs
     assert written(held, delta) < written(held, base) / 10
+    assert [r.sessions for r in reports.cost_by_project(held.facts()).collect()] == [151]
+    plan = reports.tools(held.facts())._jdf.queryExecution().optimizedPlan().toString()
+    assert "session_key" not in plan  # no session is read
     assert held.facts().sessions.count() == 151 and held.facts().messages.where("content = 'one line'").count() == 1
 
 
