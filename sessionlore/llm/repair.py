@@ -344,4 +344,56 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_repair": op13_repair}
-ORACLE: dict[str, str] = {}
+#: Row by row in a recursive query: the least (cost, edits) of each state, then the repaired lines edit by edit.
+ORACLE = {
+    "op13_repair": r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+), raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, step,
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations, crc
+), kinds AS (
+    SELECT * EXCLUDE (bytes, step), xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind FROM raw
+), damaged AS (
+    SELECT conv_id, turn, role AS was, text AS said, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, was, said, copy) AS i FROM damaged
+), repeats AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM placed
+), turns AS (
+    SELECT conv_id, turn, i, role, text, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM repeats
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id
+), states AS (
+    SELECT conv_id, 0::BIGINT AS i, {c: 0, e: ''} AS z, {c: 1000000000, e: ''} AS s, {c: 3, e: 'I'} AS u, {c: 6, e: 'II'} AS a FROM counts
+    UNION ALL SELECT conv_id, i, z, s, v, list_sort([a, {c: v.c + 3, e: v.e || 'I'}])[1] FROM (
+        SELECT conv_id, i, z, s, list_sort([u, {c: z.c + 3, e: z.e || 'I'}, {c: s.c + 3, e: s.e || 'I'}, {c: a.c + 3, e: a.e || 'I'}])[1] AS v, a FROM (
+            SELECT p.conv_id, t.i,
+                list_sort([{c: z.c + 4, e: z.e || 'D'}, {c: z.c + CASE WHEN keep AND r = '' THEN x ELSE 1000000000 END, e: z.e || 'K'}])[1] AS z,
+                list_sort([{c: s.c + 4, e: s.e || 'D'}, {c: s.c + CASE WHEN keep AND r = '' THEN x ELSE 1000000000 END, e: s.e || 'K'}, {c: z.c + CASE WHEN keep AND r = 's' THEN x ELSE 1000000000 END, e: z.e || 'K'}])[1] AS s,
+                list_sort([{c: u.c + 4, e: u.e || 'D'}, {c: u.c + CASE WHEN keep AND r = '' THEN x ELSE 1000000000 END, e: u.e || 'K'},
+                    {c: z.c + CASE WHEN keep AND r = 'u' THEN x ELSE 1000000000 END, e: z.e || 'K'}, {c: s.c + CASE WHEN keep AND r = 'u' THEN x ELSE 1000000000 END, e: s.e || 'K'},
+                    {c: a.c + CASE WHEN keep AND r = 'u' THEN x ELSE 1000000000 END, e: a.e || 'K'}, {c: z.c + CASE WHEN keep THEN x + 3 ELSE 1000000000 END, e: z.e || 'R'},
+                    {c: s.c + CASE WHEN keep THEN x + 3 ELSE 1000000000 END, e: s.e || 'R'}, {c: a.c + CASE WHEN keep THEN x + 3 ELSE 1000000000 END, e: a.e || 'R'}])[1] AS u,
+                list_sort([{c: a.c + 4, e: a.e || 'D'}, {c: a.c + CASE WHEN keep AND r = '' THEN x ELSE 1000000000 END, e: a.e || 'K'},
+                    {c: u.c + CASE WHEN keep AND r = 'a' THEN x ELSE 1000000000 END, e: u.e || 'K'}, {c: u.c + CASE WHEN keep THEN x + 3 ELSE 1000000000 END, e: u.e || 'R'}])[1] AS a
+            FROM states p JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS keep, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS x FROM turns) t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1))
+), best AS (
+    SELECT c.conv_id, list_sort([z, a])[1] AS b FROM states p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+), repaired AS (
+    SELECT conv_id, b.e AS audit, 1 AS p, 0::BIGINT AS i, '' AS state, ''::VARCHAR AS lines, 0 AS n FROM best
+    UNION ALL SELECT conv_id, audit, p + 1, i + CASE edit WHEN 'I' THEN 0 ELSE 1 END, CASE WHEN edit = 'D' OR role = '' THEN state ELSE left(role, 1) END,
+        CASE WHEN edit = 'D' THEN lines ELSE lines || CASE WHEN n > 0 THEN chr(10) ELSE '' END || role || ':' || text END, n + CASE edit WHEN 'D' THEN 0 ELSE 1 END FROM (
+            SELECT q.conv_id, audit, p, q.i, state, lines, n, audit[p] AS edit, CASE WHEN audit[p] IN ('I', 'R') THEN CASE state WHEN 'u' THEN 'assistant' ELSE 'user' END ELSE t.role END AS role,
+                CASE audit[p] WHEN 'I' THEN '' ELSE t.text END AS text
+            FROM repaired q LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM q.conv_id AND t.i = q.i + 1 WHERE p <= length(audit))
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired q ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.p = length(q.audit) + 1
+""",
+}

@@ -4,6 +4,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import duckdb
 import pytest
 
 from sessionlore.llm import repair
@@ -100,6 +101,17 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, bits):
     assert sorted(got, key=str) == sorted(brute_force(rows), key=str)
 
 
+def test_sql_counterpart(spark, tmp_path):
+    rows = conversations(random.Random(77), 200)
+    spark.createDataFrame([(*r, 1, "i", "e") for r in rows], COLUMNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    for source in (str(tmp_path), "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{source}/conversations.parquet{'/part-*' if source == str(tmp_path) else ''}')")
+        result = con.execute(repair.ORACLE["op13_repair"])
+        assert [d[0] for d in result.description] == (frame := repair.op13_repair(spark, source)).columns
+        assert sorted(result.fetchall(), key=str) == sorted(map(tuple, frame.collect()), key=str)
+
+
 def test_lines_long_text_and_empty_table(spark):
     long = "word " * 200_000
     rows = [(1, 0, "user", long), (1, 1, "user", "Yes."), (2, 0, None, None)]
