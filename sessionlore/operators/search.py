@@ -254,12 +254,12 @@ def literal_files(
 ) -> DataFrame:
     """``literal`` on transcript files, without a store: files are read in order of path, some
     at first and then ever more, until there are ``limit`` lines. ``layout`` is that of ``read_lines``."""
-    glob = {k: v for k, v in layout.items() if k == "glob"}
-    files = store.listing(spark, root, **glob)
+    files = store.listing(spark, root, **{k: v for k, v in layout.items() if k in ("glob", "name")})
     order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     # A row a file, and no more of them than a reader holds on the driver in any case.
     files = files.select("path", F.coalesce(F.sum("file_size").over(order), F.lit(0)).alias("before"))
-    files = shared.written(files, "search-files")
+    with shared.small_files(spark):
+        files = shared.written(files, "search-files")
     found, start, size, count = None, 0, first_bytes, files.count()
     while True:
         paths = [store.literal(r.path) for r in files.where((F.col("before") >= start) & (F.col("before") < start + size)).select("path").collect()]

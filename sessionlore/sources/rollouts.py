@@ -7,7 +7,7 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_files, written
 from .transcripts import numbered, text_lines
 
 
@@ -15,7 +15,8 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
     """(path, archived, line_no, value) of all files like ``pattern`` below both folders."""
     below = lambda folder: text_lines(spark, f"{root.rstrip('/')}/{folder}", recursiveFileLookup=True, pathGlobFilter=pattern)
     both = [below(folder).withColumn("archived", F.lit(archived)) for folder, archived in (("sessions", False), ("archived_sessions", True))]
-    lines = written(both[0].unionByName(both[1]).drop("file_size", "file_mtime"), "rollout-lines")
+    with small_files(spark):
+        lines = written(both[0].unionByName(both[1]).drop("file_size", "file_mtime"), "rollout-lines")
     return numbered(lines, lines.where(F.trim("value") != ""), "path").select("path", "archived", "line_no", "value")
 
 

@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 from ..functions import search_text
 from .facts import SCHEMAS, SUMS, Facts, Index, added, sums
 from .files import Folder
-from .transcripts import facts, read_lines, records
+from .shared import small_files
+from .transcripts import facts, named, read_lines, records
 
 MAX_AGE_S = 300
 FORMAT = 3
@@ -204,12 +205,13 @@ class Store:
                 rows = added(name, rows.unionByName(away))
             self._write(folder, name, rows)
 
-    def _refresh(self, before: Manifest | None, root: str, run: str, glob: str, folder: int) -> tuple[Run, int, float] | None:
+    def _refresh(self, before: Manifest | None, root: str, run: str, glob: str, folder: int, name: str | None) -> tuple[Run, int, float] | None:
         """Write a run of what changed since ``before`` (None: everything); it, the number of files, and the typical length."""
         known = self.spark.createDataFrame([], FILES) if before is None else self._table("files", before.runs).select("path", "file_size", "file_mtime")
-        seen = listing(self.spark, root, glob)
+        seen = listing(self.spark, root, glob, **({} if name is None else {"name": name}))
         status = classify(known, seen).where("status <> 'same'").join(seen, "path", "left").withColumn("session_key", F.xxhash64("path"))
-        status.write.parquet(f"{self.path}/{run}/changes")
+        with small_files(self.spark):
+            status.write.parquet(f"{self.path}/{run}/changes")
         changes = self.spark.read.schema(status.schema).parquet(f"{self.path}/{run}/changes")
         count, size = changes.agg(F.count(F.lit(1)), F.coalesce(F.sum("file_size"), F.lit(0))).first()
         if not count and before is not None:
@@ -218,7 +220,7 @@ class Store:
         paths = None
         if before is not None:  # the reader takes paths as a list; it holds all that it reads on the driver in any case
             paths = [literal(r.path) for r in present.select("path").collect()]
-        made = facts(records(read_lines(self.spark, root, glob=glob, paths=paths, folder=folder)))
+        made = facts(records(read_lines(self.spark, root, glob=glob, paths=paths, folder=folder, name=name)))
         keys = self._write(run, "keys", changes.select("session_key"))
         self._write(run, "files", present)
         own = {name: self._write(run, name, rows) for name, rows in made.tables().items() if name != "postings"}
@@ -242,10 +244,10 @@ class Store:
                 return True
         return not known <= {x for r in now.runs for x in r.of}  # another one began anew
 
-    def sync(self, root: str, force: bool = False, now_ms: int | None = None, glob: str = "*/*.jsonl", folder: int = -2) -> int:
+    def sync(self, root: str, force: bool = False, now_ms: int | None = None, glob: str = "*/*.jsonl", folder: int = -2, name: str | None = None) -> int:
         """Bring the store up to date; the number of files read or dropped.
 
-        ``glob`` and ``folder`` are those of ``read_lines``. Files without a single record have no session
+        ``glob``, ``folder`` and ``name`` are those of ``read_lines``. Files without a single record have no session
         but count as seen. Another root, or ``force``, starts from nothing.
         """
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
@@ -253,7 +255,7 @@ class Store:
             before = self.manifest()
             anew = force or before is None or before.root != root
             run = f"run-{uuid.uuid4().hex}"
-            made = self._refresh(None if anew else before, root, run, glob, folder)
+            made = self._refresh(None if anew else before, root, run, glob, folder, name)
             if made is None:
                 self.folder.remove(run)
                 if self._commit(replace(before, version=before.version + 1, synced_ms=now_ms)):
@@ -337,10 +339,11 @@ def literal(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
-def listing(spark: SparkSession, root: str, glob: str = "*/*.jsonl") -> DataFrame:
+def listing(spark: SparkSession, root: str, glob: str = "*/*.jsonl", name: str | None = None) -> DataFrame:
     """(path, file_size, file_mtime) of all transcript files, without reading them."""
     try:
-        files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
+        with small_files(spark):
+            files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}", **named(name))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -4,9 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlore.operators import export, reports, search, sinks
-from sessionlore.sources import store, transcripts
+from sessionlore.sources import shared, store, transcripts
 from sessionlore.sources.store import Store
 
 from .trees import BENCH, GLAZE, HAIKU, OPUS, SONNET, Session, text, use, workshop
@@ -307,3 +308,25 @@ def test_file_changed_during_refresh(spark, tmp_path, monkeypatch):
     held.sync(str(root))
     monkeypatch.setattr(store, "listing", plain)
     assert held.sync(str(root)) == 1 and held.facts().messages.count() == 2 and held.sync(str(root)) == 0
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Files of a session each: a task reads many, so there are few tables, and the session's settings stay."""
+    shared.write_files(spark.range(400).selectExpr("concat('-p', id % 3, '/', id, '.jsonl') file", """'{"type":"user","message":{"content":"x"}}' value"""), str(tmp_path))
+    keys = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(k) for k in keys]
+    records = transcripts.records(transcripts.read_lines(spark, str(tmp_path), glob="*", name="*.jsonl"))
+    assert records.count() == 400 and len(records.inputFiles()) <= 4  # as many as cores
+    assert [spark.conf.get(k) for k in keys] == before
+    assert transcripts.facts(records).sessions.count() == 400
+
+
+def test_write_files(spark, tmp_path):
+    """A file each with its lines in order, without a folder of its own; a later one takes its place, others stay."""
+    rows = spark.createDataFrame([("a/x.txt", 2, "two"), ("b/y.txt", 1, ""), ("a/x.txt", 1, "één"), ("a/x.txt", 10, "ten")], "file string, n int, value string")
+    shared.write_files(rows, f"file://{tmp_path}/root", "n")
+    shared.write_files(rows.where("file = 'b/y.txt'").withColumn("value", F.lit("new")), f"file://{tmp_path}/root", "n")
+    found = {str(p.relative_to(tmp_path / "root")): p.read_text() for p in (tmp_path / "root").rglob("*") if p.is_file()}
+    assert found == {"a/x.txt": "één\ntwo\nten\n", "b/y.txt": "new\n"}
+    shared.write_files(rows.limit(0), f"file://{tmp_path}/none", "n")
+    assert list((tmp_path / "none").iterdir()) == []
