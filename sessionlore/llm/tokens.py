@@ -17,17 +17,22 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Characters for which WORDS splits exactly as the tokenizer does.
 FOREIGN = re.compile("[^\t\n\r -~¡-ɏ]")
+#: The same below 128, for bytes: what is left of a text without them is foreign.
+PLAIN = bytes([9, 10, 13, *range(32, 127)])
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼½¾"
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Words in the newer of two generations that a Python worker remembers. When it is
 #: full, it becomes the older one, and words met again move over.
 GENERATION = 300_000
+#: Characters of texts whose words are looked up together, or a single longer text.
+GROUP = 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -95,24 +100,35 @@ class Encoder:
             yield packed[begin:end]
             begin = end
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text goes to the tokenizer as it is."""
+        if not self.by_words or any(a in text for a in self.added):
+            return True
+        return bool(text.encode().translate(None, PLAIN)) if text.isascii() else FOREIGN.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as an array of the smallest fitting type."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if not self.by_words or FOREIGN.search(x) or any(a in x for a in self.added)]
+        whole = [i for i, x in enumerate(texts) if self._whole(x)]
         for i, ids in zip(whole, self._pack([texts[i] for i in whole])):
             out[i] = np.frombuffer(ids, self.dtype)
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                words = WORDS.findall(text)
-                parts = list(map(self.known.get, words))
-                if None in parts:
-                    unmet = [k for k, ids in enumerate(parts) if ids is None]
-                    self._learn({words[k] for k in unmet})
-                    for k in unmet:
-                        parts[k] = self.known[words[k]]
-                out[i] = np.frombuffer(b"".join(parts), self.dtype)
+        rest = [i for i in range(len(texts)) if out[i] is None]
+        begin = 0
+        while begin < len(rest):
+            end, size = begin + 1, len(texts[rest[begin]])
+            while end < len(rest) and size + len(texts[rest[end]]) <= GROUP:
+                size += len(texts[rest[end]])
+                end += 1
+            group = rest[begin:end]
+            words = [WORDS.findall(texts[i]) for i in group]
+            unmet = {w for w in set(chain.from_iterable(words)) if w not in self.known}
+            if unmet:
+                self._learn(unmet)
+            for i, own in zip(group, words):
+                out[i] = np.frombuffer(b"".join(map(self.known.__getitem__, own)), self.dtype)
+            begin = end
         return out
 
 

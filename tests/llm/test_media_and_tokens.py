@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sessionlore.llm import media, packing, token_files
+from sessionlore.llm import media, packing, token_files, tokens
 from sessionlore.llm.tokens import Encoder, vocabulary_path
 
 from . import cases
@@ -204,3 +204,17 @@ def test_op2_matches_brute_force(spark):
 
 def test_header():
     assert struct.unpack(">II", media.encode_png(bytes(640))[16:24]) == (64, 10)
+
+
+def test_words_are_looked_up_by_groups(monkeypatch):
+    """Words not met before are learned once a group of texts; ids are the library's at every size of a group."""
+    path = tokens.vocabulary_path()
+    texts = ["a café's new words", "", "new words again\n\n  we'll see ", "\x01 control", "日本", "x<|endoftext|>y", "it's 12 élan !", "longer " * 50]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for group, most in ((1 << 20, 1), (1, 4), (60, 4)):
+        monkeypatch.setattr(tokens, "GROUP", group)
+        enc, calls = tokens.Encoder(path), []
+        monkeypatch.setattr(enc, "_learn", lambda unmet, f=enc._learn: (calls.append(unmet), f(unmet)))
+        assert [ids.tolist() for ids in enc.encode(texts)] == want and len(calls) <= most, group
+        assert len(set().union(*calls)) == sum(map(len, calls))
+        assert [ids.tolist() for ids in enc.encode(texts)] == want and len(calls) <= most
