@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ..functions import search_text
 from .facts import SCHEMAS, SUMS, Facts, Index, added, sums
 from .files import Folder
-from .shared import small_files
+from .shared import small_files, written
 from .transcripts import facts, named, read_lines, records
 
 MAX_AGE_S = 300
@@ -92,10 +92,15 @@ class Manifest:
 
 def classify(known: DataFrame, seen: DataFrame) -> DataFrame:
     """(path, status): new, changed, same or gone, from two lists of (path, file_size, file_mtime)."""
+    return compared(known, seen).select("path", "status")
+
+
+def compared(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """The same with the size and time of the files that are there; ``seen`` is read once."""
     k = known.select("path", F.struct("file_size", "file_mtime").alias("known"))
     s = seen.select("path", F.struct("file_size", "file_mtime").alias("seen"))
     status = F.when(F.col("known").isNull(), "new").when(F.col("seen").isNull(), "gone").when(F.col("known") == F.col("seen"), "same").otherwise("changed")
-    return k.join(s, "path", "full_outer").select("path", status.alias("status"))
+    return k.join(s, "path", "full_outer").select("path", status.alias("status"), "seen.file_size", "seen.file_mtime")
 
 
 def alike(runs: tuple[Run, ...]) -> tuple[int, int] | None:
@@ -186,7 +191,9 @@ class Store:
         size = lambda rows: rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("terms"), F.lit(0))).first()
         n, terms = size(messages)
         typical = typical or (terms / n if n else search_text.TYPICAL_TERMS)
-        counts = self._write(folder, "postings", search_text.postings(messages, typical)).groupBy("stem", "level").agg(F.count(F.lit(1)).alias("n"))
+        # Ranges are found in a sample of the rows, for which they would be made a second time.
+        made = written(search_text.postings(messages, typical), "postings")
+        counts = self._write(folder, "postings", made).groupBy("stem", "level").agg(F.count(F.lit(1)).alias("n"))
         if replaced is not None:
             lost = search_text.postings(replaced, typical).groupBy("stem", "level").agg((-F.count(F.lit(1))).alias("n"))
             counts = added("levels", counts.unionByName(lost))
@@ -209,7 +216,7 @@ class Store:
         """Write a run of what changed since ``before`` (None: everything); it, the number of files, and the typical length."""
         known = self.spark.createDataFrame([], FILES) if before is None else self._table("files", before.runs).select("path", "file_size", "file_mtime")
         seen = listing(self.spark, root, glob, **({} if name is None else {"name": name}))
-        status = classify(known, seen).where("status <> 'same'").join(seen, "path", "left").withColumn("session_key", F.xxhash64("path"))
+        status = compared(known, seen).where("status <> 'same'").withColumn("session_key", F.xxhash64("path"))
         with small_files(self.spark):
             status.write.parquet(f"{self.path}/{run}/changes")
         changes = self.spark.read.schema(status.schema).parquet(f"{self.path}/{run}/changes")

@@ -259,3 +259,28 @@ def test_forms_find(spark, tmp_path):
     assert found("A-B") == ["user content a-b glazing mix"]  # of no form: lines that contain it
     ranks = [r["rank"] for r in search.search(f, "A-B").collect()]
     assert ranks == [None]
+
+
+def test_a_refresh_makes_postings_and_lists_files_once(spark, held, tmp_path, monkeypatch):
+    """Each row of a table counts when it is made, also for a sample or a second reader."""
+    for i in range(12):
+        add(tmp_path / "many", f"s{i}", f"red stones {i} and a stone")
+    made = {name: spark.sparkContext.accumulator(0) for name in ("postings", "listing")}
+
+    def counted(run, total):
+        def put(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield batch
+
+        return lambda *args, **named: (rows := run(*args, **named)).mapInArrow(put, rows.schema)
+
+    monkeypatch.setattr(store.search_text, "postings", counted(store.search_text.postings, made["postings"]))
+    monkeypatch.setattr(store, "listing", counted(store.listing, made["listing"]))
+    assert held.sync(str(tmp_path / "many")) == 12
+    assert made["listing"].value == 12
+    rows = held.facts().postings.collect()
+    # Stems of each: its role, red, stone (twice), its number, and, a.
+    assert made["postings"].value == len(rows) == 12 * 6
+    assert {(tuple(r.in_role), tuple(r.in_content)) for r in rows if r.stem == "stone"} == {((), (1, 5))}
+    assert {(tuple(r.in_role), tuple(r.in_content)) for r in rows if r.stem == "user"} == {((0,), ())}
