@@ -218,3 +218,13 @@ def test_words_are_looked_up_by_groups(monkeypatch):
         assert [ids.tolist() for ids in enc.encode(texts)] == want and len(calls) <= most, group
         assert len(set().union(*calls)) == sum(map(len, calls))
         assert [ids.tolist() for ids in enc.encode(texts)] == want and len(calls) <= most
+
+
+def test_words_of_joined_texts_begin_where_the_expression_divides_each():
+    rng = random.Random(11)
+    parts = ["'", " ", " ", "\n", "\t", "s", "t", "re", "v", "e", "m", "ll", "l", "d", "a", "S", "é", "12", "²", ".", ",", "'s", " 'd"]
+    for _ in range(3000):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+        joined, starts = "".join(texts), np.cumsum([0] + [len(x) for x in texts[:-1]])
+        begins = tokens.word_starts(np.frombuffer(joined.encode("utf-32-le"), np.uint32), starts).tolist()
+        assert [joined[a:b] for a, b in zip(begins, [*begins[1:], len(joined)])] == [w for x in texts for w in tokens.WORDS.findall(x)]
