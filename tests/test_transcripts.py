@@ -330,3 +330,43 @@ def test_write_files(spark, tmp_path):
     assert found == {"a/x.txt": "één\ntwo\nten\n", "b/y.txt": "new\n"}
     shared.write_files(rows.limit(0), f"file://{tmp_path}/none", "n")
     assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_small_files_are_read_whole(spark, tmp_path, monkeypatch):
+    """Files read whole and those read by lines give the same lines; only the latter are joined to be numbered."""
+    raw = b'\xef\xbb\xbf{"type":"user","message":{"content":"b\xff"}}\r\n\r\nbad\n{"type":"user","message":{"content":"end"}}'
+    for name, tail in (("a", b""), ("b", b"\n"), ("c", b"\n\n")):
+        (tmp_path / f"{name}.jsonl").write_bytes(raw + tail)
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    Session("long").ask("x" * 5000).ask("last").save(tmp_path, "")
+
+    def read(most):
+        monkeypatch.setattr(transcripts, "WHOLE_BYTES", most)
+        lines = transcripts.read_lines(spark, str(tmp_path), glob="*", name="*.jsonl")
+        messages = transcripts.facts(transcripts.records(lines)).messages
+        return lines, sorted(rows(lines, "path", "file_size", "value")), sorted(rows(messages, "line_no", "content"))
+
+    whole, by_line, mixed = read(1 << 20), read(-1), read(1000)
+    assert whole[1:] == by_line[1:] == mixed[1:] and len(whole[1]) == 4 + 4 + 5 + 2
+    kinds = [{r.block == transcripts.WHOLE for r in x[0].select("block").collect()} for x in (whole, by_line, mixed)]
+    assert kinds == [{True}, {False}, {True, False}]
+    (tmp_path / "d.txt").write_bytes(raw)  # of another name: left to the reader of lines
+    other = transcripts.text_lines(spark, f"{tmp_path}/d.txt").collect()
+    assert [r.block for r in other] == [0] * 4 and other[0].value.startswith("{")
+
+
+def test_lines_that_are_no_objects(spark, tmp_path):
+    odd = Session("odd")
+    for line in ("[1, 2]", '"{"', "{", "7", "null", "x{}", ' \t{"type":"user","message":{"content":"kept"}}'):
+        odd.raw(line)
+    odd.save(tmp_path, "-x")
+    records = transcripts.records(transcripts.read_lines(spark, str(tmp_path)))
+    assert sorted(r.kind for r in records.collect()) == ["bad"] * 6 + ["user"]
+
+
+def test_files_of_other_projects_are_not_opened(spark, tmp_path):
+    Session("mine").ask("here").save(tmp_path, "-x-mine")
+    other = Session("other").ask("there").save(tmp_path, "-x-other")
+    lines = transcripts.read_lines(spark, str(tmp_path), project="/x/mine", glob="*", name="*.jsonl")
+    other.unlink()
+    assert rows(transcripts.facts(transcripts.records(lines)).sessions, "session_id") == [("mine",)]
