@@ -91,8 +91,11 @@ def idf(n: Column, df: Column) -> Column:
 
 def scored(hits: DataFrame, every: DataFrame) -> DataFrame:
     """``hits`` (with tf and terms) with ``score``; ``every`` is one row of n and mean."""
-    df = hits.agg(F.count(F.lit(1)).alias("df"))
-    both = hits.crossJoin(F.broadcast(every.crossJoin(df)))  # one row of totals
+    return _scored(hits, every.crossJoin(hits.agg(F.count(F.lit(1)).alias("df"))))
+
+
+def _scored(hits: DataFrame, every: DataFrame) -> DataFrame:
+    both = hits.crossJoin(F.broadcast(every))  # one row of totals
     score = idf(F.col("n"), F.col("df")) * (K1 + 1) * search_text.weight(F.col("tf"), F.col("terms"), F.col("mean"))
     return both.withColumn("score", score).drop("n", "mean", "df", "tf")
 
@@ -108,7 +111,9 @@ def totals(messages: DataFrame, index: Index | None = None) -> DataFrame:
 def ranked(messages: DataFrame, wanted: list[str]) -> DataFrame:
     """``messages`` (with the list ``terms``) that hold the phrase, with ``score``: its BM25, higher is better."""
     counted = messages.withColumn("tf", _occurrences(F.col("terms"), wanted).cast("double")).withColumn("terms", F.size("terms").cast("double"))
-    return scored(counted.where(F.col("tf") > 0), totals(counted.select("terms")))
+    counted = shared.written(counted, "search-counted")  # texts are taken to words once, for the totals and for the hits
+    every = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("terms").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
+    return _scored(counted.where(F.col("tf") > 0), every)
 
 
 def stem_is(stems: list[str], place: int, prefix: bool) -> Column:
@@ -219,7 +224,7 @@ def search(facts: Facts, query: str, project: str | None = None, limit: int = LI
     if not want.words or not want.columns:
         best = best_of(facts.messages.select(*KEYS, F.lit(0.0).alias("score")).where(F.lit(False)), sessions, limit)
     elif not stem:
-        best = best_of(ranked(_indexed(facts), stems), sessions, limit)
+        best = best_of(ranked(_indexed(facts).select(*KEYS, "terms"), stems), sessions, limit)
     elif plain and facts.index is not None:
         best = best_of_word(facts, stems[0], sessions, limit)
     else:

@@ -370,3 +370,9 @@ def test_files_of_other_projects_are_not_opened(spark, tmp_path):
     lines = transcripts.read_lines(spark, str(tmp_path), project="/x/mine", glob="*", name="*.jsonl")
     other.unlink()
     assert rows(transcripts.facts(transcripts.records(lines)).sessions, "session_id") == [("mine",)]
+
+
+def test_search_counts_words_once(spark, facts):
+    """The totals of a search without stems and its hits come from one table of counted words."""
+    hits = search.ranked(search._indexed(facts).select(*search.KEYS, "terms"), ["ash"])
+    assert hits.count() > 0 and all("search-counted" in path for path in hits.inputFiles())
