@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlore.operators import export, reports, search, sinks
+from sessionlore.plans.registry import QUERIES
 from sessionlore.sources import shared, store, transcripts
 from sessionlore.sources.store import Store
 
@@ -376,3 +377,13 @@ def test_search_counts_words_once(spark, facts):
     """The totals of a search without stems and its hits come from one table of counted words."""
     hits = search.ranked(search._indexed(facts).select(*search.KEYS, "terms"), ["ash"])
     assert hits.count() > 0 and all("search-counted" in path for path in hits.inputFiles())
+
+
+def test_markdown_files_share_tasks(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        made = QUERIES["export_markdown_files"](spark, "/root/testdata/sf0.001")
+        assert made.count() == 20 and made.rdd.getNumPartitions() <= 4  # as many as cores, not one for two files
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
