@@ -269,7 +269,7 @@ def literal_files(
     while True:
         paths = [store.literal(r.path) for r in files.where((F.col("before") >= start) & (F.col("before") < start + size)).select("path").collect()]
         count -= len(paths)
-        f = transcripts.facts(transcripts.records(transcripts.read_lines(spark, root, paths=paths, **layout)))
+        f = transcripts.facts(transcripts.records(transcripts.read_lines(spark, root, paths=paths, **layout), whole=False))
         own = literal(f, query, project, limit, case_sensitive).select("*", F.monotonically_increasing_id().alias("place"))
         rows = own.orderBy("place").drop("place").collect()  # ``limit`` at most
         found = rows if found is None else [*found, *rows]

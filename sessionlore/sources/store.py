@@ -227,7 +227,7 @@ class Store:
         paths = None
         if before is not None:  # the reader takes paths as a list; it holds all that it reads on the driver in any case
             paths = [literal(r.path) for r in present.select("path").collect()]
-        made = facts(records(read_lines(self.spark, root, glob=glob, paths=paths, folder=folder, name=name)))
+        made = facts(records(read_lines(self.spark, root, glob=glob, paths=paths, folder=folder, name=name), whole=False))
         keys = self._write(run, "keys", changes.select("session_key"))
         self._write(run, "files", present)
         own = {name: self._write(run, name, rows) for name, rows in made.tables().items() if name != "postings"}

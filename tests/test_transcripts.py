@@ -387,3 +387,28 @@ def test_markdown_files_share_tasks(spark):
         assert made.count() == 20 and made.rdd.getNumPartitions() <= 4  # as many as cores, not one for two files
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("name", ["transcript_usage", "transcript_report_json", "transcript_sessions", "transcript_stops"])
+def test_facts_keep_no_whole_records(spark, name):
+    """Only exports need messages as they were; for facts they are not written."""
+    made = {path.split("/kind=")[0] for path in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()}
+    assert len(made) == 1 and "v" not in spark.read.parquet(made.pop()).columns
+
+
+def test_facts_without_whole_records(spark, tmp_path):
+    lines = transcripts.read_lines(spark, str(workshop(tmp_path)))
+    plain, whole = (transcripts.facts(transcripts.records(lines, x)).tables() for x in (False, True))
+    for name, table in plain.items():
+        assert sorted(map(str, table.collect())) == sorted(map(str, whole[name].collect())), name
+
+
+def test_project_is_told_once_a_file(spark, tmp_path):
+    """The name of a file's project is made before its lines are, and also where there are no files."""
+    Session("s").ask("one").ask("two").save(tmp_path, "-srv-x y--claude-worktrees-z")
+    lines = transcripts.read_lines(spark, str(tmp_path))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "decode" in plan and "decode" not in plan[: plan.index("Generate")]
+    assert {r.project for r in lines.collect()} == {"/srv/x y"}
+    none = transcripts.read_lines(spark, str(tmp_path / "nowhere"), project="x")
+    assert set(none.columns) == set(lines.columns) and none.count() == 0
